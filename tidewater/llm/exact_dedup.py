@@ -72,6 +72,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], keep: str, block: int | None) -
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = pa.record_batch(batch.columns, schema=_RUN_ARROW)
         if open_row is not None:
             batch = pa.Table.from_batches([open_row, batch]).combine_chunks().to_batches()[0]
         n = batch.num_rows

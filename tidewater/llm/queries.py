@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.shared import table
+from tidewater.llm.simhash_dedup import near_duplicates
 
 #: A-Z lowered, everything else left alone, in SQL.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_keeper_rows")
 
@@ -21,6 +26,6 @@ g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
 """
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op5_exact_dedup": op5_exact_dedup}
 
 ORACLES = {"op5_exact_dedup": OP5_SQL}
