@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
@@ -26,6 +27,37 @@ g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
 """
 
-QUERIES = {"op1_simhash_dedup": op1_simhash_dedup, "op5_exact_dedup": op5_exact_dedup}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP8_SQL = f"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+), bw AS (
+  SELECT item_id, list_filter(regexp_split_to_array({_LOW}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, array_to_string(w[i : i + 9], ' ') AS terms, least(len(w), 10) AS n
+  FROM bw, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS s(i) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT n FROM win),
+cut AS (
+  SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS terms
+  FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM dw, sizes WHERE len(w) >= n)
+), hit AS (SELECT doc_id, item_id, i, cut.n FROM cut JOIN win ON cut.terms = win.terms AND cut.n = win.n),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id),
+named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+QUERIES = {
+    "op1_simhash_dedup": op1_simhash_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_decontaminate": op8_decontaminate,
+}
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL}
