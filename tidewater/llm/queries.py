@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import exact_dedup
+from tidewater.llm.packing import pack
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
 
@@ -27,6 +28,10 @@ g AS (SELECT h, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY h
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM t JOIN g USING (h)
 """
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
 }
 
