@@ -9,6 +9,7 @@ from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.packing import pack
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
+from tidewater.llm.suffix_dedup import suffix_dedup
 
 #: A-Z lowered, everything else left alone, in SQL.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -59,11 +60,16 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL}
