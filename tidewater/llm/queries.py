@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.packing import pack
+from tidewater.llm.quality import quality_verdicts
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
 from tidewater.llm.suffix_dedup import suffix_dedup
@@ -19,6 +20,10 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).drop("n_keeper_rows")
 
@@ -66,6 +71,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
