@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import staged, text_chunks, utf8_view
+from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, staged, sum_blocks, text_chunks, utf8_view
 from tidewater.llm.tokens import Tokens, mixed, tokens_of
 
 UNIGRAM_BITS, BIGRAM_BITS = 20, 18
@@ -54,7 +54,6 @@ HELD_OUT = 3
 #: Share of good labelled documents that the second cut may lose.
 SECOND_LOSS = 0.002
 _BLOCKS = 40
-_SALTS = 32
 
 
 def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -74,8 +73,8 @@ def _grams(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return uni, bi, t.text[1:] == t.text[:-1]
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(block, counts) of all documents; counts holds raw and target counts of a block of buckets.
+def gram_counts(docs: DataFrame) -> np.ndarray:
+    """Raw and target counts of every bucket over all documents.
 
     ``docs`` has (text, good), good being 1 for documents of the target.
     """
@@ -92,46 +91,20 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 counts[0] += np.bincount(grams, minlength=counts.shape[1])
                 counts[1] += np.bincount(grams[good[text]], minlength=counts.shape[1])
         parts = counts.reshape(2, _BLOCKS, width).transpose(1, 0, 2)
-        salt = TaskContext.get().partitionId() % _SALTS
-        yield pa.record_batch(
-            [
-                pa.array(range(_BLOCKS), pa.int32()),
-                pa.array([salt] * _BLOCKS, pa.int32()),
-                pa.array([x.astype("<i8").tobytes() for x in parts], pa.binary()),
-            ],
-            names=["block", "salt", "counts"],
-        )
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        salt = 0
-        for batch in batches:
-            for block, salt, counts in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "counts"))):
-                more = np.frombuffer(counts, "<i8")
-                sums[block] = sums[block] + more if block in sums else more
-        yield pa.record_batch(
-            [
-                pa.array(sums.keys(), pa.int32()),
-                pa.array([salt] * len(sums), pa.int32()),
-                pa.array([x.tobytes() for x in sums.values()], pa.binary()),
-            ],
-            names=["block", "salt", "counts"],
-        )
-
-    schema = "block int, salt int, counts binary"
-    each = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "good").mapInArrow(run, schema)
-    return each.repartition("block", "salt").mapInArrow(add, schema).repartition("block").mapInArrow(add, schema)
+        yield block_batch([x.ravel() for x in parts], TaskContext.get().partitionId())
+
+    each = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "good")
+    counts = np.zeros((2, _BLOCKS, width))
+    for block, total in sum_blocks(each.mapInArrow(run, BLOCK_SCHEMA)).items():
+        counts[:, block] = total.reshape(2, width)
+    return counts.reshape(2, -1)[:, :BUCKETS]
 
 
 def gram_weights(docs: DataFrame, sample: DataFrame, prior: float = PRIOR) -> np.ndarray | None:
     """Log ratio of target to raw chance per bucket; None if there is no target text."""
     marked = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("label_id"), "left")
-    width = -(-BUCKETS // _BLOCKS)
     target = (F.col("good") * (~F.col("held")).cast("int")).alias("good")
-    counts = np.zeros((2, _BLOCKS, width))
-    for row in gram_counts(marked.select("text", target)).collect():  # _BLOCKS rows of fixed size
-        counts[:, row["block"]] += np.frombuffer(row["counts"], "<i8").reshape(2, width)
-    raw, target = counts.reshape(2, -1)[:, :BUCKETS]
+    raw, target = gram_counts(marked.select("text", target))
     weights = np.empty(BUCKETS, dtype=np.float32)
     cut = 1 << UNIGRAM_BITS
     for part in (slice(0, cut), slice(cut, BUCKETS)):

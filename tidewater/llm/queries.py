@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import exact_dedup
+from tidewater.llm.lm_score import lm_scores
 from tidewater.llm.packing import pack
 from tidewater.llm.quality import quality_verdicts
 from tidewater.llm.shared import table
@@ -74,6 +75,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_substring_dedup": op3_substring_dedup,
@@ -82,6 +87,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL}

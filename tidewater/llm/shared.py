@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ``bytes.translate`` table that lower-cases A-Z and leaves every other byte alone.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -71,6 +72,38 @@ def text_chunks(
             at = to
 
 
-def words_of_rows(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Row number of each of ``counts.sum()`` values laid end to end."""
-    return np.repeat(np.arange(len(counts)), counts) if len(values) else np.empty(0, np.int64)
+#: Groups of tasks whose blocks are added up first, so that no task reads a block of every task.
+SALTS = 32
+BLOCK_SCHEMA = "block int, salt int, total binary"
+
+
+def block_batch(blocks: list[np.ndarray], salt: int) -> pa.RecordBatch:
+    """One task's arrays as rows for ``sum_blocks``."""
+    columns = [
+        pa.array(range(len(blocks)), pa.int32()),
+        pa.array([salt % SALTS] * len(blocks), pa.int32()),
+        pa.array([x.astype("<f8").tobytes() for x in blocks], pa.binary()),
+    ]
+    return pa.record_batch(columns, names=["block", "salt", "total"])
+
+
+def sum_blocks(parts: DataFrame) -> dict[int, np.ndarray]:
+    """Sums by block of the arrays that tasks gave out (``BLOCK_SCHEMA``), added up in tasks.
+
+    The number and size of the blocks must not depend on the data: the sums are collected.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for block, salt, total in zip(*(batch.column(c).to_pylist() for c in ("block", "salt", "total"))):
+                more = np.frombuffer(total, "<f8")
+                sums[block, salt] = sums[block, salt] + more if (block, salt) in sums else more
+        keys = list(sums)
+        columns = [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32())]
+        columns.append(pa.array([sums[k].tobytes() for k in keys], pa.binary()))
+        yield pa.record_batch(columns, names=["block", "salt", "total"])
+
+    once = parts.repartition("block", "salt").mapInArrow(add, BLOCK_SCHEMA)
+    zero = once.select("block", F.lit(0).alias("salt"), "total").repartition("block")
+    return {r["block"]: np.frombuffer(r["total"], "<f8") for r in zero.mapInArrow(add, BLOCK_SCHEMA).collect()}
