@@ -398,6 +398,7 @@ def counted_spans(texts: DataFrame, length: int) -> DataFrame:
 
     strings = staged(texts.select("row", "text", "picked").mapInArrow(run, "digest long, row long, start int"), "strings")
     again = strings.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    again = staged(again, "again")
     return strings.join(again, "digest").select("row", "start", (F.col("start") + length).cast("int").alias("stop"))
 
 
@@ -422,7 +423,8 @@ def repeated_spans(
     if window & (window - 1) or not GRAM + window <= length:
         raise ValueError("window is a power of two and at most length - 16")
     found = staged(anchors(texts, length, window), "anchors")
-    keys = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    # written out, or the join would reuse the grouping's exchange, which can't be split for a hot key
+    keys = staged(found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     picked = staged(found.join(keys, "key"), "picked")
     by_row = F.collect_list(F.struct("at", "first", "last", "key")).alias("picked")
     cool, hot = picked.filter(F.col("n") <= hot_limit), picked.filter(F.col("n") > hot_limit)
