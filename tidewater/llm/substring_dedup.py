@@ -106,8 +106,10 @@ def dropped_chunks(chunks: DataFrame, least: int = LEAST) -> DataFrame:
     each = chunks.select("row", "doc_id", F.explode("chunks").alias("c")).filter(F.col("c.size") >= least)
     each = each.select("c.digest", "c.size", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "c.start").alias("at"))
     first = each.groupBy("digest", "size").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written out, or the join would reuse the grouping's exchange, which can't be split for a hot chunk
+    first = staged(first.select("digest", "size", "first"), "keepers")
     return (
-        each.join(first.select("digest", "size", "first"), ["digest", "size"])
+        each.join(first, ["digest", "size"])
         .filter((F.col("at.row") != F.col("first.row")) | (F.col("at.start") != F.col("first.start")))
         .select("at.row", "at.start", "size", F.col("first.doc_id").alias("keeper"))
     )
