@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import ASCII_LOWER, staged, text_chunks, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, rows_with, staged, text_chunks, utf8_view
 
 _NO_ID = -(2**63)
 _DIGESTS = "doc_id long, digest binary, n_bytes long"
@@ -167,13 +167,11 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = 8) -> Data
 def survivors(docs: DataFrame, keep: str = "largest") -> DataFrame:
     """``docs`` with one row left of every group of equal texts, all columns kept."""
     verdict = staged(exact_dedup(docs, keep).filter("kept"), "kept")
-    single = verdict.filter("n_keeper_rows = 1").select(F.col("doc_id").alias("_kept_id"))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_kept_id"))
-    left = docs.join(single, same, "left_semi")
-    repeated = verdict.filter("n_keeper_rows > 1").select(F.col("doc_id").alias("_kept_id")).distinct()
+    left = rows_with(docs, verdict.filter("n_keeper_rows = 1").select("doc_id"))
+    repeated = verdict.filter("n_keeper_rows > 1").select("doc_id").distinct()
     if repeated.isEmpty():
         return left
-    again = docs.join(repeated, same, "left_semi")
+    again = rows_with(docs, repeated)
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "utf-8")
     again = again.withColumn("_text_key", F.sha2(text, 256))
     return left.unionByName(again.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key"))

@@ -9,6 +9,7 @@ from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.html_text import extract_text
 from tidewater.llm.lm_score import lm_scores
 from tidewater.llm.packing import pack
+from tidewater.llm.pii import find_pii
 from tidewater.llm.quality import quality_verdicts
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
@@ -49,6 +50,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -91,6 +96,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_packing": op6_packing,
+    "op7_pii": op7_pii,
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,

@@ -45,6 +45,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_with(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id is among the one column of ``ids``; null matches null."""
+    wanted = ids.toDF("_wanted_id")
+    return docs.join(wanted, docs["doc_id"].cast("long").eqNullSafe(wanted["_wanted_id"]), "left_semi")
+
+
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column, null counted as empty."""
     if column.null_count:
