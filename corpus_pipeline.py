@@ -1,7 +1,64 @@
-"""Corpus preparation as a chain of stages over ``documents``."""
+"""Corpus preparation: five stages over ``documents``, each written out before the next.
+
+A stage takes (spark, docs, sf_dir) and returns the documents it keeps, all columns as they
+were; the last returns the packed pieces. Documents are told apart by ``doc_id``: rows that
+share an id stand or fall together, but of whole repeated rows the exact dedup leaves one.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from tidewater.llm.decontaminate import contamination
+from tidewater.llm.exact_dedup import survivors
+from tidewater.llm.packing import pack
+from tidewater.llm.quality import quality_verdicts
+from tidewater.llm.shared import rows_with, staged, table
+from tidewater.llm.simhash_dedup import near_duplicates
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance-resampling classifier selects."""
+    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
+    return rows_with(docs, verdicts.filter("selected").select("doc_id"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the largest id, of every group of equal texts."""
+    return survivors(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the least id, of every component of near duplicates."""
+    found = near_duplicates(docs)
+    return rows_with(docs, found.filter("doc_id <=> component_id").select("doc_id"))
 
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word window of a benchmark item."""
+    verdicts = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return rows_with(docs, verdicts.filter("not contaminated").select("doc_id"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids, laid into windows."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact_dedup", exact),
+    ("simhash_dedup", near),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+
+#: The classifier, the fingerprints and the packing aren't expressible in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
