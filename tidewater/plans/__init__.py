@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import audit, registry, series
+from tidewater.plans import audit, market, merges, registry, series
 
 
 def queries() -> dict:
