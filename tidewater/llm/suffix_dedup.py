@@ -403,7 +403,7 @@ def counted_spans(texts: DataFrame, length: int) -> DataFrame:
 
 
 def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
-    """(row, doc_id, text) written to the shared folder, bucketed by row."""
+    """(row, doc_id, text) written to the shared folder, bucketed by row, one file a bucket."""
     spark = docs.sparkSession
     name = f"texts_{uuid.uuid4().hex}"
     rows = docs.select(
@@ -411,7 +411,8 @@ def bucketed(docs: DataFrame, buckets: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    written = rows.write.format("parquet").option("compression", "zstd").bucketBy(buckets, "row")
+    # dealt out first: each task would write a file for every bucket otherwise
+    written = rows.repartition(buckets, "row").write.format("parquet").option("compression", "zstd").bucketBy(buckets, "row")
     written.option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)
 
