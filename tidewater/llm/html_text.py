@@ -63,21 +63,24 @@ _STOP = {"table", "td", "th", "caption", "html", "body"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)")
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_QUOTED = re.compile(r"""=[ \t\n\r\f]*(["'])""")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``, past quoted ones; -1 if there is none."""
-    end = page.find(">", at)
-    while end >= 0 and '"' in (tag := page[at:end]):
-        if tag.count('"') % 2 == 0:
-            break
-        quote = page.find('"', end)
-        further = page.find(">", quote) if quote >= 0 else -1
-        if further < 0 or further - at > 1 << 16:
-            break
-        end = further
-    return end
+    """Place of the ``>`` that ends the tag at ``at``, past quoted values; -1 if there is none."""
+    first = end = page.find(">", at)
+    place = at
+    while end >= 0:
+        quote = _QUOTED.search(page, place, end)
+        if not quote:
+            return end
+        close = page.find(quote[1], quote.end(), at + (1 << 16))
+        if close < 0:
+            return first
+        place = close + 1
+        end = page.find(">", place) if close > end else end
+    return first
 
 
 def _parts(page: str) -> Iterator[tuple[str, str, str]]:

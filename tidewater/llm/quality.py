@@ -102,7 +102,7 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
 def gram_weights(docs: DataFrame, sample: DataFrame, prior: float = PRIOR) -> np.ndarray | None:
     """Log ratio of target to raw chance per bucket; None if there is no target text."""
-    marked = docs.join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("label_id"), "left")
+    marked = docs.select("doc_id", "text").join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("label_id"), "left")
     target = (F.col("good") * (~F.col("held")).cast("int")).alias("good")
     raw, target = gram_counts(marked.select("text", target))
     weights = np.empty(BUCKETS, dtype=np.float32)
@@ -166,11 +166,12 @@ def kth_key(keys: DataFrame, k: int, small: int = 4096, bins: int = 1024) -> tup
     """Key and id of the k-th row in the order of (key descending, id): exact, by histograms.
 
     Each round counts the keys of the interval that holds the k-th one in ``bins`` bins, and
-    goes on with its bin, until few rows are left. The id is None if all ids count.
+    goes on with its bin, until ``small`` rows are left. The id is None if all ids count:
+    more than ``small`` rows that tie in the key are taken or left as one.
     """
-    low, high = keys.agg(F.min("key"), F.max("key")).first()
+    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
     above, inside = 0, keys
-    while low < high:
+    while n > small and low < high:
         width = (high - low) / bins
         part = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1)).alias("bin")
         found = inside.groupBy(part).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
@@ -178,12 +179,9 @@ def kth_key(keys: DataFrame, k: int, small: int = 4096, bins: int = 1024) -> tup
             if above + row["n"] >= k:
                 break
             above += row["n"]
-        shrunk = (low, high) != (row["lo"], row["hi"])
-        low, high = row["lo"], row["hi"]
+        low, high, n = row["lo"], row["hi"], row["n"]
         inside = keys.filter(F.col("key").between(low, high))
-        if row["n"] <= small or not shrunk:
-            break
-    if low == high:
+    if n > small:
         return low, None
     last = inside.orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(k - above).collect()[-1]
     return last["key"], last["doc_id"]
