@@ -48,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import CHUNK_BYTES, shared_dir, staged, text_chunks, utf8_view
+from tidewater.llm.shared import shared_dir, staged, text_chunks, utf8_view
 
 LENGTH = 400
 WINDOW = 256
@@ -56,8 +56,10 @@ GRAM = 16
 #: Suffixes with one prefix beyond which a group is counted by a shuffle.
 HOT_LIMIT = 20_000
 #: Suffix bytes of one sorted run, and of the runs that one merge takes in.
-RUN_BYTES = 6 << 20
-MERGE_BYTES = 16 << 20
+RUN_BYTES = 4 << 20
+MERGE_BYTES = 12 << 20
+#: Text bytes of one numpy step: half the usual, as a step holds several 8-byte arrays.
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 _ANCHORS = "row long, at int, first int, last int, key long"
@@ -131,7 +133,7 @@ def anchors(texts: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Dat
     core = length - window + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             data, ends = utf8_view(batch.column("text"))
             at, first, last, text = anchors_of(data, ends, length, window)
             if not len(at):
@@ -252,7 +254,7 @@ def suffix_runs(texts: DataFrame, length: int, parts: int) -> DataFrame:
             types = [pa.int32(), pa.int64()] + [pa.binary()] * 6
             return pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip(names, types)], names=names)
 
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             for row, text, picked in zip(*(batch.column(c).to_pylist() for c in ("row", "text", "picked"))):
                 raw = text.encode()
                 for p in picked:
@@ -383,7 +385,7 @@ def counted_spans(texts: DataFrame, length: int) -> DataFrame:
     """(row, start, stop) of repeated strings among hot anchors, by counting string hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             data, ends = utf8_view(batch.column("text"))
             rolling, rows = Rolling(data), batch.column("row").to_numpy()
             for i, picked in enumerate(batch.column("picked").to_pylist()):
@@ -455,7 +457,7 @@ def suffix_dedup(
     by_row = spans.groupBy("row").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             data, ends = utf8_view(batch.column("text"))
             raw, cuts, out = data.tobytes(), ends.tolist(), []
             for i, spans_of in enumerate(batch.column("spans").to_pylist()):
