@@ -27,18 +27,28 @@ def rejected_counts(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
     return counts.select(F.inline(F.array(*pairs)))
 
 
+#: SQL conditions by rule name; ``conditions`` makes columns of them.
 OHLC_RULES = {
-    "high_is_highest": F.expr("high >= greatest(open, low, close)"),
-    "low_is_lowest": F.expr("low <= least(open, high, close)"),
-    "has_events": F.expr("event_count > 0"),
+    "high_is_highest": "high >= greatest(open, low, close)",
+    "low_is_lowest": "low <= least(open, high, close)",
+    "has_events": "event_count > 0",
 }
 
 RESOLUTION_RULES = {
-    "pending_is_bare": F.expr("resolution_status <> 'pending' or (winner is null and up_payout is null and down_payout is null)"),
-    "winner_is_paid": F.expr("coalesce(resolution_type <> 'winner', true) or (up_payout, down_payout) in ((1, 0), (0, 1))"),
-    "split_is_even": F.expr("coalesce(resolution_type <> 'split', true) or (up_payout = 0.5 and down_payout = 0.5 and winner is null)"),
+    "pending_is_bare": "resolution_status <> 'pending' or (winner is null and up_payout is null and down_payout is null)",
+    "winner_is_paid": "coalesce(resolution_type <> 'winner', true) or (up_payout + down_payout = 1 and up_payout in (0, 1))",
+    "split_is_even": "coalesce(resolution_type <> 'split', true) or (up_payout = 0.5 and down_payout = 0.5 and winner is null)",
 }
 
+SAMPLE_RULES = {
+    "aligned": "pmod(sample_second_ms, 1000) = 0",
+    "inside_market": "sample_second_ms >= market_id * 300000 and sample_second_ms < (market_id + 1) * 300000",
+}
+
+
+def conditions(rules: Mapping[str, str]) -> dict[str, Column]:
+    return {name: F.expr(sql) for name, sql in rules.items()}
+
 
 def retention_plan(partitions: DataFrame, now_ms: int, retention_ms: int, budget: int, current_start_ms: int) -> DataFrame:
     """``partitions`` (start_ms, end_ms, bytes) with ``drop`` and its ``reason``.
