@@ -36,15 +36,15 @@ def _product_is_perpetual(column: str = "_st") -> Column:
 
 def aggregate_trades(raw: DataFrame, symbol: str, strict: bool = True) -> tuple[DataFrame, DataFrame]:
     """Aggregate trades. A normal quantity above the quantity rejects the trade, or if not ``strict`` is nulled."""
-    rows = _fields(raw, e="$.e", E="$.E", a="$.a", s="$.s", p="$.p", q="$.q", f="$.f", l="$.l", T="$.T", m="$.m", nq="$.nq", st="$.st")
+    rows = _fields(raw, kind="$.e", event="$.E", id="$.a", s="$.s", p="$.p", q="$.q", f="$.f", l="$.l", time="$.T", m="$.m", nq="$.nq", st="$.st")
     quantity, normal = strict_decimal(F.col("_q"), PRICE, "positive"), strict_decimal(F.col("_nq"), PRICE, "non_negative")
     columns = {
-        "symbol": F.col("_s"), "agg_trade_id": strict_integer(F.col("_a")), "price": strict_decimal(F.col("_p"), PRICE, "positive"), "quantity": quantity,
+        "symbol": F.col("_s"), "agg_trade_id": strict_integer(F.col("_id")), "price": strict_decimal(F.col("_p"), PRICE, "positive"), "quantity": quantity,
         "normal_quantity": F.when(normal <= quantity, normal), "first_id": strict_integer(F.col("_f")), "last_id": strict_integer(F.col("_l")),
-        "trade_ms": strict_integer(F.col("_T"), True), "event_ms": strict_integer(F.col("_E"), True), "buyer_is_maker": bool_of(F.col("_m")),
+        "trade_ms": strict_integer(F.col("_time"), True), "event_ms": strict_integer(F.col("_event"), True), "buyer_is_maker": bool_of(F.col("_m")),
     }
     rules = {
-        "event_type": F.col("_e") == "aggTrade", "symbol": F.col("_s") == symbol, "product": _product_is_perpetual(), "id": F.col("agg_trade_id") >= 0,
+        "event_type": F.col("_kind") == "aggTrade", "symbol": F.col("_s") == symbol, "product": _product_is_perpetual(), "id": F.col("agg_trade_id") >= 0,
         "price": F.col("price").isNotNull(), "quantity": F.col("quantity").isNotNull(), "trade_ids": (F.col("first_id") >= 0) & (F.col("last_id") >= F.col("first_id")),
         "trade_time": F.col("trade_ms").isNotNull(), "maker": F.col("buyer_is_maker").isNotNull(),
         "normal_quantity": F.col("_nq").isNull() | (normal <= quantity) if strict else F.lit(True),
@@ -54,11 +54,11 @@ def aggregate_trades(raw: DataFrame, symbol: str, strict: bool = True) -> tuple[
 
 def book_tickers(raw: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
     """Top of book; a crossed book is rejected, equal sides are not."""
-    rows = _fields(raw, e="$.e", E="$.E", T="$.T", u="$.u", s="$.s", b="$.b", B="$.B", a="$.a", A="$.A")
+    rows = _fields(raw, event="$.E", time="$.T", u="$.u", s="$.s", bid="$.b", bid_size="$.B", ask="$.a", ask_size="$.A")
     columns = {
-        "symbol": F.col("_s"), "update_id": strict_integer(F.col("_u")), "bid": strict_decimal(F.col("_b"), PRICE, "positive"), "bid_size": strict_decimal(F.col("_B"), PRICE, "non_negative"),
-        "ask": strict_decimal(F.col("_a"), PRICE, "positive"), "ask_size": strict_decimal(F.col("_A"), PRICE, "non_negative"),
-        "event_ms": strict_integer(F.col("_E"), True), "transaction_ms": strict_integer(F.col("_T"), True),
+        "symbol": F.col("_s"), "update_id": strict_integer(F.col("_u")), "bid": strict_decimal(F.col("_bid"), PRICE, "positive"), "bid_size": strict_decimal(F.col("_bid_size"), PRICE, "non_negative"),
+        "ask": strict_decimal(F.col("_ask"), PRICE, "positive"), "ask_size": strict_decimal(F.col("_ask_size"), PRICE, "non_negative"),
+        "event_ms": strict_integer(F.col("_event"), True), "transaction_ms": strict_integer(F.col("_time"), True),
     }
     rules = {
         "symbol": F.col("_s") == symbol, "sides": F.col("bid").isNotNull() & F.col("ask").isNotNull(), "sizes": F.col("bid_size").isNotNull() & F.col("ask_size").isNotNull(),
@@ -69,10 +69,10 @@ def book_tickers(raw: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
 
 def depth(raw: DataFrame, symbol: str, least: int = 10) -> tuple[DataFrame, DataFrame]:
     """Depth snapshots of both venues: ``bids``/``asks`` or ``b``/``a``, at least ten levels a side."""
-    rows = _fields(raw, s="$.s", E="$.E", T="$.T", bids="$.bids", asks="$.asks", b="$.b", a="$.a", st="$.st")
+    rows = _fields(raw, s="$.s", event="$.E", time="$.T", bids="$.bids", asks="$.asks", b="$.b", a="$.a", st="$.st")
     stream = F.upper(F.split_part(F.get_json_object("value", "$.stream"), F.lit("@"), F.lit(1)))
     columns = {
-        "symbol": F.coalesce(F.col("_s"), stream), "event_ms": strict_integer(F.coalesce("_T", "_E"), True),
+        "symbol": F.coalesce(F.col("_s"), stream), "event_ms": strict_integer(F.coalesce("_time", "_event"), True),
         "bids": levels(F.coalesce("_bids", "_b"), "bid", least), "asks": levels(F.coalesce("_asks", "_a"), "ask", least),
     }
     rules = {
@@ -83,23 +83,23 @@ def depth(raw: DataFrame, symbol: str, least: int = 10) -> tuple[DataFrame, Data
 
 
 def forced_orders(raw: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
-    rows = _fields(raw, e="$.e", st="$.st", s="$.o.s", S="$.o.S", ap="$.o.ap", p="$.o.p", l="$.o.l", T="$.o.T")
+    rows = _fields(raw, kind="$.e", st="$.st", s="$.o.s", side="$.o.S", ap="$.o.ap", p="$.o.p", l="$.o.l", time="$.o.T")
     number = lambda c: strict_decimal(F.col(c), PRICE, "non_negative")
     columns = {
-        "symbol": F.col("_s"), "side": F.upper("_S"), "average_price": number("_ap"), "order_price": number("_p"), "filled_quantity": number("_l"),
-        "trade_ms": strict_integer(F.col("_T"), True),
+        "symbol": F.col("_s"), "side": F.upper("_side"), "average_price": number("_ap"), "order_price": number("_p"), "filled_quantity": number("_l"),
+        "trade_ms": strict_integer(F.col("_time"), True),
     }
     price = F.when(F.col("average_price") > 0, F.col("average_price")).otherwise(F.col("order_price"))
     rules = {
-        "event_type": F.col("_e") == "forceOrder", "product": _product_is_perpetual(), "symbol": F.col("_s") == symbol, "side": F.col("side").isin("BUY", "SELL"),
+        "event_type": F.col("_kind") == "forceOrder", "product": _product_is_perpetual(), "symbol": F.col("_s") == symbol, "side": F.col("side").isin("BUY", "SELL"),
         "price": price > 0, "quantity": F.col("filled_quantity") > 0, "time": F.col("trade_ms").isNotNull(),
     }
     return _typed(rows, rules, columns)
 
 
 def spot_tickers(raw: DataFrame, symbol: str) -> tuple[DataFrame, DataFrame]:
-    rows = _fields(raw, s="$.s", c="$.c", E="$.E")
-    columns = {"symbol": F.col("_s"), "price": strict_decimal(F.col("_c"), "decimal(38,18)", "positive"), "provider_event_ms": strict_integer(F.col("_E"), True)}
+    rows = _fields(raw, s="$.s", c="$.c", event="$.E")
+    columns = {"symbol": F.col("_s"), "price": strict_decimal(F.col("_c"), "decimal(38,18)", "positive"), "provider_event_ms": strict_integer(F.col("_event"), True)}
     rules = {"symbol": F.col("_s") == symbol, "price": F.col("price").isNotNull(), "time": F.col("provider_event_ms").isNotNull()}
     return _typed(rows, rules, columns)
 
