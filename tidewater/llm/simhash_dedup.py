@@ -235,7 +235,8 @@ def near_duplicates(
     roots = components(links(nodes, distance, bucket_limit))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = staged(named, "roots")
-    least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # written out, or the join would reuse the grouping's exchange, which can't be split for a huge component
+    least = staged(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
     of_fp = named.join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
