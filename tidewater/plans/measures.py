@@ -84,7 +84,7 @@ CAST(l_quantity AS DOUBLE) AS bq, CAST(l_linenumber AS DOUBLE) AS aq FROM lineit
 
 @query(f"""WITH {_BOOK_SQL}, m AS (SELECT *, (bid + ask) / 2 AS mid, (ask * bq + bid * aq) / (bq + aq) AS micro FROM b)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(mid, 4) AS mid, round(ask - bid, 4) AS spread, round((ask - bid) * 10000 / mid, 4) AS spread_bps, round((bq - aq) / (bq + aq), 6) AS imbalance,
-micro, round((micro - mid) * 10000 / mid, 4) AS offset_bps, round(CASE WHEN l_linenumber > 3 THEN mid ELSE bid END, 4) AS side_mid, round(bq / (bq + aq), 6) AS share FROM m""")
+micro, round((micro - mid) * 10000 / mid, 4) + 0.0 AS offset_bps, round(CASE WHEN l_linenumber > 3 THEN mid ELSE bid END, 4) AS side_mid, round(bq / (bq + aq), 6) AS share FROM m""")
 def book_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     bid = F.col("l_extendedprice").cast("double")
     rows = load(spark, sf_dir, "lineitem").select(
