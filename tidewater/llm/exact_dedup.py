@@ -1,8 +1,8 @@
 """Exact dedup by a tree merge of sorted digest runs.
 
 Every partition turns its documents into one run: (digest, length, best id, rows), sorted
-by digest with equal digests already collapsed. Runs are cut by the digest's first byte
-into ranges, and in each round the runs of ``fan_in`` neighbouring blocks meet range by
+by digest with equal digests already collapsed. Runs are cut by the digest's first two
+bytes into ranges (at least as many as shuffle partitions), and in each round the runs of ``fan_in`` neighbouring blocks meet range by
 range, are merged in digest order, and collapse again. After ``log(blocks)`` rounds each
 range has one run that names the surviving document of every text. A text with copies in
 every partition shrinks to one row per block before it moves, so a hot group costs no
@@ -101,7 +101,7 @@ def _collapse(batches: Iterator[pa.RecordBatch], keep: str, block: int | None) -
         yield open_row
 
 
-def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 8, ranges: int = 256) -> DataFrame:
+def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 8, ranges: int | None = None) -> DataFrame:
     """One row per distinct text from ``digests()`` rows, by rounds of run merges."""
     order = ["bucket", "block", "digest", "n_bytes"]
     missing = _NO_ID if keep == "largest" else 2**63 - 1
@@ -112,12 +112,13 @@ def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 8, ranges
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _collapse(batches, keep, None)
 
-    spark = found.sparkSession
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(ranges or max(256, tasks), 1 << 16)
     blocks = max(1, found.rdd.getNumPartitions())
     one = F.lit(1).cast("long")
     runs = (
         found.select(
-            (F.conv(F.hex(F.substring("digest", 1, 1)), 16, 10).cast("int") * ranges / 256).cast("int").alias("bucket"),
+            (F.conv(F.hex(F.substring("digest", 1, 2)), 16, 10).cast("int") * ranges / 65536).cast("int").alias("bucket"),
             F.lit(0).alias("block"),
             "digest",
             "n_bytes",
@@ -128,7 +129,6 @@ def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 8, ranges
         .sortWithinPartitions(*order)
         .mapInArrow(first_run, _RUN)
     )
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         blocks = -(-blocks // fan_in)
         runs = (
