@@ -46,6 +46,19 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_whole_series_hold_every_event(spark):
+    """The one-day queries end after a day; these reach from the first event to the last."""
+    get = lambda name: entry.queries()[name](spark, DATA)
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    n, minutes, typed = events.selectExpr("count(*)", "count(DISTINCT date_trunc('minute', ts))", "count(DISTINCT event_type, date_trunc('minute', ts))").first()
+    dense = get("dense_grid_series_whole")
+    assert dense.agg({"n": "sum"}).first()[0] == n
+    assert get("exact_second_fallback_whole").filter("asof_ms IS NOT NULL").count() == typed
+    kept = get("asof_carry_forward_whole").select("event_type", "ms").distinct().count()
+    assert kept == get("exact_second_fallback_whole").count() > 5 * 1440
+    assert get("missing_buckets_whole").first()["missing"] == dense.count() - minutes
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

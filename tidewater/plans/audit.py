@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.clock import DAY_MS, HOUR_MS, MINUTE_MS, PARTITION_MS, floor_to
 from tidewater.operators import audit
 from tidewater.operators.rules import retention_plan as plan_retention
-from tidewater.operators.series import grid
+from tidewater.operators.series import grid, spanned_grid
 from tidewater.plans.registry import EV, load, query, ticks
 from tidewater.plans.series import DAY
 
@@ -46,6 +46,16 @@ def missing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing(rows.select(floor_to("ms", MINUTE_MS).alias("minute_ms")), minutes, "minute_ms")
 
 
+@query(f"""WITH {EV}, b AS (SELECT DISTINCT ms - ms % 60000 AS minute_ms FROM ev),
+g AS (SELECT unnest(generate_series(min(minute_ms), max(minute_ms), 60000)) AS minute_ms FROM b),
+m AS (SELECT minute_ms FROM g ANTI JOIN b USING (minute_ms))
+SELECT count(*) AS missing, min(minute_ms) AS first_missing, max(minute_ms) AS last_missing, coalesce(string_agg(CAST(minute_ms AS VARCHAR), ',' ORDER BY minute_ms), '') AS missing_list FROM m""")
+def missing_buckets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Empty minutes between the table's first event and its last."""
+    rows = ticks(spark, sf_dir).select(floor_to("ms", MINUTE_MS).alias("minute_ms"))
+    return audit.missing(rows, spanned_grid(rows, [], "minute_ms", MINUTE_MS), "minute_ms")
+
+
 @query("""SELECT count(*) AS groups, coalesce(max(n), 0) AS largest, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

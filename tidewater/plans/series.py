@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.clock import DAY_MS, HOUR_MS, MARKET_MS, MINUTE_MS, bucket_id, floor_to, market_columns
 from tidewater.functions.numeric import ratio_double
 from tidewater.operators.bars import book_bars, flow_bars, flow_features, ohlc, trace_bars
-from tidewater.operators.series import asof, grid, lagged
+from tidewater.operators.series import asof, grid, lagged, spanned_grid
 from tidewater.operators.state import latest
 from tidewater.plans.registry import EV, query, ticks
 
@@ -40,8 +40,11 @@ def latest_market_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).agg(F.max(bucket_id("ms")).alias("market_id"))
 
 
-def _minute_last(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ticks(spark, sf_dir).filter((F.col("ms") >= DAY) & (F.col("ms") < DAY + DAY_MS))
+def _of_day(rows: DataFrame) -> DataFrame:
+    return rows.filter((F.col("ms") >= DAY) & (F.col("ms") < DAY + DAY_MS))
+
+
+def _minute_last(rows: DataFrame) -> DataFrame:
     return rows.groupBy(floor_to("ms", MINUTE_MS).alias("sample_ms")).agg(
         F.max_by("price", F.struct("ms", "event_id")).alias("price"), F.count("*").alias("n")
     )
@@ -53,7 +56,7 @@ SELECT g.sample_ms, price, n, (g.sample_ms - {DAY}) // 60000 AS t FROM g LEFT JO
 def dense_grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = grid(spark, DAY, DAY + DAY_MS, MINUTE_MS)
     t = F.call_function("div", F.col("sample_ms") - DAY, F.lit(MINUTE_MS)).alias("t")
-    return minutes.join(_minute_last(spark, sf_dir), "sample_ms", "left").select("*", t)
+    return minutes.join(_minute_last(_of_day(ticks(spark, sf_dir))), "sample_ms", "left").select("*", t)
 
 
 def _typed_grid(spark: SparkSession) -> DataFrame:
@@ -61,6 +64,19 @@ def _typed_grid(spark: SparkSession) -> DataFrame:
     return grid(spark, DAY, DAY + DAY_MS, MINUTE_MS, "ms").select("ms", kinds, floor_to("ms", HOUR_MS).alias("hour_ms"))
 
 
+def _carried(minutes: DataFrame, rows: DataFrame) -> DataFrame:
+    events = rows.withColumn("hour_ms", floor_to("ms", HOUR_MS))
+    found = asof(minutes, events, ["event_type", "hour_ms"], "ms", ["price"], TOLERANCE, ["event_id"])
+    age = F.col("ms") - F.col("asof_ms")
+    return found.withColumns({"age_ms": age, "carried": age != 0})
+
+
+def _exact(minutes: DataFrame, rows: DataFrame) -> DataFrame:
+    events = rows.withColumn("at", F.col("ms")).withColumn("ms", floor_to("ms", MINUTE_MS))
+    events = events.withColumn("hour_ms", floor_to("ms", HOUR_MS))
+    return asof(minutes, events, ["event_type", "hour_ms"], "ms", ["price"], order=["at", "event_id"], exact=True)
+
+
 _GRID_SQL = f"""g AS (SELECT ms, event_type, ms - ms % 3600000 AS hour_ms
 FROM (SELECT unnest(generate_series({DAY}, {DAY} + 86340000, 60000)) AS ms),
 (SELECT unnest(['click', 'error', 'purchase', 'signup', 'view']) AS event_type))"""
@@ -72,19 +88,49 @@ j AS (SELECT g.event_type, g.hour_ms, g.ms, e.ms AS seen, e.price FROM g ASOF LE
 SELECT event_type, hour_ms, ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen END AS asof_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN price END AS price,
 CASE WHEN ms - seen <= {TOLERANCE} THEN ms - seen END AS age_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen <> ms END AS carried FROM j""", money="price")
 def asof_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = ticks(spark, sf_dir).withColumn("hour_ms", floor_to("ms", HOUR_MS))
-    events = events.filter((F.col("ms") >= DAY) & (F.col("ms") < DAY + DAY_MS))
-    found = asof(_typed_grid(spark), events, ["event_type", "hour_ms"], "ms", ["price"], TOLERANCE, ["event_id"])
-    age = F.col("ms") - F.col("asof_ms")
-    return found.withColumns({"age_ms": age, "carried": age != 0})
+    return _carried(_typed_grid(spark), _of_day(ticks(spark, sf_dir)))
 
 
 @query(f"""WITH {EV}, {_GRID_SQL}, e AS (SELECT event_type, ms - ms % 60000 AS ms, last(price ORDER BY ev.ms, event_id) AS price FROM ev GROUP BY ALL)
 SELECT g.event_type, g.hour_ms, g.ms, CASE WHEN e.ms IS NOT NULL THEN g.ms END AS asof_ms, e.price FROM g LEFT JOIN e ON g.event_type = e.event_type AND g.ms = e.ms""", money="price")
 def exact_second_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = ticks(spark, sf_dir).withColumn("at", F.col("ms")).withColumn("ms", floor_to("ms", MINUTE_MS))
-    events = events.withColumn("hour_ms", floor_to("ms", HOUR_MS))
-    return asof(_typed_grid(spark), events, ["event_type", "hour_ms"], "ms", ["price"], order=["at", "event_id"], exact=True)
+    return _exact(_typed_grid(spark), ticks(spark, sf_dir))
+
+
+def _whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every minute from a type's first event to its last."""
+    minutes = ticks(spark, sf_dir).select("event_type", floor_to("ms", MINUTE_MS).alias("ms"))
+    return spanned_grid(minutes, ["event_type"], "ms", MINUTE_MS).select("ms", "event_type", floor_to("ms", HOUR_MS).alias("hour_ms"))
+
+
+_WHOLE_SQL = """g AS (SELECT ms, event_type, ms - ms % 3600000 AS hour_ms
+FROM (SELECT event_type, unnest(generate_series(min(ms) - min(ms) % 60000, max(ms) - max(ms) % 60000, 60000)) AS ms FROM ev GROUP BY event_type))"""
+
+
+@query(f"""WITH {EV}, m AS (SELECT ms - ms % 60000 AS sample_ms, last(price ORDER BY ms, event_id) AS price, count(*) AS n FROM ev GROUP BY 1),
+g AS (SELECT a, unnest(generate_series(a, b, 60000)) AS sample_ms FROM (SELECT min(sample_ms) AS a, max(sample_ms) AS b FROM m))
+SELECT g.sample_ms, price, n, (g.sample_ms - a) // 60000 AS t FROM g LEFT JOIN m USING (sample_ms)""", money="price")
+def dense_grid_series_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ticks(spark, sf_dir)
+    ends = rows.agg(floor_to(F.min("ms"), MINUTE_MS).alias("a"), floor_to(F.max("ms"), MINUTE_MS).alias("b"))
+    minutes = ends.select("a", F.explode(F.sequence("a", "b", F.lit(MINUTE_MS).cast("long"))).alias("sample_ms"))
+    t = F.call_function("div", F.col("sample_ms") - F.col("a"), F.lit(MINUTE_MS)).alias("t")
+    return minutes.join(_minute_last(rows), "sample_ms", "left").select("sample_ms", "price", "n", t)
+
+
+@query(f"""WITH {EV}, {_WHOLE_SQL}, e AS (SELECT event_type, ms, ms - ms % 3600000 AS hour_ms, last(price ORDER BY event_id) AS price FROM ev GROUP BY ALL),
+j AS (SELECT g.event_type, g.hour_ms, g.ms, e.ms AS seen, e.price FROM g ASOF LEFT JOIN e
+  ON g.event_type = e.event_type AND g.hour_ms = e.hour_ms AND g.ms >= e.ms)
+SELECT event_type, hour_ms, ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen END AS asof_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN price END AS price,
+CASE WHEN ms - seen <= {TOLERANCE} THEN ms - seen END AS age_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen <> ms END AS carried FROM j""", money="price")
+def asof_carry_forward_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _carried(_whole_grid(spark, sf_dir), ticks(spark, sf_dir))
+
+
+@query(f"""WITH {EV}, {_WHOLE_SQL}, e AS (SELECT event_type, ms - ms % 60000 AS ms, last(price ORDER BY ev.ms, event_id) AS price FROM ev GROUP BY ALL)
+SELECT g.event_type, g.hour_ms, g.ms, CASE WHEN e.ms IS NOT NULL THEN g.ms END AS asof_ms, e.price FROM g LEFT JOIN e ON g.event_type = e.event_type AND g.ms = e.ms""", money="price")
+def exact_second_fallback_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exact(_whole_grid(spark, sf_dir), ticks(spark, sf_dir))
 
 
 @query(f"""WITH {EV}, h AS (SELECT event_type, ms - ms % 3600000 AS hour_ms, count(*) AS n FROM ev GROUP BY ALL)
