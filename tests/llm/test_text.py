@@ -360,3 +360,23 @@ def test_lm_gradient_and_chances():
 
 def test_lm_of_nothing(none):
     assert lm.lm_scores(none).count() == 0
+
+
+@pytest.mark.parametrize("known", [1 << 18, 800])
+def test_lm_counts_tell_rare_tokens_apart(spark, known):
+    """Of tokens behind one number in one context, the chances are as the counts, wherever those are looked up."""
+    rows = [(i, " ".join(f"f{i % 5}x{j}" for j in range(400) for _ in range(5))) for i in range(10)]
+    names = [f"q{i}" for i in range(4000)]
+    codes = [int(tokens_of(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x)])).code[0]) for x in names]
+    often, once = [x for x, c in zip(names, codes) if c >> 56 == codes[0] >> 56][:2]
+    rows += [(100, " ".join([often] * 6)), (101, f"f0x0 {often} f0x1"), (102, f"f0x0 {once} f0x1"), (103, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs, known=known).collect()}
+    assert len(got) == len(rows) and got[103]["mean_log_prob"] is None
+    assert got[101]["log_prob"] - got[102]["log_prob"] == pytest.approx(np.log(7), abs=1e-4)
+
+
+def test_lm_numbers_follow_the_counts(spark):
+    counts = spark.createDataFrame([(i << 40, 3000) for i in range(2000)] + [(i, 1) for i in range(1, 500)], "code long, n long")
+    words = lm.vocabulary(counts)
+    assert len(words.codes) >= 2000 and words.side**2 >= 2256 and len(words.known) == 2499

@@ -5,9 +5,12 @@ neighbour's place has its own embedding table, their sum goes through tanh, and
 chance is that of its class times that of the token within the class (two small softmaxes).
 A document's score is the sum of its tokens' conditional log chances.
 
-The vocabulary comes from word counts over the whole corpus: the ``COMMON`` most frequent
-tokens have numbers of their own, the others share ``RARE`` hashed numbers, and such a
-token's chance is its number's chance divided by the number of distinct tokens behind it.
+The vocabulary comes from word counts over the whole corpus. Frequent tokens have numbers of
+their own, more of them in a larger corpus (at least 768; then all that occur at least
+``OWN`` times the root of the corpus's tokens), and as many classes as tokens in a class.
+The others share ``RARE`` hashed numbers, and such a token's chance is its number's chance
+times its share in the occurrences behind that number. Each task has the counts of up to
+``KNOWN`` tokens; those of all others are joined to the documents by code.
 
 Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the same
 weights, walks over its own texts (every ``STRIDE``-th position, another one each round, so
@@ -23,6 +26,7 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,30 +37,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, staged, sum_blocks, text_chunks, utf8_view
-from tidewater.llm.tokens import tokens_of
-
-CLASSES, IN_CLASS = 32, 32
-COMMON, RARE = 768, 256
+from tidewater.llm.tokens import mixed, tokens_of
+
+#: Classes, and tokens in a class, of the smallest network; a larger corpus has a wider one.
+SIDE = 32
+RARE = 256
+#: A token that occurs at least the root of all tokens times this has a number of its own.
+OWN = 0.25
+#: Counts of so many tokens at most go to every task; those of the others are joined by code.
+KNOWN = 1 << 18
+#: Logs are added up as whole numbers of this part, so that sums don't depend on their order.
+_UNIT = float(1 << 28)
 REACH, HIDDEN = 2, 32
 STRIDE, ROUNDS = 8, 2
 BATCH, RATE = 1024, 0.15
 _STEP = 1 << 14
+_PARTS = ["row", "doc_id", "code", "times", "n_tokens", "total"]
 #: Pieces in which weights are exchanged, so that no task adds up whole networks.
 BLOCKS = 48
-_ONES = np.ones(32, np.float32)  # both softmaxes have this width; a product adds up rows faster than sum()
 
 
 class Vocabulary(NamedTuple):
-    codes: np.ndarray  # of common tokens, sorted
+    side: int
+    codes: np.ndarray  # of tokens with numbers of their own, sorted
     numbers: np.ndarray  # of those codes
-    spread: np.ndarray  # log of the distinct tokens behind each number
+    known: np.ndarray  # codes whose counts are at hand, sorted
+    log_counts: np.ndarray  # of those codes
+    log_bucket: np.ndarray  # log of the occurrences behind each hashed number
 
     def numbers_of(self, codes: np.ndarray) -> np.ndarray:
-        rare = COMMON + (codes >> np.uint64(56)).astype(np.int64)
-        if not len(self.codes):
-            return rare
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return np.where(self.codes[at] == codes, self.numbers[at], rare)
+        rare = self.side**2 - RARE + (codes >> np.uint64(56)).astype(np.int64)
+        at, found = _find(self.codes, codes)
+        return np.where(found, self.numbers[at], rare) if len(self.codes) else rare
+
+
+def _find(sorted_codes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_codes):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(sorted_codes, codes), len(sorted_codes) - 1)
+    return at, sorted_codes[at] == codes
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -83,33 +102,47 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return each.groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = staged(word_counts(docs), "words")
-    top = counts.orderBy(F.desc("n"), "code").limit(COMMON).select("code").collect()
-    common = np.array([r["code"] for r in top], dtype=np.int64).view(np.uint64)
-    behind = np.zeros(COMMON + RARE)
-    behind[:COMMON] = 1
+def vocabulary(counts: DataFrame, known: int = KNOWN) -> Vocabulary:
+    """Numbers by the corpus counts ``counts`` (code, n)."""
+    band = F.floor(F.log2("n") * 8).cast("int")
+    bands = counts.groupBy(band.alias("band")).agg(F.count("*").alias("codes"), F.sum("n").alias("n")).collect()
+    least, held = 1 << 10, 0
+    for band_of, codes, _ in sorted(bands, reverse=True):  # a few hundred rows
+        held += codes
+        if held > known:
+            break
+        least = band_of
+    table = counts.filter(band >= least).select("code", "n").toArrow()
+    code = table["code"].to_numpy().view(np.uint64)
+    n = table["n"].to_numpy()
+    order = np.lexsort((code.view(np.int64), -n))
+    code, n = code[order], n[order]
+    own = int((n >= OWN * sum(b["n"] for b in bands) ** 0.5).sum())
+    side = max(SIDE, math.isqrt(max(own + RARE - 1, 0)) + 1)
+    common = code[: side**2 - RARE]
+    behind = np.zeros(RARE)
     bucket = F.shiftrightunsigned("code", 56).cast("int").alias("bucket")
-    for bucket, n in counts.groupBy(bucket).agg(F.count("*")).collect():  # RARE rows
-        behind[COMMON + bucket] = n
-    np.subtract.at(behind, COMMON + (common >> np.uint64(56)).astype(np.int64), 1)
-    order = np.argsort(common)
-    return Vocabulary(common[order], order, np.log(np.maximum(behind, 1)))
+    for at, total in counts.groupBy(bucket).agg(F.sum("n")).collect():  # RARE rows
+        behind[at] = total
+    np.subtract.at(behind, (common >> np.uint64(56)).astype(np.int64), n[: len(common)])
+    first, every = np.argsort(common), np.argsort(code)
+    return Vocabulary(side, common[first], first, code[every], np.log(n[every]), np.log(np.maximum(behind, 1)))
 
 
 class Network:
     """Weights and the two passes; every array is float32."""
 
-    def __init__(self, seed: int = 11) -> None:
+    def __init__(self, seed: int = 11, side: int = SIDE) -> None:
+        self.side = side  # classes, and tokens in a class
         rng = np.random.default_rng(seed)
         normal = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
         self.weights = {
-            "near": normal(0.1, 2 * REACH, COMMON + RARE + 1, HIDDEN),
+            "near": normal(0.1, 2 * REACH, side**2 + 1, HIDDEN),
             "bias": np.zeros(HIDDEN, np.float32),
-            "class": normal(0.1, HIDDEN, CLASSES),
-            "class_bias": np.zeros(CLASSES, np.float32),
-            "word": normal(0.1, CLASSES, HIDDEN, IN_CLASS),
-            "word_bias": np.zeros((CLASSES, IN_CLASS), np.float32),
+            "class": normal(0.1, HIDDEN, side),
+            "class_bias": np.zeros(side, np.float32),
+            "word": normal(0.1, side, HIDDEN, side),
+            "word_bias": np.zeros((side, side), np.float32),
         }
 
     def flat(self) -> np.ndarray:
@@ -138,10 +171,10 @@ class Network:
 
     def log_chances(self, near: np.ndarray, token: np.ndarray, small: bool = False) -> np.ndarray:
         w, h = self.weights, self.hidden(near)
-        cls, word = token // IN_CLASS, token % IN_CLASS
+        cls, word = token // self.side, token % self.side
         out = _log_softmax_at(h @ w["class"] + w["class_bias"], cls, small)
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             rows = order[bounds[c] : bounds[c + 1]]
             out[rows] += _log_softmax_at(h[rows] @ w["word"][c] + w["word_bias"][c], word[rows], small)
@@ -149,13 +182,13 @@ class Network:
 
     def gradients(self, near: np.ndarray, token: np.ndarray) -> dict[str, np.ndarray]:
         w, h, n = self.weights, self.hidden(near), len(token)
-        cls, word = token // IN_CLASS, token % IN_CLASS
+        cls, word = token // self.side, token % self.side
         up = _softmax_error(h @ w["class"] + w["class_bias"], cls) / n
         grads = {"class": h.T @ up, "class_bias": up.sum(0)}
         back = up @ w["class"].T
         grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
         for c in np.flatnonzero(np.diff(bounds)):
             rows = order[bounds[c] : bounds[c + 1]]
             up = _softmax_error(h[rows] @ w["word"][c] + w["word_bias"][c], word[rows]) / n
@@ -176,31 +209,31 @@ def _log_softmax_at(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarr
     if not small:
         logits -= logits.max(axis=1, keepdims=True)
     chosen = logits[np.arange(len(at)), at]
-    return (chosen - np.log(np.exp(logits, out=logits) @ _ONES)).astype(np.float64)
+    return (chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
 
 
 def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits, out=logits)
-    p /= (p @ _ONES)[:, None]
+    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
     p[np.arange(len(at)), at] -= 1
     return p
 
 
-def _numbered(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers, their neighbours' numbers (one row per place) and their texts."""
+def _numbered(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers, their neighbours' numbers (one row per place), their texts and their codes."""
     t = tokens_of(*utf8_view(batch.column("text")))
     token = words.numbers_of(t.code)
-    near = np.full((2 * REACH, len(token)), COMMON + RARE, dtype=np.int64)
+    near = np.full((2 * REACH, len(token)), words.side**2, dtype=np.int64)
     for k in range(1, REACH + 1):
         same = t.text[k:] == t.text[:-k]
         near[k - 1][k:][same] = token[:-k][same]
         near[REACH + k - 1][:-k][same] = token[k:][same]
-    return token, near, t.text
+    return token, near, t.text, t.code
 
 
 def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
-    net = Network()
+    net = Network(side=words.side)
     size = len(net.flat())
 
     for turn in range(rounds):
@@ -208,10 +241,10 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
 
         def run(batches: Iterator[pa.RecordBatch], turn: int = turn, start=start) -> Iterator[pa.RecordBatch]:
             words, flat = start.value
-            own, seen = Network().load(flat), 0
+            own, seen = Network(side=words.side).load(flat), 0
             squares = {k: np.full_like(w, 1e-3) for k, w in own.weights.items()}
             for batch in text_chunks(batches):
-                token, near, _ = _numbered(batch, words)
+                token, near, _, _ = _numbered(batch, words)
                 picked = np.arange((turn * stride) // max(rounds, 1), len(token), stride)
                 picked = np.random.default_rng(len(token)).permutation(picked)
                 for at in range(0, len(picked), BATCH):
@@ -230,28 +263,52 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
     return net
 
 
-def lm_scores(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE) -> DataFrame:
+def lm_scores(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_prob, mean_log_prob."""
-    words = vocabulary(docs)
+    counts = staged(word_counts(docs), "words")
+    words = vocabulary(counts, known)
     shared = docs.sparkSession.sparkContext.broadcast((words, trained(docs, words, rounds, stride).flat()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        net = Network().load(flat)
+        net, first = Network(side=words.side).load(flat), words.side**2 - RARE
         small = net.small_logits()
         for batch in text_chunks(batches):
-            token, near, text = _numbered(batch, words)
-            logs = -words.spread[token]
+            token, near, text, code = _numbered(batch, words)
+            logs = np.zeros(len(token))
             for at in range(0, len(token), _STEP):
                 part = slice(at, at + _STEP)
-                logs[part] += net.log_chances(near[:, part], token[part], small)
+                logs[part] = net.log_chances(near[:, part], token[part], small)
+            rare = np.flatnonzero(token >= first)
+            at, found = _find(words.known, code[rare])
+            logs[rare] -= words.log_bucket[token[rare] - first]
+            logs[rare[found]] += words.log_counts[at[found]]
+            row = batch.column("row").to_numpy()
             n = np.bincount(text, minlength=batch.num_rows).astype(np.int64)
-            total = np.bincount(text, weights=logs, minlength=batch.num_rows)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+            total = np.rint(np.bincount(text, weights=logs, minlength=batch.num_rows) * _UNIT).astype(np.int64)
+            # a text's own row has no token to look up; its code only spreads such rows
             yield pa.record_batch(
-                [batch.column("doc_id"), pa.array(n), pa.array(total), mean],
-                names=["doc_id", "n_tokens", "log_prob", "mean_log_prob"],
-            )
-
-    schema = "doc_id long, n_tokens long, log_prob double, mean_log_prob double"
-    return _texts(docs).mapInArrow(run, schema)
+                [batch.column("row"), batch.column("doc_id"), pa.array(mixed(row.view(np.uint64)).view(np.int64)),
+                 pa.array(np.zeros(len(row), np.int64)), pa.array(n), pa.array(total)], names=_PARTS
+            )
+            missed = rare[~found]
+            if len(missed):
+                order = missed[np.lexsort((code[missed], text[missed]))]
+                new = np.ones(len(order), bool)
+                new[1:] = (code[order][1:] != code[order][:-1]) | (text[order][1:] != text[order][:-1])
+                heads = np.flatnonzero(new)
+                times = np.diff(np.append(heads, len(order)))
+                zero, at = np.zeros(len(heads), np.int64), order[heads]
+                yield pa.record_batch(
+                    [pa.array(row[text[at]]), pa.nulls(len(at), pa.int64()), pa.array(code[at].view(np.int64)),
+                     pa.array(times), pa.array(zero), pa.array(zero)], names=_PARTS
+                )
+
+    texts = _texts(docs).withColumn("row", F.monotonically_increasing_id())
+    parts = texts.mapInArrow(run, ", ".join(f"{c} long" for c in _PARTS))
+    log = F.round(F.log("n") * _UNIT).cast("long")
+    all_parts = parts.join(counts.select("code", log.alias("log")), "code", "left")
+    total = F.sum(F.col("total") + F.when(F.col("times") > 0, F.col("times") * F.col("log")).otherwise(F.lit(0)))
+    scores = all_parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), (total / _UNIT).alias("log_prob"))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob")
+    return scores.select("doc_id", "n_tokens", "log_prob", mean)
