@@ -16,7 +16,7 @@ from tidewater.llm import pii, quality
 from tidewater.llm.decontaminate import contamination, phrase_matches, positional_store, rarest_terms, term_counts, windows_of
 from tidewater.llm.html_text import extract_text, visible_text
 from tidewater.llm.packing import Levels, default_vocabulary, encoder, pack
-from tidewater.llm.shared import ASCII_LOWER
+from tidewater.llm.shared import ASCII_LOWER, utf8_view
 from tidewater.llm.tokens import tokens_of
 
 
@@ -380,3 +380,34 @@ def test_lm_numbers_follow_the_counts(spark):
     counts = spark.createDataFrame([(i << 40, 3000) for i in range(2000)] + [(i, 1) for i in range(1, 500)], "code long, n long")
     words = lm.vocabulary(counts)
     assert len(words.codes) >= 2000 and words.side**2 >= 2256 and len(words.known) == 2499
+
+
+def test_lm_trains_on_every_position(spark, monkeypatch):
+    """With the settings of the query, each token is a target as often as it occurs."""
+    docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(97))) for i in range(3)], "doc_id long, text string").coalesce(1)
+    words = lm.vocabulary(lm.word_counts(docs))
+    targets = []
+    step = lm.Network.gradient_rows
+
+    def noted(self, near, token):
+        targets.extend(token.tolist())
+        return step(self, near, token)
+
+    monkeypatch.setattr(lm.Network, "gradient_rows", noted)
+    # in this process: the tasks' copies of the class are not patched
+    monkeypatch.setattr(lm, "_texts", lambda docs: _Here(docs))
+    monkeypatch.setattr(lm, "sum_blocks", lambda batches: {})
+    monkeypatch.setattr(lm.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+    lm.trained(docs, words)
+    every = words.numbers_of(np.concatenate([tokens_of(*utf8_view(b.column("text"))).code for b in docs.toArrow().to_batches()]))
+    assert len(every) == 291 and sorted(targets) == sorted(every.tolist())
+
+
+class _Here:
+    """Runs a mapInArrow function at once, over the collected rows."""
+
+    def __init__(self, docs):
+        self.docs = docs
+
+    def mapInArrow(self, run, schema):
+        return list(run(iter(self.docs.toArrow().to_batches())))

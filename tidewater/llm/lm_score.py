@@ -13,8 +13,8 @@ times its share in the occurrences behind that number. Each task has the counts
 ``KNOWN`` tokens; those of all others are joined to the documents by code.
 
 Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the same
-weights, walks over its own texts (every ``STRIDE``-th position, another one each round, so
-the training set grows with the corpus) by Adagrad in numpy, and the weights are averaged,
+weights, walks over its own texts (every ``STRIDE``-th position, the next one each round, so
+that every token is a target once) by Adagrad in numpy, and the weights are averaged,
 each task counting by its positions. Only arrays of the network's fixed size reach the
 driver. Sums are taken task by task, so results repeat for the same partitions.
 
@@ -49,7 +49,8 @@ KNOWN = 1 << 18
 #: Logs are added up as whole numbers of this part, so that sums don't depend on their order.
 _UNIT = float(1 << 28)
 REACH, HIDDEN = 2, 32
-STRIDE, ROUNDS = 8, 2
+#: As many rounds as the stride, so that every position is a target once.
+STRIDE = ROUNDS = 2
 BATCH, RATE = 1024, 0.15
 _STEP = 1 << 14
 _PARTS = ["row", "doc_id", "code", "times", "n_tokens", "total"]
@@ -181,6 +182,14 @@ class Network:
         return out
 
     def gradients(self, near: np.ndarray, token: np.ndarray) -> dict[str, np.ndarray]:
+        grads, touched = self.gradient_rows(near, token)
+        grads["near"] = np.zeros_like(self.weights["near"])
+        for k, (ids, rows) in enumerate(touched):
+            grads["near"][k][ids] = rows
+        return grads
+
+    def gradient_rows(self, near: np.ndarray, token: np.ndarray) -> tuple[dict[str, np.ndarray], list]:
+        """Gradients without ``near``, and for each of its places the rows that are not zero."""
         w, h, n = self.weights, self.hidden(near), len(token)
         cls, word = token // self.side, token % self.side
         up = _softmax_error(h @ w["class"] + w["class_bias"], cls) / n
@@ -188,21 +197,29 @@ class Network:
         back = up @ w["class"].T
         grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
         order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            up = _softmax_error(h[rows] @ w["word"][c] + w["word_bias"][c], word[rows]) / n
-            grads["word"][c], grads["word_bias"][c] = h[rows].T @ up, up.sum(0)
-            back[rows] += up @ w["word"][c].T
+        bounds = np.searchsorted(cls[order], np.arange(self.side + 1)).tolist()
+        spans = [(c, slice(a, b)) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+        own, logits, more = h[order], np.empty((n, self.side), h.dtype), np.empty_like(h)
+        for c, part in spans:
+            np.matmul(own[part], w["word"][c], out=logits[part])
+        logits += w["word_bias"][cls[order]]
+        up = _softmax_error(logits, word[order])
+        up /= n
+        ones = np.ones(n, h.dtype)
+        for c, part in spans:
+            np.matmul(own[part].T, up[part], out=grads["word"][c])
+            np.matmul(ones[part], up[part], out=grads["word_bias"][c])
+            np.matmul(up[part], w["word"][c].T, out=more[part])
+        back[order] += more
         back *= 1 - h * h
         grads["bias"] = back.sum(0)
-        grads["near"] = np.zeros_like(w["near"])
+        touched = []
         for k in range(2 * REACH):
             order = np.argsort(near[k], kind="stable")
             ids = near[k][order]
             heads = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            grads["near"][k][ids[heads]] = np.add.reduceat(back[order], heads, axis=0)
-        return grads
+            touched.append((ids[heads], np.add.reduceat(back[order], heads, axis=0)))
+        return grads, touched
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
@@ -249,9 +266,14 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
                 picked = np.random.default_rng(len(token)).permutation(picked)
                 for at in range(0, len(picked), BATCH):
                     some = picked[at : at + BATCH]
-                    for name, g in own.gradients(near[:, some], token[some]).items():
+                    grads, touched = own.gradient_rows(near[:, some], token[some])
+                    for name, g in grads.items():
                         squares[name] += g * g
                         own.weights[name] -= RATE * g / np.sqrt(squares[name])
+                    for k, (ids, g) in enumerate(touched):
+                        held = squares["near"][k][ids] + g * g
+                        squares["near"][k][ids] = held
+                        own.weights["near"][k][ids] -= RATE * g / np.sqrt(held)
                 seen += len(picked)
             weighted = np.append(own.flat() * float(seen), seen)
             yield block_batch(np.array_split(weighted, BLOCKS), TaskContext.get().partitionId())
