@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import survivors
-from tidewater.llm.packing import pack
+from tidewater.llm.packing import SPECIAL, pack
 from tidewater.llm.quality import quality_verdicts
 from tidewater.llm.shared import rows_with, staged, table
 from tidewater.llm.simhash_dedup import near_duplicates
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, laid into windows."""
-    return pack(docs)
+    return pack(docs, special=SPECIAL)
 
 
 STAGES = [

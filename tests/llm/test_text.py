@@ -102,6 +102,31 @@ def test_packing(spark, docs, awkward):
         assert at == 1024 or at & (at - 1) == 0
 
 
+def test_packing_query_finds_added_tokens(spark, tmp_path):
+    """The query's and the pipeline's ids are those of the library's default."""
+    tokenizers = pytest.importorskip("tokenizers")
+    import public_tokenizers
+
+    import corpus_pipeline
+    from tidewater.llm.queries import QUERIES
+
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x  <|endoftext|> \n y<|endoftext|><|endoftext|>", "<|endoftext", "plain", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        want[i] = (len(ids), ids)
+    for got in (QUERIES["op6_packing"](spark, str(tmp_path)), corpus_pipeline.packing(spark, docs, str(tmp_path))):
+        rows = got.collect()
+        assert {r["doc_id"] for r in rows} == set(want)
+        for r in rows:
+            n, ids = want[r["doc_id"]]
+            part = ids[r["start"] : r["start"] + r["length"]]
+            assert (r["doc_tokens"], r["ids_crc32"]) == (n, zlib.crc32(part.tobytes()))
+
+
 def test_levels_choose_the_least_sum_of_squares():
     rng, levels = random.Random(1), Levels(50)
     for _ in range(400):

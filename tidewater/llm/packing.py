@@ -12,8 +12,8 @@ sequences whose lengths are powers of two, which need no padding. A task holds o
 open windows (at most one per level and surplus item) in memory.
 
 Defined results:
-* a null or empty text is one id, the end id; ids come from a byte-level BPE whose special
-  tokens are ordinary text;
+* a null or empty text is one id, the end id; ids come from a byte-level BPE, where the
+  strings in ``special`` are one id each (the queries give ``SPECIAL``) and by default ordinary text;
 * every id of every input row lies in exactly one piece; repeated rows are packed again;
 * a null id is carried as null; an empty table gives an empty result; other columns of the
   input are not looked at; sequence ids are unique, not dense, and depend on the layout of
@@ -38,6 +38,8 @@ from tidewater.llm.shared import text_chunks
 
 WINDOW = 1024
 END_ID = 0
+#: The added tokens of ``byte_bpe_50k.json``, which the library finds in texts under add_special_tokens=False too.
+SPECIAL = (("<|endoftext|>", 50256),)
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -53,12 +55,12 @@ def default_vocabulary() -> str:
 
 
 @cache
-def encoder(vocabulary: str) -> tiktoken.Encoding:
+def encoder(vocabulary: str, special: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
     import public_tokenizers
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
 class Levels:
@@ -133,8 +135,8 @@ def _cut(piece: tuple, size: int) -> tuple[tuple, tuple | None]:
     return (doc, start, size, ids[:size], total), (doc, start + size, length - size, ids[size:], total)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
-    encode, levels = encoder(vocabulary).encode_to_numpy, Levels(window)
+def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str, special: tuple) -> Iterator[pa.RecordBatch]:
+    encode, levels = encoder(vocabulary, special).encode_to_numpy, Levels(window)
     sequence = TaskContext.get().partitionId() << 33
     rows: list[tuple] = []
 
@@ -153,7 +155,7 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) ->
 
     for batch in text_chunks(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = np.append(encode(text or ""), np.uint32(END_ID))
+            ids = np.append(encode(text or "", allowed_special="all"), np.uint32(END_ID))
             total = len(ids)
             whole = total - total % window
             for start in range(0, whole, window):
@@ -168,12 +170,12 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) ->
         yield given()
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, special: tuple = ()) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _packed(batches, window, path)
+        return _packed(batches, window, path, special)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

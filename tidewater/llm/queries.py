@@ -8,7 +8,7 @@ from tidewater.llm.decontaminate import contamination
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.html_text import extract_text
 from tidewater.llm.lm_score import lm_scores
-from tidewater.llm.packing import pack
+from tidewater.llm.packing import SPECIAL, pack
 from tidewater.llm.pii import find_pii
 from tidewater.llm.quality import quality_verdicts
 from tidewater.llm.shared import table
@@ -47,7 +47,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), special=SPECIAL)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
