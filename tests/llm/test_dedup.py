@@ -178,6 +178,31 @@ def test_chunks_fall_into_step_after_an_insertion(spark):
     assert got[2]["dropped_bytes"] > 0.95 * len(text)
 
 
+def test_exact_copies_lose_all_chunks(spark, tmp_path):
+    """Short texts and short tails too, but no tail that merely looks like another."""
+    from tidewater.llm.queries import QUERIES
+
+    rng = random.Random(9)
+    long = next(t for t in (prose_of(rng) for _ in range(500)) if 0 < last_size(t) < 32)
+    other = next(t for t in (prose_of(rng) for _ in range(2000)) if last_size(t) == last_size(long))
+    other = other[: -last_size(long)] + long[-last_size(long) :]
+    texts = ["Die tz.", "Die tz.", long, long, other, long[-last_size(long) :], "", "", "Die tz.", long + " and more of it, which goes on"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op3_substring_dedup"](spark, str(tmp_path)).collect()}
+    assert [got[i]["dropped_bytes"] for i in range(9)] == [0, 7, 0, len(long), 0, 0, 0, 0, 7]
+    assert got[3]["n_dropped"] == got[3]["n_chunks"] and got[3]["kept_in"] == [2] and got[8]["kept_in"] == [0]
+    assert got[9]["dropped_bytes"] >= sub.SHORTEST  # the chunks before the tail are still found
+
+
+def prose_of(rng):
+    return " ".join(f"{rng.getrandbits(40):x}" for _ in range(60))
+
+
+def last_size(text):
+    ends = chunk_brute(text.encode())
+    return ends[-1] - ([0] + ends)[-2]
+
+
 def suffix_brute(raws, length):
     counts = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
     out = []

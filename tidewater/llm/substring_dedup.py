@@ -15,7 +15,10 @@ Defined results:
 * null ids come after all others in the choice of keepers; rows that repeat a document
   lose all chunks but the first row's; each row has one result row;
 * a text's last chunk may be shorter than ``shortest``; it is compared like any other, but
-  chunks under ``least`` bytes are never dropped;
+  chunks under ``least`` bytes are never dropped unless ``tails`` is given (the query does):
+  then such a last chunk goes where it and the chunk before it occur together elsewhere, and
+  a text that is one such chunk goes where another text is the same, so that exact copies
+  lose all their chunks;
 * an empty table gives an empty result; extra columns are not looked at.
 """
 
@@ -76,9 +79,12 @@ def chunk_bounds(data: np.ndarray, start: int, stop: int, places: list[int], sho
 
 
 def chunks_of(
-    docs: DataFrame, mask_bits: int = MASK_BITS, shortest: int = SHORTEST, longest: int = LONGEST
+    docs: DataFrame, mask_bits: int = MASK_BITS, shortest: int = SHORTEST, longest: int = LONGEST, tails: int = 0
 ) -> DataFrame:
-    """(row, doc_id, n_bytes, chunks) of every row of ``docs`` (row, doc_id, text)."""
+    """(row, doc_id, n_bytes, chunks) of every row of ``docs`` (row, doc_id, text).
+
+    The digest of a last chunk under ``tails`` bytes covers the chunk before it, too.
+    """
     if shortest < 32 or longest < 2 * shortest:
         raise ValueError("shortest is at least 32 and longest at least twice that")
 
@@ -89,11 +95,12 @@ def chunks_of(
             split = np.searchsorted(places, ends, side="left")
             out, cuts = [], ends.tolist()
             for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                at, found = a, []
+                at, before, found = a, a, []
                 for end in chunk_bounds(data, a, b, places[split[i] : split[i + 1]].tolist(), shortest, longest):
-                    digest = hashlib.blake2b(raw[at:end], digest_size=16).digest()
+                    whence = before if end == b and end - at < tails else at
+                    digest = hashlib.blake2b(raw[whence:end], digest_size=16).digest()
                     found.append({"digest": digest, "start": at - a, "size": end - at})
-                    at = end
+                    before, at = at, end
                 out.append(found)
             columns = [batch.column("row"), batch.column("doc_id"), pa.array(np.diff(ends)), pa.array(out, _CHUNK_TYPE)]
             yield pa.record_batch(columns, names=["row", "doc_id", "n_bytes", "chunks"])
@@ -116,7 +123,8 @@ def dropped_chunks(chunks: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def substring_dedup(
-    docs: DataFrame, mask_bits: int = MASK_BITS, shortest: int = SHORTEST, longest: int = LONGEST, least: int = LEAST
+    docs: DataFrame, mask_bits: int = MASK_BITS, shortest: int = SHORTEST, longest: int = LONGEST, least: int = LEAST,
+    tails: bool = False,
 ) -> DataFrame:
     """One row per document.
 
@@ -129,8 +137,8 @@ def substring_dedup(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    chunks = staged(chunks_of(rows, mask_bits, shortest, longest), "chunks")
-    gone = dropped_chunks(chunks, least).groupBy("row").agg(
+    chunks = staged(chunks_of(rows, mask_bits, shortest, longest, least if tails else 0), "chunks")
+    gone = dropped_chunks(chunks, 0 if tails else least).groupBy("row").agg(
         F.count("*").alias("n"),
         F.sum("size").alias("bytes"),
         F.sort_array(F.collect_set("keeper")).alias("kept_in"),
