@@ -149,6 +149,32 @@ def test_packing_of_nothing(none):
     assert encoder(default_vocabulary()).encode_ordinary("<|endoftext|>") != [50256]
 
 
+def test_html_long_attributes_end_at_their_quotes():
+    for size in (10, 70_000, 300_000):
+        page = f'a<div data-x="{"y" * size}" title="x>y" hidden>secret</div><p data-x=\'{">" * size}\'>b'
+        assert visible_text(page) == "a\n\nb"
+    assert visible_text('a <b x="' + "y" * 70_000 + ">c") == "a c"
+
+
+def test_html_broken_quotes_take_linear_time():
+    import time
+
+    for unit in ('<a =">" ="', '<a ="', "<a ='>\"", '<a x="\'>' + "<b x='"):
+        start = time.monotonic()
+        visible_text(unit * 60_000 + '=\'')
+        assert time.monotonic() - start < 30, unit
+
+
+def test_html_form_drawing_and_formula_text():
+    assert visible_text("a<textarea>b &amp;\n  c <b></textarea>d") == "a\nb &\n  c <b>\nd"
+    assert visible_text("a<xmp>&amp; <i>b</i></xmp>c") == "a\n\n&amp; <i>b</i>\n\nc"
+    assert visible_text("<select><option>one<option selected>two</select>") == "one\ntwo"
+    assert visible_text("<datalist><option>one</datalist>x") == "x"
+    svg = "<svg><title>t</title><defs><text>no</text></defs><path d='m'/> junk <text>one <tspan>more</tspan></text><text hidden>h</text><text>two</text></svg>"
+    assert visible_text(f"a {svg} b") == "a\none more\ntwo\nb"
+    assert visible_text("<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math>") == "x=1"
+
+
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

@@ -5,7 +5,7 @@ elements, elements closed by their ancestors' ends) whose open and close events
 renderer: blocks are set on lines of their own, paragraphs and the like apart by an empty
 line, list items marked and indented, preformatted text kept, and table cells laid out in
 columns of even width. Text that a browser does not show is left out: head, scripts, styles
-and other non-rendered elements, the ``hidden`` attribute, inline styles ``display: none``
+and other non-rendered elements, what SVG does not draw, the ``hidden`` attribute, inline styles ``display: none``
 and ``visibility: hidden``, closed ``details`` and ``dialog``.
 
 Both parts work from lists and an explicit stack, so depth of nesting is no limit, and
@@ -36,13 +36,17 @@ from tidewater.llm.shared import text_chunks
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
 HIDDEN = set(
-    "head script style title template noscript noembed noframes iframe object audio video canvas svg math datalist "
-    "select textarea param rp area base link meta".split()
+    "head script style title template noscript noembed noframes iframe object audio video canvas datalist "
+    "annotation annotation-xml param rp area base link meta".split()
 )
-APART = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre blockquote table figure hr".split())
+#: Of an svg, text is drawn inside the first, and nothing inside the second.
+DRAWN, UNDRAWN = {"text", "foreignobject"}, set("defs desc metadata symbol clippath mask pattern marker".split())
+#: Elements whose white space is kept.
+KEPT = {"pre", "xmp", "textarea"}
+APART = set("p h1 h2 h3 h4 h5 h6 ul ol dl pre xmp blockquote table figure hr".split())
 BLOCK = APART | set(
     "address article aside body center dd details dialog dir div dt fieldset figcaption footer form header hgroup html "
-    "legend li main menu nav option optgroup search section summary caption".split()
+    "legend li main menu nav option optgroup search section summary caption textarea".split()
 )
 #: A start tag of the key ends open elements of the first set, up to one of the second.
 _ITEM, _CELLS = {"ul", "ol", "menu", "dir"}, {"td", "th"}
@@ -58,7 +62,7 @@ ENDS = {
     "thead": (_CELLS | {"tr", "thead", "tbody", "tfoot", "caption"}, {"table"}),
     "tfoot": (_CELLS | {"tr", "thead", "tbody", "tfoot", "caption"}, {"table"}),
 }
-_CLOSES_P = BLOCK - {"body", "html", "legend", "option", "optgroup", "caption"}
+_CLOSES_P = BLOCK - {"body", "html", "legend", "option", "optgroup", "caption", "textarea"}
 _STOP = {"table", "td", "th", "caption", "html", "body"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)")
@@ -67,25 +71,33 @@ _QUOTED = re.compile(r"""=[ \t\n\r\f]*(["'])""")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
-def _tag_end(page: str, at: int) -> int:
-    """Place of the ``>`` that ends the tag at ``at``, past quoted values; -1 if there is none."""
+def _tag_end(page: str, at: int, last: dict[str, int], failed: set[int]) -> int:
+    """Place of the ``>`` that ends the tag at ``at``, past quoted values; -1 if there is none.
+
+    ``last`` has the page's last quote of each kind and ``failed`` the places from which no
+    end is found, both kept for the page, so that broken pages take linear time.
+    """
     first = end = page.find(">", at)
-    place = at
-    while end >= 0:
+    place, passed = at, []
+    while end >= 0 and place not in failed:
+        passed.append(place)
         quote = _QUOTED.search(page, place, end)
         if not quote:
             return end
-        close = page.find(quote[1], quote.end(), at + (1 << 16))
-        if close < 0:
-            return first
+        if quote[1] not in last:
+            last[quote[1]] = page.rfind(quote[1])
+        if last[quote[1]] < quote.end():
+            break
+        close = page.find(quote[1], quote.end())
         place = close + 1
         end = page.find(">", place) if close > end else end
+    failed.update(passed)
     return first
 
 
 def _parts(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, rest): kind is text, open or close."""
-    at, low = 0, None
+    at, low, last, failed = 0, None, {}, set()
     while at < len(page):
         start = page.find("<", at)
         if start < 0:
@@ -102,7 +114,7 @@ def _parts(page: str) -> Iterator[tuple[str, str, str]]:
             yield "text", "", "<"
             at = start + 1
             continue
-        end = _tag_end(page, start)
+        end = _tag_end(page, start, last, failed)
         if end < 0:
             yield "text", "", page[start:]
             return
@@ -117,7 +129,10 @@ def _parts(page: str) -> Iterator[tuple[str, str, str]]:
         if name in RAW:
             low = low or page.lower()
             stop = low.find(f"</{name}", at) if len(low) == len(page) else page.find(f"</{name}", at)
-            at = len(page) if stop < 0 else stop
+            stop = len(page) if stop < 0 else stop
+            if name in KEPT and stop > at:
+                yield "text", "", page[at:stop].replace("&", "&amp;") if name == "xmp" else page[at:stop]
+            at = stop
 
 
 def _shown(name: str, rest: str) -> bool:
@@ -168,7 +183,7 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
                 push("tr")
                 yield "open", "tr", ""
             yield "open", name, rest
-            if name in VOID:
+            if name in VOID or (rest.endswith("/") and (count["svg"] or count["math"]) and not count["foreignobject"]):
                 yield "close", name, ""
             else:
                 push(name)
@@ -245,18 +260,24 @@ def visible_text(page: str | None) -> str:
     tables: list[list] = []  # rows of open tables
     shut: list[tuple[str, bool]] = []  # open elements with whether they hide
     closed: list[int] = []  # depth of closed details whose summary is shown
+    svg: list[tuple[int, bool]] = []  # depth of open svg and drawn elements, and whether text shows there
     for kind, name, rest in events(page or ""):
         if kind == "text":
+            if svg and not svg[-1][1]:
+                continue
             if not hidden and (not closed or "summary" in (n for n, _ in shut[closed[-1] :])):
                 data = html.unescape(rest) if "&" in rest else rest
                 flow.text(data, kept > 0)
             continue
         if kind == "open":
-            hides = not _shown(name, rest)
+            hides = not _shown(name, rest) or (bool(svg) and name in UNDRAWN)
             shut.append((name, hides))
             hidden += hides
             if hidden:
                 continue
+            if name == "svg" or (svg and name in DRAWN):
+                svg.append((len(shut), name != "svg"))
+                flow.block(False) if name in DRAWN else None
             if name == "details" and not re.search(r"\bopen\b", rest):
                 closed.append(len(shut))
             if name == "br":
@@ -279,7 +300,7 @@ def visible_text(page: str | None) -> str:
                     flow.mark = f"{lists[-1][1]}. " if lists[-1][0] else "- "
                 elif name in ("blockquote", "dd"):
                     flow.indent += 1
-                elif name == "pre":
+                elif name in KEPT:
                     kept += 1
             elif name in ("td", "th"):
                 flow.words.append(" ")
@@ -288,6 +309,9 @@ def visible_text(page: str | None) -> str:
         if not hidden:
             if closed and closed[-1] > len(shut):
                 closed.pop()
+            if svg and svg[-1][0] > len(shut):
+                svg.pop()
+                flow.block(False) if name in DRAWN else None
             if name == "table" and tables:
                 flow.end_line()
                 lines = table_lines(tables.pop())
@@ -300,7 +324,7 @@ def visible_text(page: str | None) -> str:
                     tables[-1][-1].append(flow.lines)
                 flow = outer.pop()
             elif name in BLOCK:
-                if name == "pre":
+                if name in KEPT:
                     flow.end_line(keep_empty="".join(flow.words).strip() != "")
                     kept -= 1
                 flow.block(name in APART and not (name in _ITEM and len(lists) > 1))
