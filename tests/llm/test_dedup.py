@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
+from tidewater.llm import exact_dedup as exact
 from tidewater.llm import simhash_dedup as sim
 from tidewater.llm import substring_dedup as sub
 from tidewater.llm import suffix_dedup as suf
@@ -46,6 +49,58 @@ def test_survivors_leave_one_row_and_all_columns(docs, awkward):
     assert len(texts) == len(set(texts)) or None in got
 
 
+def test_survivors_by_row(spark):
+    """One id with two texts, one of them twice, and texts that differ in case only."""
+    rows = [(5, "A", 1), (5, "B", 1), (5, "B", 1), (7, "x", 1), (7, "X", 2), (7, "x", 3), (8, None, 1), (None, "", 1), (9, "b", 4), (None, "q", 1), (None, "Q", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _digest int").repartition(4)
+    for keep, most in (("largest", 10), ("smallest", 10), ("largest", 1)):
+        left = survivors(docs, keep, most).collect()
+        assert Counter(low(r["text"]) for r in left) == Counter({low(t): 1 for _, t, _ in rows})
+        assert all(tuple(r) in set(rows) for r in left)
+        best = {b"a": 5, b"b": 9 if keep == "largest" else 5, b"x": 7, b"": 8, b"q": None}
+        assert {low(r["text"]): r["doc_id"] for r in left} == best
+
+
+def test_runs_merge_without_sorting():
+    """Pieces of several runs, with keys that they share, against one sorted list."""
+    rng = random.Random(3)
+    keys = [hashlib.sha256(bytes([rng.randrange(40)])).digest() + bytes(24) for _ in range(900)]
+    entries = np.zeros(900, exact._ENTRY)
+    entries["key"], entries["id"], entries["row"] = keys, [rng.randrange(50) for _ in keys], [rng.randrange(3) for _ in keys]
+    entries["null"] = [rng.random() < 0.2 for _ in keys]
+    entries["n"] = entries["same"] = 1
+    for largest in (True, False):
+        runs = []
+        for part in np.array_split(entries, 7):
+            runs.append(exact.collapsed(part[np.argsort(part["key"], kind="stable")], largest))
+        out = exact.collapsed(exact.merged(runs), largest)
+        want = {}
+        for k in set(keys):
+            own = [(bool(e["null"]), (-1 if largest else 1) * int(e["id"]), int(e["row"])) for e in entries if e["key"] == np.array(k, "S56")]
+            want[k.rstrip(b"\0")] = (min(own), len(own), own.count(min(own)))
+        got = {bytes(e["key"]): ((bool(e["null"]), (-1 if largest else 1) * int(e["id"]), int(e["row"])), int(e["n"]), int(e["same"])) for e in out}
+        assert got == want and list(out["key"]) == sorted(out["key"])
+
+
+@pytest.mark.parametrize("piece", [1, 3])
+def test_long_runs_come_in_pieces(spark, monkeypatch, piece):
+    """Many pieces a run, in this process: keys, best ids and counts stay whole."""
+    monkeypatch.setattr(exact, "PIECE", piece)
+    rows = [(i, hashlib.sha256(b"%d" % (i % 60)).digest()) for i in range(300)]
+    pieces = []
+    for part in range(5):
+        own = np.zeros(60, exact._ENTRY)
+        own["key"], own["id"] = [d + bytes(24) for _, d in rows[part::5]], [i for i, _ in rows[part::5]]
+        own["n"] = own["same"] = 1
+        run = exact.collapsed(own[np.argsort(own["key"], kind="stable")], True)
+        for batch in exact._pieces(run, 0, 4):
+            pieces += batch.to_pylist()
+    pieces.sort(key=lambda r: (r["bucket"], r["block"], r["first"]))
+    batch = pa.record_batch([pa.array([p[c] for p in pieces]) for c in ("bucket", "block", "first", "entries")], names=["bucket", "block", "first", "entries"])
+    out = np.concatenate([np.frombuffer(e, exact._ENTRY) for b in exact._merge(iter([batch]), True) for e in b.column("entries").to_pylist()])
+    assert len(out) == 60 and sorted(out["id"]) == list(range(240, 300)) and set(out["n"]) == {5}
+
+
 def test_empty(none):
     assert exact_dedup(none).count() == survivors(none).count() == 0
     assert sim.near_duplicates(none).count() == 0
@@ -203,7 +258,8 @@ def last_size(text):
     return ends[-1] - ([0] + ends)[-2]
 
 
-def suffix_brute(raws, length):
+def covered(raws, length):
+    """For each text, the bytes in strings of ``length`` bytes that start at two places."""
     counts = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
     out = []
     for raw in raws:
@@ -211,34 +267,81 @@ def suffix_brute(raws, length):
         for i in range(len(raw) - length + 1):
             if counts[raw[i : i + length]] > 1:
                 gone[i : i + length] = b"\1" * length
+        out.append(gone)
+    return out
+
+
+def suffix_brute(raws, length, short=288):
+    out = []
+    for raw, gone, alike in zip(raws, covered(raws, length), covered(raws, short)):
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        spans = sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
-        out.append((len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+        runs = re.finditer(b"\1+", bytes(gone))
+        passages = sum(len(raw[m.start() : m.end()].split()) >= 50 for m in re.finditer(b"\1+", bytes(alike)))
+        out.append((len(raw), sum(gone), sum(1 for _ in runs), hashlib.sha256(kept).hexdigest(), passages))
     return out
 
 
-@pytest.mark.parametrize("hot_limit", [20_000, 2])
+@pytest.mark.parametrize("hot_limit", [20_000, 2, 1])
 def test_suffix(docs, awkward, hot_limit):
-    short = docs.filter("doc_id is null or doc_id <> 10")
-    rows = [r for r in awkward if r[0] != 10]
-    want = suffix_brute([(r[1] or "").encode() for r in rows], 400)
-    got = suf.suffix_dedup(short, hot_limit=hot_limit).collect()
-    assert Counter(tuple(r) for r in got) == Counter((r[0], *w) for r, w in zip(rows, want))
+    want = suffix_brute([(r[1] or "").encode() for r in awkward], 400)
+    got = suf.suffix_dedup(docs, hot_limit=hot_limit).collect()
+    assert Counter(tuple(r) for r in got) == Counter((r[0], *w) for r, w in zip(awkward, want))
 
 
-def test_suffix_partial_overlaps(spark):
-    """Passages that start and end anywhere, at every offset to an anchor."""
+@pytest.mark.parametrize("hot_limit", [20_000, 3])
+def test_suffix_partial_overlaps(spark, hot_limit):
+    """Passages that start and end anywhere, at every offset to an anchor; some in many copies, some in texts cut short."""
     rng = random.Random(8)
     word = lambda n: bytes(rng.choice(b"abcd ef") for _ in range(n))
-    passages = [word(n) for n in (395, 400, 401, 450, 900)]
+    passages = [word(n) for n in (280, 289, 330, 395, 400, 401, 450, 900)]
     raws = []
-    for p in passages * 6:
+    for p in passages * 8:
         cut = p[rng.randint(0, 3) :]
-        raws.append(word(rng.randint(0, 300)) + cut + word(rng.randint(0, 300)))
+        raws.append(word(rng.randint(0, 300)) + cut + word(rng.choice((0, 0, 40, rng.randint(0, 300)))))
+    raws += [passages[-1][200:]] * 3 + [b"ab" * 400, b"x" * 700, b"x" * 420]
     rows = spark.createDataFrame([(i, r.decode()) for i, r in enumerate(raws)], "doc_id long, text string")
-    got = {r[0]: tuple(r)[1:] for r in suf.suffix_dedup(rows).collect()}
+    got = {r[0]: tuple(r)[1:] for r in suf.suffix_dedup(rows, hot_limit=hot_limit).collect()}
     for i, w in enumerate(suffix_brute(raws, 400)):
-        assert got[i] == w
+        assert got[i] == w, i
+
+
+def test_suffix_tells_strings_of_one_hash_apart(monkeypatch):
+    """With a hash that brings all strings together, the bytes decide; and long texts in pieces."""
+    rng = random.Random(5)
+    base = bytes(rng.choice(b"abcdefgh") for _ in range(700))
+    group = suf._Group()
+    at, texts = 150, [base, base[:60] + b"!" + base[61:], base[:350] + b"?" + base[351:], base[:149] + b"#" + base[150:]]
+    order = sorted(texts, key=lambda t: t[at : at + 400])
+    before = b""
+    for t in order:
+        suffix = t[at : at + 400]
+        shared = next((k for k, (x, y) in enumerate(zip(before, suffix)) if x != y), min(len(before), len(suffix)))
+        group.add(suffix, t[:at], shared, 0, [(0, at)])
+        before = suffix
+    want = []
+    for length in (400, 288):
+        strings = Counter(t[p : p + length] for t in order for p in range(at + 1) if p + length <= at + 400)
+        again = [[p for p in range(at + 1) if strings[t[p : p + length]] > 1] for t in order]
+        want.append([(min(a), max(a)) if a else None for a in again])
+    for _ in range(2):
+        got = [[(a, b) if b >= 0 else None for a, b in zip(low.tolist(), high.tolist())] for low, high in group.spans((400, 288))]
+        assert got == want
+        monkeypatch.setattr(suf.Rolling, "of", lambda self, start, stop: (start % 2).astype(np.uint64))
+
+
+def test_suffix_of_a_long_text_in_pieces(monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcde f") for _ in range(30_000))
+    batch = pa.record_batch([pa.array([7]), pa.array([text])], names=["row", "text"])
+    places = []
+    for size in (1 << 20, 1000):
+        monkeypatch.setattr(suf, "CHUNK_BYTES", size)
+        found = set()
+        for data, ends, offset in suf._pieces(batch, 288):
+            for at, first, last, _ in zip(*(x.tolist() for x in suf.anchors_of(data, ends, 288, 192))):
+                found |= {(at + offset, p + offset) for p in range(first, last + 1)}
+        places.append(found)
+    assert places[0] == places[1] and len(places[0]) == 30_000 - 287
 
 
 def test_loser_tree_merges_with_known_prefixes():
@@ -248,7 +351,7 @@ def test_loser_tree_merges_with_known_prefixes():
     coded = []
     for run in runs:
         shared, tails, lengths = suf.front_coded(run)
-        coded.append(suf._decoded(shared.tobytes(), tails, lengths.tobytes()))
+        coded.append(suf._decoded(shared.tolist(), tails, lengths.tolist()))
     out = list(suf.merged(coded))
     assert [s for _, s, _ in out] == sorted(strings)
     before = b""

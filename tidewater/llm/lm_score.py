@@ -252,6 +252,7 @@ def _numbered(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.
 def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
     net = Network(side=words.side)
     size = len(net.flat())
+    width = -(-(size + 1) // BLOCKS)
 
     for turn in range(rounds):
         start = docs.sparkSession.sparkContext.broadcast((words, net.flat()))
@@ -275,13 +276,16 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
                         squares["near"][k][ids] = held
                         own.weights["near"][k][ids] -= RATE * g / np.sqrt(held)
                 seen += len(picked)
-            weighted = np.append(own.flat() * float(seen), seen)
-            yield block_batch(np.array_split(weighted, BLOCKS), TaskContext.get().partitionId())
-
-        sums = sum_blocks(_texts(docs).mapInArrow(run, BLOCK_SCHEMA))
-        total = np.concatenate([sums[k] for k in range(BLOCKS)]) if sums else np.zeros(size + 1)
+            weighted = np.zeros(BLOCKS * width)
+            weighted[:size], weighted[-1] = own.flat() * float(seen), seen
+            yield block_batch(list(weighted.reshape(BLOCKS, width)), TaskContext.get().partitionId())
+
+        total = np.zeros((BLOCKS, width))
+        for block, values in sum_blocks(_texts(docs).mapInArrow(run, BLOCK_SCHEMA), width).items():
+            total[block] = values
+        total = total.ravel()
         if total[-1]:
-            net.load(total[:-1] / total[-1])
+            net.load(total[:size] / total[-1])
     return net
 
 
