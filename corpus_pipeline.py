@@ -1,48 +1,51 @@
 """Corpus preparation: five stages over ``documents``, each written out before the next.
 
 A stage takes (spark, docs, sf_dir) and returns the documents it keeps, all columns as they
-were; the last returns the packed pieces. Documents are told apart by ``doc_id``: rows that
-share an id stand or fall together, but of whole repeated rows the exact dedup leaves one.
+were; the last returns the packed pieces. Verdicts are those of rows, told apart by ``doc_id``
+and a hash of all columns: rows that share an id but not their text are judged apart. Rows
+that agree in all columns stand or fall together, until the exact dedup leaves one of them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm.decontaminate import contamination
+from tidewater.llm.decontaminate import contamination_rows
 from tidewater.llm.exact_dedup import survivors
-from tidewater.llm.packing import SPECIAL, pack
-from tidewater.llm.quality import quality_verdicts
+from tidewater.llm.packing import pack
+from tidewater.llm.quality import quality_rows
 from tidewater.llm.shared import rows_with, staged, table
-from tidewater.llm.simhash_dedup import near_duplicates
+from tidewater.llm.simhash_dedup import near_duplicate_rows, representatives
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance-resampling classifier selects."""
-    verdicts = quality_verdicts(docs, table(spark, sf_dir, "labels"))
-    return rows_with(docs, verdicts.filter("selected").select("doc_id"))
+    """Documents that the importance resampling selects."""
+    verdicts = quality_rows(docs, table(spark, sf_dir, "labels"))
+    return rows_with(docs, staged(verdicts.filter("not selected").select("doc_id", "row_key"), "rejected"), without=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the largest id, of every group of equal texts."""
+    """One document, of the largest id, of every group of equal texts."""
     return survivors(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of every component of near duplicates."""
-    found = near_duplicates(docs)
-    return rows_with(docs, found.filter("doc_id <=> component_id").select("doc_id"))
+    """One document, of the least id, of every component of near duplicates."""
+    found = staged(near_duplicate_rows(docs).select("doc_id", "row_key", "root"), "components")
+    first = staged(representatives(found), "representatives")
+    rest = found.select("doc_id", "row_key").subtract(first)
+    return rows_with(docs, staged(rest, "near-copies"), without=True)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word window of a benchmark item."""
-    verdicts = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return rows_with(docs, verdicts.filter("not contaminated").select("doc_id"))
+    verdicts = contamination_rows(docs, table(spark, sf_dir, "benchmark"))
+    return rows_with(docs, staged(verdicts.filter("contaminated").select("doc_id", "row_key"), "contaminated"), without=True)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids, laid into windows."""
-    return pack(docs, special=SPECIAL)
+    return pack(docs)
 
 
 STAGES = [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -10,13 +11,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import lm_score as lm
 from tidewater.llm import pii, quality
-from tidewater.llm.decontaminate import contamination, phrase_matches, positional_store, rarest_terms, term_counts, windows_of
+from tidewater.llm import decontaminate as dec
+from tidewater.llm.decontaminate import contamination
 from tidewater.llm.html_text import extract_text, visible_text
 from tidewater.llm.packing import Levels, default_vocabulary, encoder, pack
-from tidewater.llm.shared import ASCII_LOWER, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, co_located, utf8_view
 from tidewater.llm.tokens import tokens_of
 
 
@@ -54,15 +57,68 @@ def test_contamination_of_nothing(spark, docs, none, awkward):
     assert contamination(none, items).count() == 0
 
 
+def _hits(spark, docs, items, slop, block=50_000):
+    """Words that belong to a match, by row, and the postings they were found by."""
+    store = dec.positional_store(docs, 4)
+    windows, _ = dec.windows_of(items)
+    index = dec.inverted_index(store, windows, 4, block)
+    found = defaultdict(set)
+    for r in dec.phrase_hits(index, dec.ranked_windows(windows, index), slop, block).collect():
+        found[r["row"]] |= set(range(r["start"], r["start"] + r["n"]))
+    return {r["row"]: (r["doc_id"], r["words"]) for r in store.collect()}, found, index
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y y gamma"), (2, "alpha beta gamma"), (3, "gamma beta alpha"), (4, "alpha x x x beta gamma")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    store = positional_store(docs)
-    windows, _ = windows_of(items)
-    chosen = rarest_terms(windows, term_counts(store, windows.selectExpr("explode(terms) as term").distinct()))
-    ids = {r["row"]: r["doc_id"] for r in store.collect()}
-    hits = lambda slop: {ids[r["row"]] for r in phrase_matches(store, chosen, slop).collect()}
-    assert hits(0) == {2} and hits(2) == {1, 2} and hits(3) == {1, 2, 4}
+    for slop, want in ((0, {2}), (2, {1, 2}), (3, {1, 2, 4})):
+        rows, found, _ = _hits(spark, docs, items, slop)
+        assert {rows[r][0] for r in found} == want
+
+
+def chained(doc, terms, slop):
+    """Places of words on a chain through all terms, by trying all chains."""
+    out = set()
+
+    def walk(k, path):
+        if k == len(terms):
+            out.update(path)
+            return
+        low, high = (0, len(doc)) if not path else (path[-1] + 1, min(path[-1] + 2 + slop, len(doc)))
+        for p in range(low, high):
+            if doc[p] == terms[k]:
+                walk(k + 1, [*path, p])
+
+    walk(0, [])
+    return out
+
+
+@pytest.mark.parametrize(("slop", "block"), [(0, 50_000), (1, 50_000), (2, 1)])
+def test_phrases_and_proximity_against_all_chains(spark, slop, block):
+    rng = random.Random(slop)
+    draw = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))
+    docs = [(i, draw(rng.randint(0, 60))) for i in range(30)] + [(None, "a b c"), (40, None)]
+    items = [(1, draw(3)), (2, draw(4)), (3, "a"), (4, "a b"), (5, "a a a"), (6, "a zz b"), (7, draw(5))]
+    rows, found, index = _hits(spark, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), slop, block)
+    assert len(rows) == len(docs)
+    for row, (_, words) in rows.items():
+        assert found.get(row, set()) == set().union(*(chained(words, t.split(), slop) for _, t in items))
+    terms = {r["id"]: r["term"] for r in index.terms.collect()}
+    listed = Counter((terms[r["id"]], r["row"], r["pos"]) for r in index.postings.collect())
+    used = {w for _, t in items for w in t.split()}
+    assert listed == Counter((w, row, k) for row, (_, words) in rows.items() for k, w in enumerate(words) if w in used)
+
+
+def test_lists_meet_where_they_lie(spark, docs):
+    """The postings are not moved when they are intersected."""
+    items = spark.createDataFrame([(1, "w1 w2 w3 w4")], "item_id long, text string")
+    windows, _ = dec.windows_of(items)
+    index = dec.inverted_index(dec.positional_store(docs, 4), windows, 4)
+    wanted = index.postings.groupBy("id").agg(F.max("row").alias("row"), F.max("pos").alias("pos"))
+    with co_located(spark):
+        plan = dec._listed(index, wanted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 2 and "hashpartitioning(id" in plan and "hashpartitioning(row" in plan
+    assert "Python" not in plan and "MapInArrow" not in plan
 
 
 def test_packing(spark, docs, awkward):
@@ -70,7 +126,6 @@ def test_packing(spark, docs, awkward):
     import public_tokenizers
 
     tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     pieces = [r.asDict() for r in pack(docs).collect()]
     ids = Counter()
     for r in awkward:
@@ -146,7 +201,17 @@ def test_levels_choose_the_least_sum_of_squares():
 
 def test_packing_of_nothing(none):
     assert pack(none).count() == 0
-    assert encoder(default_vocabulary()).encode_ordinary("<|endoftext|>") != [50256]
+    assert encoder(default_vocabulary())("").tolist() == []
+
+
+def test_ids_of_pieces_are_those_of_the_library():
+    """Random texts, white space, contractions, signs and letters next to each other; and every single character."""
+    encode, rng = encoder(default_vocabulary()), random.Random(11)
+    parts = [" ", "  ", "\n", "\t", "\xa0", "'s", "'ll", "'", "abc", "Zür", "ß", "12", "²", "½", "_", "...", "$$$", "e\u0301", "\x1c", "\x85", "日本", "🙂", "<|endoftext|>", "\u2003", "ǅ", "\xad"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    texts += ["a" * 500 + " " * 300, *(f"x{chr(c)}y {chr(c)}{chr(c)} z" for c in range(0x250))]
+    for text in texts:
+        assert encode(text).tolist() == encode.whole(text), repr(text)
 
 
 def test_html_long_attributes_end_at_their_quotes():
@@ -347,8 +412,19 @@ def test_quality(graded):
     by = defaultdict(list)
     for r in got:
         if r["doc_id"] is not None and r["doc_id"] < 900:
-            by["bad" if r["doc_id"] % 6 < 2 else "clean"].append(r["selected"])
-    assert np.mean(by["clean"]) > 0.97 and np.mean(by["bad"]) < 0.05
+            by[r["doc_id"] % 6].append(r["selected"])
+    assert min(np.mean(by[k]) for k in range(2, 6)) > 0.97 and np.mean(by[0]) < 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the given tables")
+def test_quality_on_held_out_labels(spark):
+    """Of the given documents, by labels that neither the target model nor the cut has seen."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    seen = F.xxhash64("doc_id", F.lit(3)) % 4 != 0
+    got = quality.quality_verdicts(docs, labels.filter(seen)).join(labels.filter(~seen), "doc_id")
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    share = {r["good"]: r["kept"] for r in got.groupBy(good.alias("good")).agg(F.avg(F.col("selected").cast("int")).alias("kept")).collect()}
+    assert share[True] > 0.96 and share[False] < 0.55, share
 
 
 def test_quality_sample_size_and_ties(spark, graded):
@@ -356,12 +432,59 @@ def test_quality_sample_size_and_ties(spark, graded):
     keyed = quality.quality_verdicts(docs, labels, k=100).collect()
     chosen = sorted((r["gumbel_key"] for r in keyed if r["selected"]), reverse=True)
     assert len(chosen) == 100 and chosen == sorted((r["gumbel_key"] for r in keyed), reverse=True)[:100]
-    keys = spark.createDataFrame([(float(i % 7), i) for i in range(500)], "key double, doc_id long")
+    keys = spark.createDataFrame([(-float(i % 7), i // 2, i) for i in range(500)], "key double, doc_id long, place long")
+    want = sorted((-float(i % 7), i // 2, i) for i in range(500))
     for k in (1, 71, 72, 250, 499):
-        want = sorted(((i % 7, -i) for i in range(500)), reverse=True)[k - 1]
-        assert quality.kth_key(keys, k, small=80, bins=4) == (float(want[0]), -want[1])
-        assert quality.kth_key(keys, k, small=20, bins=4) == (float(want[0]), None)
-        assert quality.kth_key(keys, k) == (float(want[0]), -want[1])
+        for small in (4096, 20) if k == 71 else (80,):
+            assert quality.kth_row(keys, ["key", "doc_id", "place"], k, small=small, bins=4) == want[k - 1]
+    far = spark.createDataFrame([(1e300, 1), (1e300, 2), (1e-300, 3), (0.0, 4), (-1e300, 2**62), (5.0, 2**62 + 1)], "key double, place long")
+    for k in (1, 4, 6):
+        assert quality.kth_row(far, ["key", "place"], k, small=1, bins=2) == sorted(tuple(r) for r in far.collect())[k - 1]
+
+
+def test_quality_takes_exactly_k_of_rows_that_tie(spark, none):
+    docs = spark.createDataFrame([(1, "same text")] * 60 + [(None, None)] * 5, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for k in (0, 1, 30, 62, 65, 80):
+        assert quality.quality_verdicts(docs, labels, k=k).filter("selected").count() == min(k, 65)
+
+
+def test_quality_weights_keys_and_noise_by_brute_force(spark, graded):
+    """Each weight is the sum of log ratios of the counts; keys add the noise of a draw without replacement."""
+    docs, labels = graded
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+    marks = {r["label_id"]: (r["good"], r["held"]) for r in quality.labelled_sample(labels).collect()}
+
+    def grams(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        t = tokens_of(data, np.array([0, len(data)]))
+        uni, bi, paired = quality._grams(t)
+        return [*uni.tolist(), *bi[paired].tolist()]
+
+    raw, target = Counter(), Counter()
+    for i, text in rows:
+        raw.update(grams(text))
+        if marks.get(i, (0, True)) == (1, False):
+            target.update(grams(text))
+    model = lambda g: next(m for m in range(2) if g < quality.STARTS[m + 1])
+    total = lambda counts, m: sum(n for g, n in counts.items() if model(g) == m)
+    rate = [total(target, m) / total(raw, m) for m in range(2)]
+
+    def weight(g):
+        m = model(g)
+        return np.log((target[g] + quality.PRIORS[m]) / (raw[g] * rate[m] + quality.PRIORS[m]))
+
+    got = quality.quality_verdicts(docs, labels).collect()
+    want = Counter((i, round(sum(map(weight, grams(text))), 2)) for i, text in rows)
+    near = Counter((r["doc_id"], round(r["log_weight"], 2)) for r in got)
+    assert sum((want - near).values()) <= 0.02 * len(rows)  # of rounding at the edge
+    by_id = {i: sum(map(weight, grams(text))) for i, text in rows if i != 5}
+    assert all(abs(by_id[r["doc_id"]] - r["log_weight"]) < 1e-3 for r in got if r["doc_id"] in by_id)
+    noise = np.array([r["gumbel_key"] - r["log_weight"] for r in got])
+    assert abs(noise.mean() - 0.5772) < 0.15 and abs(noise.var() - np.pi**2 / 6) < 0.4
+    order = sorted(got, key=lambda r: -r["log_weight"])
+    plain = {id(r) for r in order[: sum(r["selected"] for r in got)]}
+    assert {id(r) for r in got if r["selected"]} != plain  # the noise decides at the margin
 
 
 def test_quality_without_labels_or_rows(graded, none):
@@ -447,7 +570,7 @@ def test_lm_trains_on_every_position(spark, monkeypatch):
     monkeypatch.setattr(lm.Network, "gradient_rows", noted)
     # in this process: the tasks' copies of the class are not patched
     monkeypatch.setattr(lm, "_texts", lambda docs: _Here(docs))
-    monkeypatch.setattr(lm, "sum_blocks", lambda batches: {})
+    monkeypatch.setattr(lm, "sum_blocks", lambda batches, width: {})
     monkeypatch.setattr(lm.TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
     lm.trained(docs, words)
     every = words.numbers_of(np.concatenate([tokens_of(*utf8_view(b.column("text"))).code for b in docs.toArrow().to_batches()]))

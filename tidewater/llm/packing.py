@@ -12,8 +12,8 @@ sequences whose lengths are powers of two, which need no padding. A task holds o
 open windows (at most one per level and surplus item) in memory.
 
 Defined results:
-* a null or empty text is one id, the end id; ids come from a byte-level BPE, where the
-  strings in ``special`` are one id each (the queries give ``SPECIAL``) and by default ordinary text;
+* a null or empty text is one id, the end id; ids are those of the ``tokenizers`` library
+  without special tokens put in (an added token that stands in a text is found there);
 * every id of every input row lies in exactly one piece; repeated rows are packed again;
 * a null id is carried as null; an empty table gives an empty result; other columns of the
   input are not looked at; sequence ids are unique, not dense, and depend on the layout of
@@ -22,14 +22,14 @@ Defined results:
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
+import regex
+import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +38,6 @@ from tidewater.llm.shared import text_chunks
 
 WINDOW = 1024
 END_ID = 0
-#: The added tokens of ``byte_bpe_50k.json``, which the library finds in texts under add_special_tokens=False too.
-SPECIAL = (("<|endoftext|>", 50256),)
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
@@ -48,19 +46,57 @@ _ROWS = 20_000
 
 
 def default_vocabulary() -> str:
-    """The rank file of the byte-level BPE with the ids of ``byte_bpe_50k.json``."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+class Encoder:
+    """Token ids of the library, those of the pieces it cuts texts into kept for the next time.
+
+    A byte-level vocabulary with the usual pattern never joins bytes over the ends of a
+    piece, so the ids of a text are those of its pieces. Texts with characters whose class
+    the two libraries might not agree on, or with an added token, go to the library whole.
+    """
+
+    #: Pieces whose ids are kept, and the longest such piece.
+    KEPT, LONGEST = 1 << 20, 64
+    # Fixed value: the pattern by which a byte-level vocabulary cuts texts.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+    def __init__(self, vocabulary: str) -> None:
+        self.library = tokenizers.Tokenizer.from_file(vocabulary)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        kind = self.library.pre_tokenizer
+        usual = isinstance(kind, tokenizers.pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
+        usual = usual and self.library.normalizer is None and self.library.truncation is None
+        self.pieces = regex.compile(self.PATTERN).findall
+        self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f]" if usual else "(?s:.)").search
+        self.known: dict[str, list[int]] = {}
+
+    def whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.odd(text) or any(t in text for t in self.added):
+            return np.array(self.whole(text), dtype=np.uint32)
+        ids: list[int] = []
+        known = self.known
+        for piece in self.pieces(text):
+            own = known.get(piece)
+            if own is None:
+                own = self.whole(piece)
+                if len(piece) <= self.LONGEST:
+                    if len(known) >= self.KEPT:
+                        known.clear()
+                    known[piece] = own
+            ids += own
+        return np.array(ids, dtype=np.uint32)
 
 
 @cache
-def encoder(vocabulary: str, special: tuple[tuple[str, int], ...] = ()) -> tiktoken.Encoding:
-    import public_tokenizers
-
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
+def encoder(vocabulary: str) -> Encoder:
+    return Encoder(vocabulary)
 
 
 class Levels:
@@ -135,8 +171,8 @@ def _cut(piece: tuple, size: int) -> tuple[tuple, tuple | None]:
     return (doc, start, size, ids[:size], total), (doc, start + size, length - size, ids[size:], total)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str, special: tuple) -> Iterator[pa.RecordBatch]:
-    encode, levels = encoder(vocabulary, special).encode_to_numpy, Levels(window)
+def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
+    encode, levels = encoder(vocabulary), Levels(window)
     sequence = TaskContext.get().partitionId() << 33
     rows: list[tuple] = []
 
@@ -155,7 +191,7 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str, spe
 
     for batch in text_chunks(batches):
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = np.append(encode(text or "", allowed_special="all"), np.uint32(END_ID))
+            ids = np.append(encode(text or ""), np.uint32(END_ID))
             total = len(ids)
             whole = total - total % window
             for start in range(0, whole, window):
@@ -170,12 +206,12 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str, spe
         yield given()
 
 
-def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None, special: tuple = ()) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     path = vocabulary or default_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _packed(batches, window, path, special)
+        return _packed(batches, window, path)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SCHEMA)

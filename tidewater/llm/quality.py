@@ -1,36 +1,41 @@
 """Quality classifier by importance resampling of hashed n-gram models.
 
-Two bags of hashed n-grams are counted: the raw one over every document, the target one
-over the labelled documents of good quality that aren't toxic. The log ratio of a gram's
-chance under target and raw text is its weight; a rare gram is held near the raw model by
-``prior`` pseudo-counts. A long clean text would outweigh one bad passage, so a document's
-ratio is that of its worst passage of ``passage`` tokens, once for unigrams and once for
-unigrams and bigrams together. The cuts below which a passage speaks against a document
-are read off the labelled sample. ``log_weight`` is the lesser margin over the two cuts,
-at least zero for what the classifier accepts.
-
-Resampling is Gumbel top-k: k is the number of documents accepted, the keys are
-``log_weight / temperature`` plus Gumbel noise drawn from the document id, and the k
-largest keys are selected. A low temperature keeps the sample close to the verdicts; the
-noise decides among documents at the margin. The cuts come from labelled documents that
-are held out of the target bag: one whose own words are in the bag looks better than it is.
+Two generative models of hashed unigrams and bigrams are counted: the raw one over every
+document, the target one over the labelled documents of good quality that aren't toxic. The
+importance of a document is the ratio of its chances under the two; ``log_weight`` is that
+ratio's log, the sum over all its grams of log(target chance / raw chance). The target's
+chances are smoothed towards the raw ones by pseudo-counts (``priors``), so a gram that
+says little weighs little. As all grams count, a long text of common words outweighs a few
+bad ones: few toxic words in a long clean text are not caught.
+
+Resampling is Gumbel top-k: the keys are ``log_weight`` plus standard Gumbel noise drawn
+from the document, and the ``k`` largest keys are selected, which draws k documents without
+replacement with chances in proportion to their importance. ``k`` is a parameter. By
+default it is the number of documents whose log_weight reaches the cut that parts good from
+bad labelled documents best, a lost good one counting ``KEEP_WEIGHT`` times; only the size
+comes from there, which documents are taken is up to weights and noise. The cut is read off
+labelled documents that are held out of the target model: one whose own words are in the
+model looks better than it is.
 
 Bounds: ``MAX_LABELLED`` labelled rows (taken by id hash) are broadcast and used for the
-target bag and the cuts; everything else is counted over all documents. The bags have a
+target model and the cut; everything else is counted over all documents. The models have a
 fixed number of buckets, so what reaches the driver does not grow with the corpus.
 
 Defined results:
 * labels with a null id, or null in both marks, are passed over; an id labelled more than
-  once is good only if all its labels say so; without any good label nothing is rejected;
-* null or wordless text has no evidence against it (both worst passages are 0);
-* each row has one result row; rows that repeat an id share its noise, and equal keys with
-  equal ids at the k-th place are all selected; an empty table gives an empty result.
+  once is good only if all its labels say so; without any good label all weights are 0, and
+  without labels of both sorts among those held out k is the number of documents;
+* null or wordless text has weight 0; each row has one result row; repeated rows share
+  their weight and noise;
+* exactly k rows are selected: equal keys are taken in the order of id (null last) and then
+  of place in the table; an empty table gives an empty result; extra columns are not looked
+  at, but tell rows of one id apart in their noise.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +43,20 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, staged, sum_blocks, text_chunks, utf8_view
-from tidewater.llm.tokens import Tokens, mixed, tokens_of
+from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, row_key, staged, sum_blocks, text_chunks, utf8_view
+from tidewater.llm.tokens import Tokens, mixed, per_text, tokens_of
 
-UNIGRAM_BITS, BIGRAM_BITS = 20, 18
-BUCKETS = (1 << UNIGRAM_BITS) + (1 << BIGRAM_BITS)
+#: Bits of the hash, and pseudo-counts that hold the target near the raw model, of unigrams and bigrams.
+BITS, PRIORS = (20, 18), (2.0, 300.0)
+STARTS = np.cumsum([0, *(1 << b for b in BITS)]).tolist()
+BUCKETS = STARTS[-1]
 MAX_LABELLED = 50_000
-PRIOR = 2.0
-PASSAGE = 16
-TEMPERATURE = 0.05
-#: How much a lost good document counts against a kept bad one when a cut is chosen.
-KEEP_WEIGHT = 3.0
-#: Tenths of the labelled sample that are held out of the target bag, for the cuts.
+#: How much a lost good document counts against a kept bad one when the sample's size is chosen.
+KEEP_WEIGHT = 5.0
+#: Tenths of the labelled sample that are held out of the target model.
 HELD_OUT = 3
-#: Share of good labelled documents that the second cut may lose.
-SECOND_LOSS = 0.002
 _BLOCKS = 40
+_LAST = (1 << 63) - 1
 
 
 def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
@@ -67,9 +70,8 @@ def labelled_sample(labels: DataFrame, most: int = MAX_LABELLED) -> DataFrame:
 
 def _grams(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigram buckets, bigram buckets, and where a token has a bigram (with the next one)."""
-    uni = (t.code >> np.uint64(64 - UNIGRAM_BITS)).astype(np.int64)
     pair = mixed(t.code[:-1] * np.uint64(0x9E3779B97F4A7C15) + t.code[1:])
-    bi = (pair >> np.uint64(64 - BIGRAM_BITS)).astype(np.int64) + (1 << UNIGRAM_BITS)
+    uni, bi = ((code >> np.uint64(64 - bits)).astype(np.int64) + start for code, bits, start in zip((t.code, pair), BITS, STARTS))
     return uni, bi, t.text[1:] == t.text[:-1]
 
 
@@ -95,41 +97,26 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
     each = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), "good")
     counts = np.zeros((2, _BLOCKS, width))
-    for block, total in sum_blocks(each.mapInArrow(run, BLOCK_SCHEMA)).items():
+    for block, total in sum_blocks(each.mapInArrow(run, BLOCK_SCHEMA), 2 * width).items():
         counts[:, block] = total.reshape(2, width)
     return counts.reshape(2, -1)[:, :BUCKETS]
 
 
-def gram_weights(docs: DataFrame, sample: DataFrame, prior: float = PRIOR) -> np.ndarray | None:
-    """Log ratio of target to raw chance per bucket; None if there is no target text."""
+def gram_weights(docs: DataFrame, sample: DataFrame, priors: Sequence[float] = PRIORS) -> np.ndarray:
+    """Log ratio of target to raw chance per bucket; zeros if there is no target text."""
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("label_id"), "left")
     target = (F.col("good") * (~F.col("held")).cast("int")).alias("good")
     raw, target = gram_counts(marked.select("text", target))
-    weights = np.empty(BUCKETS, dtype=np.float32)
-    cut = 1 << UNIGRAM_BITS
-    for part in (slice(0, cut), slice(cut, BUCKETS)):
-        if not target[part].sum():
-            if part.start == 0:
-                return None
-            weights[part] = 0
-            continue
-        expected = raw[part] * (target[part].sum() / raw[part].sum())
-        weights[part] = np.log((target[part] + prior) / (expected + prior))
+    weights = np.zeros(BUCKETS, dtype=np.float32)
+    for a, b, prior in zip(STARTS, STARTS[1:], priors):
+        if target[a:b].sum():
+            rate = target[a:b].sum() / raw[a:b].sum()
+            weights[a:b] = np.log((target[a:b] + prior) / (raw[a:b] * rate + prior))
     return weights
 
 
-def _worst(values: np.ndarray, text: np.ndarray, n: int, passage: int) -> np.ndarray:
-    """Least sum of ``passage`` neighbouring values of each text; 0 for texts without any."""
-    out = np.zeros(n)
-    if len(values):
-        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        low = np.maximum(np.arange(len(values)) - passage + 1, np.searchsorted(text, text, side="left"))
-        np.minimum.at(out, text, sums[1:] - sums[low])
-    return out
-
-
-def passage_scores(docs: DataFrame, weights: np.ndarray, passage: int = PASSAGE) -> DataFrame:
-    """(doc_id, first, second): worst passages by unigrams, and with bigrams."""
+def log_weights(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, row_key, log_weight): the log importance of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,100 +125,99 @@ def passage_scores(docs: DataFrame, weights: np.ndarray, passage: int = PASSAGE)
             data, ends = utf8_view(batch.column("text"))
             t = tokens_of(data, ends)
             uni, bi, paired = _grams(t)
-            one = w[uni].astype(np.float64)
-            both = one.copy()
-            both[:-1] += np.where(paired, w[bi], 0)
-            scores = [_worst(v, t.text, batch.num_rows, passage) for v in (one, both)]
-            yield pa.record_batch([batch.column("doc_id"), *map(pa.array, scores)], names=["doc_id", "first", "second"])
+            value = w[uni].astype(np.float64)
+            value[:-1] += np.where(paired, w[bi], 0)
+            columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(per_text(value, t.text, batch.num_rows))]
+            yield pa.record_batch(columns, names=["doc_id", "row_key", "log_weight"])
 
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    return rows.mapInArrow(run, "doc_id long, first double, second double")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text, row_key(docs).alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, log_weight double")
 
 
-def choose_cuts(first: np.ndarray, second: np.ndarray, good: np.ndarray, keep_weight: float = KEEP_WEIGHT) -> tuple[float, float]:
-    """Cuts on the two scores: the best trade of kept and caught, and a loss of few good ones."""
+def choose_cut(weight: np.ndarray, good: np.ndarray, keep_weight: float = KEEP_WEIGHT) -> float:
+    """The weight that parts good from bad labelled documents best; -inf without both sorts."""
     if good.all() or not good.any():
-        return -math.inf, -math.inf
-    tried = np.quantile(first, np.linspace(0, 1, 1001))
-    kept = np.searchsorted(np.sort(first[good]), tried, side="left")
-    caught = np.searchsorted(np.sort(first[~good]), tried, side="left")
-    value = keep_weight * (1 - kept / good.sum()) + caught / (~good).sum()
-    best = int(np.argmax(value))
-    return float(tried[best]), float(np.quantile(second[good], SECOND_LOSS))
+        return -math.inf
+    tried = np.unique(weight)
+    lost = np.searchsorted(np.sort(weight[good]), tried, side="left") / good.sum()
+    caught = np.searchsorted(np.sort(weight[~good]), tried, side="left") / (~good).sum()
+    return float(tried[int(np.argmax(caught - keep_weight * lost))])
 
 
-def kth_key(keys: DataFrame, k: int, small: int = 4096, bins: int = 1024) -> tuple[float, int | None]:
-    """Key and id of the k-th row in the order of (key descending, id): exact, by histograms.
+def kth_row(rows: DataFrame, order: Sequence[str], k: int, small: int = 4096, bins: int = 1024) -> tuple:
+    """The k-th row's values of ``order``, ascending: exact, by histograms.
 
-    Each round counts the keys of the interval that holds the k-th one in ``bins`` bins, and
-    goes on with its bin, until ``small`` rows are left. The id is None if all ids count:
-    more than ``small`` rows that tie in the key are taken or left as one.
+    Each round counts the values of the interval that holds the k-th row in ``bins`` bins,
+    and goes on with its bin, until ``small`` rows are left or all tie; ties are told apart
+    by the next column in the same way, the last being unique.
     """
-    low, high, n = keys.agg(F.min("key"), F.max("key"), F.count("*")).first()
-    above, inside = 0, keys
-    while n > small and low < high:
-        width = (high - low) / bins
-        part = F.least(F.floor((F.col("key") - low) / width), F.lit(bins - 1)).alias("bin")
-        found = inside.groupBy(part).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-        for row in sorted(found.collect(), reverse=True):  # at most ``bins`` rows
-            if above + row["n"] >= k:
+    inside, found = rows.select(*order), []
+    for name in order:
+        while True:
+            low, high, n = inside.agg(F.min(name), F.max(name), F.count("*")).first()
+            if n <= small or low == high:
                 break
-            above += row["n"]
-        low, high, n = row["lo"], row["hi"], row["n"]
-        inside = keys.filter(F.col("key").between(low, high))
-    if n > small:
-        return low, None
-    last = inside.orderBy(F.desc("key"), F.asc_nulls_last("doc_id")).limit(k - above).collect()[-1]
-    return last["key"], last["doc_id"]
+            wide = (F.col(name).cast("double") - float(low)) / (float(high) - float(low)) * bins
+            part = F.greatest(F.lit(0), F.least(F.floor(wide), F.lit(bins - 1))).alias("bin")
+            counts = inside.groupBy(part).agg(F.count("*").alias("n"), F.min(name).alias("lo"), F.max(name).alias("hi"))
+            for row in sorted(counts.collect()):  # at most ``bins`` rows
+                if row["n"] >= k:
+                    break
+                k -= row["n"]
+            inside = inside.filter(F.col(name).between(row["lo"], row["hi"]))
+            if len(counts.head(2)) == 1:  # a double can't part what is left: take halves of the whole range
+                middle = low + (high - low) / 2 if isinstance(low, float) else low + (high - low) // 2
+                below = inside.filter(F.col(name) <= middle).count()
+                inside = inside.filter(F.col(name) <= middle if below >= k else F.col(name) > middle)
+                k -= 0 if below >= k else below
+        if n <= small:
+            last = sorted(tuple(r) for r in inside.orderBy(*order).limit(k).collect())[-1]
+            return (*found, *last[len(found) :])
+        found.append(low)
+        inside = inside.filter(F.col(name) == F.lit(low))
+    return tuple(found)
 
 
 def _gumbel(seed: int) -> Column:
-    bits = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1))).bitwiseAND(F.lit((1 << 52) - 1))
+    bits = F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), "row_key").bitwiseAND(F.lit((1 << 52) - 1))
     return -F.log(-F.log((bits + 0.5) / float(1 << 52)))
 
 
-def quality_verdicts(
+def quality_rows(
     docs: DataFrame,
     labels: DataFrame,
     k: int | None = None,
-    passage: int = PASSAGE,
-    prior: float = PRIOR,
-    temperature: float = TEMPERATURE,
+    priors: Sequence[float] = PRIORS,
     max_labelled: int = MAX_LABELLED,
     seed: int = 7,
 ) -> DataFrame:
+    """``quality_verdicts`` with ``row_key``, the hash of a row's columns."""
+    sample = staged(labelled_sample(labels, max_labelled), "labelled")
+    scored = log_weights(docs, gram_weights(docs, sample, priors))
+    place = F.monotonically_increasing_id().alias("place")
+    keyed = staged(scored.select("*", (F.col("log_weight") + _gumbel(seed)).alias("gumbel_key"), place), "keys")
+    if k is None:
+        known = keyed.join(F.broadcast(sample.filter("held")), F.col("doc_id") == F.col("label_id"))
+        seen = known.groupBy("label_id").agg(F.min("log_weight").alias("w"), F.min("good").alias("good")).toPandas()
+        cut = choose_cut(seen["w"].to_numpy(), seen["good"].to_numpy() == 1)
+        k = keyed.filter(F.col("log_weight") >= cut).count()
+    names = ["_last_key", "_last_id", "_last_place"]
+    order = [-F.col("gumbel_key"), F.coalesce("doc_id", F.lit(_LAST)), F.col("place")]
+    ranked = keyed.select(*(c.alias(n) for c, n in zip(order, names)))
+    n = keyed.count()
+    if k <= 0 or k >= n:
+        selected = F.lit(k > 0)
+    else:
+        last = kth_row(ranked, names, k)
+        kinds = ("double", "long", "long")
+        selected = F.struct(*(c.alias(n) for c, n in zip(order, names))) <= F.struct(*(F.lit(v).cast(t).alias(n) for v, t, n in zip(last, kinds, names)))
+    return keyed.select("doc_id", "row_key", "log_weight", "gumbel_key", selected.alias("selected"))
+
+
+def quality_verdicts(docs: DataFrame, labels: DataFrame, k: int | None = None, **options) -> DataFrame:
     """One row per document: doc_id, log_weight, gumbel_key, selected.
 
-    ``k`` is the sample's size, by default the number of documents with log_weight >= 0.
+    ``k`` is the sample's size, by default read off the labelled sample (see above).
     """
-    sample = staged(labelled_sample(labels, max_labelled), "labelled")
-    weights = gram_weights(docs, sample, prior)
-    if weights is None:
-        scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("log_weight"))
-    else:
-        scores = staged(passage_scores(docs, weights, passage), "scores")
-        known = scores.join(F.broadcast(sample.filter("held")), F.col("doc_id") == F.col("label_id"))
-        seen = known.select("label_id", "first", "second", "good").dropDuplicates(["label_id"]).toPandas()
-        first, second = choose_cuts(*(seen[c].to_numpy() for c in ("first", "second")), seen["good"].to_numpy() == 1)
-        if math.isinf(first):
-            margin = F.lit(0.0)
-        else:
-            margin = F.least(F.col("first") - first, F.col("second") - second)
-        scored = scores.select("doc_id", margin.alias("log_weight"))
-    keyed = staged(scored.withColumn("key", F.col("log_weight") / temperature + _gumbel(seed)), "keys")
-    n, accepted = keyed.agg(F.count("*"), F.count(F.when(F.col("log_weight") >= 0, 1))).first()
-    k = accepted if k is None else min(k, n)
-    if not k:
-        selected = F.lit(False)
-    elif k == n:
-        selected = F.lit(True)
-    else:
-        key, last = kth_key(keyed, k)
-        selected = F.col("key") > key
-        same = F.col("key") == key
-        if last is not None:
-            same &= F.coalesce(F.col("doc_id") <= last, F.lit(False))
-        selected |= same
-    return keyed.select("doc_id", "log_weight", F.col("key").alias("gumbel_key"), selected.alias("selected"))
+    return quality_rows(docs, labels, k, **options).drop("row_key")

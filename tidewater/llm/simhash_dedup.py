@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.shared import ASCII_LOWER, staged, text_chunks, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, row_key, staged, text_chunks, utf8_view
 
 BITS = 64
 SHINGLE = 4
@@ -64,7 +64,7 @@ def _shingle_hashes(low: bytes, shingle: int) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, row_key, fp) of every row; fp holds the 64 bits as a signed long, row_key hashes the row's columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_chunks(batches):
@@ -80,10 +80,11 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 set_in = np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64)
                 packed = np.packbits(set_in * 2 > n[:, None], axis=1, bitorder="little")
                 out[some] = packed.view("<u8").ravel()
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            columns = [batch.column("doc_id"), batch.column("row_key"), pa.array(out.view(np.int64))]
+            yield pa.record_batch(columns, names=["doc_id", "row_key", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row_key(docs).alias("row_key"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, fp long")
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -224,10 +225,10 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCKET
     return found.unionByName(linked)
 
 
-def near_duplicates(
+def near_duplicate_rows(
     docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT
 ) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    """``near_duplicates`` with ``row_key``, the hash of a row's columns, and ``root``, a number of the component."""
     if bucket_limit < 1 or distance % 2:
         raise ValueError("distance is even and bucket_limit at least 1")
     rows = staged(fingerprints(docs, shingle), "fingerprints")
@@ -237,7 +238,20 @@ def near_duplicates(
     named = staged(named, "roots")
     # written out, or the join would reuse the grouping's exchange, which can't be split for a huge component
     least = staged(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "least")
-    of_fp = named.join(least, "root").select("fp", "component_id")
+    of_fp = named.join(least, "root").select("fp", "component_id", "root")
     return rows.join(of_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "row_key", "root"
     )
+
+
+def near_duplicates(
+    docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, bucket_limit: int = BUCKET_LIMIT
+) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    return near_duplicate_rows(docs, distance, shingle, bucket_limit).drop("row_key", "root")
+
+
+def representatives(rows: DataFrame) -> DataFrame:
+    """(doc_id, row_key) of one row of each component: the least id's (null last), then the least hash."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("first")
+    return rows.groupBy("root").agg(first).select("first.doc_id", "first.row_key")
