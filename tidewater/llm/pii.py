@@ -3,17 +3,20 @@
 The four base kinds (email, ip, card, phone) are found by pattern and check, leftmost and
 without overlap within a kind; a match that fails its check is dropped and not tried again
 from a later place. The random field adds what patterns miss (secrets, local phone numbers,
-IPv6 addresses, account numbers, mail addresses of a bare host). It labels the tokens near
-a digit, ``@`` or ``=`` (``REACH`` tokens on both sides; every other token is outside by
-definition) from the shapes of a token and its neighbours. Its weights are learnt on the
-driver from a small labelled table; tasks decode all runs of a batch at once by Viterbi in
-numpy. Added spans that meet a base span, or hold neither a digit nor ``@``, are dropped.
+IPv6 addresses, account numbers, mail addresses of a bare host). It labels every token of a
+text from the shapes of a token and its neighbours. Its weights are learnt on the driver
+from a small labelled table. Tasks score the tokens of a batch in numpy, each distinct token
+and pair of shapes once, and decode by Viterbi. A token is left out of the decoding where
+its scores and its neighbour's alone show that the best sequence has it outside, whatever
+the others are; the rest falls into short runs, many of which are decoded at once. Added
+spans that meet a base span, or hold neither a digit nor ``@``, are dropped.
 
 Defined results:
 * a null or empty text has no spans; every row has one result row, repeated rows and null
   ids too; texts count whole; places are code points, ends exclusive;
-* ``n_email`` to ``n_phone`` count the base spans; ``spans`` lists all spans, by kind (the
-  base kinds first), then start; an empty table gives an empty result;
+* ``n_email`` to ``n_phone`` count the base spans, ``n_account`` and ``n_secret`` what the
+  field added of these kinds, ``n_spans`` all spans; ``spans`` lists them, by kind (the base
+  kinds first), then start; an empty table gives an empty result;
 * extra columns are not looked at.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import cache
 
 import numpy as np
@@ -35,7 +38,6 @@ from tidewater.llm.shared import text_chunks
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("email", "ip", "phone", "account", "secret")
 KINDS = (*BASE_KINDS, "account", "secret")
-REACH = 2
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +48,9 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CLUE = re.compile(r"[0-9@=]")
 _TOKEN = re.compile(r"\S+")
 _LOCAL_REACH = 256
+_PLAIN = re.compile(r"([A-ZÀ-ÖØ-Þ]?)[a-zß-öø-ÿ]+([.,]?)")
+_IN_TURNS = re.compile("[xXwd]{4,}")
+_NOT_HEX = re.compile(r"[g-zß-öø-ÿ]")
 
 
 def _luhn(digits: str) -> bool:
@@ -108,25 +113,25 @@ def _char_class(c: str) -> str:
 
 
 def shape(token: str) -> str:
-    """Character classes of a token with runs collapsed, at most twelve of them."""
-    out = ""
-    for c in map(_char_class, token[:64]):
-        if out[-1:] != c:
-            out += c
-            if len(out) == 12:
-                break
-    return out
+    """Character classes of a token with runs collapsed, letters and digits in turns as one class; signs at its end are left out."""
+    out, last = [], ""
+    for c in map(_char_class, token.rstrip("!?#$%&*.,;:") or token):
+        if c != last:
+            out.append(c)
+            last = c
+    return _IN_TURNS.sub("m", "".join(out))
 
 
 def _marks(token: str) -> str:
     n, digits = len(token), sum(c in "0123456789" for c in token)
-    core = token.strip("\"'`()[]{}<>,.;:!?")
+    core = token.strip("\"'`()[]{}<>,.;:!?#$%&*")
     core = core.rpartition("=")[2].strip("\"'") or core
     mixed = len(core) >= 12 and bool(re.fullmatch(r"[A-Za-z0-9_/+-]+", core))
     mixed = mixed and any(c in "0123456789" for c in core) and any(c.isalpha() for c in core)
     hexed = bool(re.fullmatch(r"[0-9a-fA-F]{12,}", core))
-    parts = [min(n, 40) // 4, 4 * digits // max(n, 1), mixed, hexed, len(core) // 6 if mixed else 0]
-    return f"{parts}{_signs(token)}"
+    numeric = len(core) if core.isascii() and core.isdigit() else 0
+    parts = [n // 4 if n < 40 else 8 + n.bit_length() // 2, 4 * digits // max(n, 1), mixed, hexed, (len(core) // 6).bit_length() if mixed else 0]
+    return f"{parts}{min(numeric, 20) // 2}{_signs(token)}"
 
 
 def _signs(token: str) -> str:
@@ -134,15 +139,86 @@ def _signs(token: str) -> str:
 
 
 def features(tokens: list[str]) -> np.ndarray:
-    """Feature rows of a run of tokens: their own shape, size and marks, and the neighbours'."""
-    shapes, marks = [shape(t) for t in tokens], [_marks(t) for t in tokens]
-    out = np.zeros((len(tokens), N_FEATURES), dtype=np.int64)
-    for i in range(len(tokens)):
-        before, after = shapes[i - 1] if i else "^", shapes[i + 1] if i + 1 < len(tokens) else "$"
-        found = [shapes[i], marks[i], f"{before}|{shapes[i]}", f"{shapes[i]}|{after}", before, after]
-        found.append(f"{_signs(tokens[i])}{len(tokens[i]) >= 12}")
-        out[i] = [k * SLOT + _hashed(f"{k}{f}") for k, f in enumerate(found)]
-    return out
+    """Feature rows of a sequence of tokens: their own shape, size and marks, and the neighbours'."""
+    return Types().rows(tokens, [len(tokens)])
+
+
+class Types:
+    """Feature rows of tokens, worked out once for each distinct token and pair of shapes."""
+
+    KEPT = 1 << 19
+
+    def __init__(self) -> None:
+        self.shapes: dict[str, int] = {"^": 0, "$": 1}
+        self.names = ["^", "$"]
+        self.tokens: dict[str, int] = {}
+        self.table = np.zeros((1024, 6), dtype=np.int32)  # shape, then rows of features 0, 1, 4, 5 and 6
+        self.pairs: dict[int, tuple[int, int]] = {}
+        self.plain: dict[tuple, int] = {}
+        self.count = 0
+
+    def _new(self, token: str) -> int:
+        key = None
+        m = _PLAIN.fullmatch(token)
+        if m and (len(token) < 12 or _NOT_HEX.search(token)):  # such words of one length look the same
+            key = (bool(m[1]), len(token), m[2])
+            if key in self.plain:
+                self.tokens[token] = self.plain[key]
+                return self.plain[key]
+        own, n = shape(token), self.count
+        if own not in self.shapes:
+            self.shapes[own] = len(self.names)
+            self.names.append(own)
+        if n == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        found = [own, _marks(token), own, own, f"{_signs(token)}{len(token) >= 12}"]
+        self.table[n] = [self.shapes[own], *(k * SLOT + _hashed(f"{k}{f}") for k, f in zip((0, 1, 4, 5, 6), found))]
+        self.tokens[token] = n
+        self.count += 1
+        if key:
+            self.plain[key] = n
+        return n
+
+    def _pair(self, code: int) -> tuple[int, int]:
+        a, b = self.names[code >> 32], self.names[code & 0xFFFFFFFF]
+        out = self.pairs[code] = tuple(k * SLOT + _hashed(f"{k}{a}|{b}") for k in (2, 3))
+        return out
+
+    def of(self, tokens: Iterable[str]) -> np.ndarray:
+        """Numbers of tokens; they hold until the next call."""
+        if len(self.tokens) > self.KEPT:
+            self.__init__()
+        known, new = self.tokens.get, self._new
+        return np.fromiter((k if (k := known(t)) is not None else new(t) for t in tokens), np.int64)
+
+    def around(self, types: np.ndarray, sizes: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Shapes of tokens and of their neighbours, in sequences of ``sizes`` tokens."""
+        own = self.table[types, 0].astype(np.int64)
+        before, after = np.roll(own, 1), np.roll(own, -1)
+        ends = np.cumsum([n for n in sizes if n])
+        before[np.append(0, ends[:-1])] = 0
+        after[ends - 1] = 1
+        return own, before, after
+
+    def assembled(self, types: np.ndarray, own: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(types), N_FEATURES), dtype=np.int64)
+        out[:, [0, 1, 6]] = self.table[types][:, [1, 2, 5]]
+        edge = np.array([k * SLOT + _hashed(f"{k}{f}") for k, f in ((4, "^"), (5, "$"))])
+        by_shape = np.zeros((len(self.names), 2), dtype=np.int64)
+        by_shape[self.table[: self.count, 0]] = self.table[: self.count, 3:5]
+        by_shape[[0, 1], [0, 1]] = edge
+        out[:, 4], out[:, 5] = by_shape[before, 0], by_shape[after, 1]
+        for column, code in ((2, before << 32 | own), (3, own << 32 | after)):
+            pairs, back = np.unique(code, return_inverse=True)
+            rows = [(self.pairs.get(c) or self._pair(c))[column - 2] for c in pairs.tolist()]
+            out[:, column] = np.array(rows, dtype=np.int64)[back]
+        return out
+
+    def rows(self, tokens: list[str], sizes: Sequence[int]) -> np.ndarray:
+        types = self.of(tokens)
+        if not len(types):
+            return np.zeros((0, N_FEATURES), dtype=np.int64)
+        return self.assembled(types, *self.around(types, sizes))
 
 
 # -- the random field --------------------------------------------------------------------
@@ -168,8 +244,52 @@ class Field:
     def scores(self, feats: np.ndarray) -> np.ndarray:
         return self.emission[feats].sum(axis=-2)
 
+    def scores_of(self, feats: np.ndarray) -> np.ndarray:
+        """``scores`` of a long list of tokens, one feature after the other."""
+        out = self.emission[feats[:, 0]]
+        for k in range(1, N_FEATURES):
+            out += self.emission[feats[:, k]]
+        return out
+
     def viterbi(self, runs: list[np.ndarray]) -> list[np.ndarray]:
-        """Best tags of each run, runs of like length decoded together; outside at both ends."""
+        """Best tags of sequences of feature rows, outside at both ends."""
+        return self.decoded([self.scores(r) for r in runs])
+
+    def outside(self, scores: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where every best sequence has a token outside, whatever the rest of it is.
+
+        A sequence that tags such a token otherwise gets better by tagging it outside (and
+        by beginning the span one token later, if it goes on). The bounds hold for all tags
+        of the neighbours, or for outside where that is settled or a sequence ends (``first``
+        and ``last`` mark the ends); so what is settled settles more.
+        """
+        step = self.step + _allowed()
+        inside = np.arange(2, TAGS, 2)
+        free = np.setdiff1d(np.arange(TAGS), inside)
+        lead = np.stack([(step - step[:, :1]).max(axis=0), step[0] - step[0, 0]])  # over the tag before, or outside
+        trail = np.stack([(step[:, free] - step[0, free]).max(axis=1), step[:, 0] - step[0, 0]])
+        gain = scores[:, :1] - scores
+        later = np.zeros((len(scores), len(inside)))  # of beginning later instead of going on
+        later[:-1] = scores[1:, inside - 1] - scores[1:, inside]
+        out = np.zeros(len(scores) + 1, dtype=bool)  # the last for the place before the first
+        at = np.arange(len(scores))
+        while len(at):
+            ahead, behind = lead[(first[at] | out[at - 1]).astype(int)], last[at] | out[at + 1]
+            settled = (gain[at] > ahead + trail[behind.astype(int)])[:, 1:].all(axis=1)
+            for k, i in enumerate(inside.tolist()):
+                rest = (step[i] - step[i - 1]).max()
+                for tag in (i - 1, i):
+                    goes_on = ahead[:, tag] + step[tag, i] - step[0, i - 1] + rest
+                    settled &= behind | (gain[at, tag] + later[at, k] > goes_on)
+            new = at[settled]
+            out[new] = True
+            near = np.unique(np.concatenate([new - 1, new + 1]))
+            near = near[(near >= 0) & (near < len(scores))]
+            at = near[~out[near]]
+        return out[:-1]
+
+    def decoded(self, runs: list[np.ndarray]) -> list[np.ndarray]:
+        """Best tags of each run of scores, runs of like length decoded together; outside at both ends."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(runs)
         order = sorted(range(len(runs)), key=lambda i: len(runs[i]))
         step = self.step + _allowed()
@@ -184,7 +304,7 @@ class Field:
             n, t = len(some), int(sizes.max())
             scores = np.zeros((n, t, TAGS))
             for k, i in enumerate(some):
-                scores[k, : sizes[k]] = self.scores(runs[i])
+                scores[k, : sizes[k]] = runs[i]
             best, back = scores[:, 0] + step[0], np.zeros((n, t, TAGS), dtype=np.int8)
             ends = np.where((sizes == 1)[:, None], best, -np.inf)
             for j in range(1, t):
@@ -220,7 +340,10 @@ class Field:
         share = np.exp(ahead + behind - total[:, None, None]) * real[:, :, None]
         emission, moves = np.zeros_like(self.emission), np.zeros_like(self.step)
         gold = np.eye(TAGS)[tags] * real[:, :, None]
-        np.add.at(emission, feats.reshape(-1, N_FEATURES), (gold - share).reshape(-1, 1, TAGS))
+        apart, rows = (gold - share).reshape(-1, TAGS), feats.reshape(-1, N_FEATURES)
+        for tag in range(TAGS):
+            weight = np.repeat(apart[:, tag], N_FEATURES)
+            emission[:, tag] = np.bincount(rows.ravel(), weights=weight, minlength=len(emission))
         like = -total.sum() + (gold * scores).sum()
         last = real.sum(1) - 1
         before = np.concatenate([np.zeros((n, 1), np.int64), tags[:, :-1]], axis=1)
@@ -240,32 +363,36 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def labelled_rows(seed: int = 5, each: int = 14) -> list[tuple[str, str]]:
+def labelled_rows(seed: int = 5, each: int = 16) -> list[tuple[str, str]]:
     """The default labelled table: (text, spans), spans as kind:start:end, comma-joined.
 
-    Sentences are filled from patterns by a seeded generator; those without spans teach
-    what is not personal (versions, dates, amounts, plain numbers, assignments).
+    Sentences are filled from patterns by a seeded generator, plain, in capitals, or with
+    signs put after every word; those without spans teach what is not personal (versions,
+    dates, amounts, short numbers, assignments).
     """
     rng = random.Random(seed)
     pick = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
     digits, hexa, low, alnum = "0123456789", "0123456789abcdef", "abcdefghiklmnoprstuvwz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    word = lambda: pick(low, rng.randint(1, 9))
-    words = lambda: " ".join(word() for _ in range(rng.randint(2, 4)))
+    name = lambda: rng.choice(("password", "token", "secret", "key", "api_key", "auth", "pwd"))
+    word = lambda: pick(low + rng.choice(("", "éüñ")), rng.randint(1, 12))
     made = {
         "secret": [
-            lambda: ("password=", pick(hexa, 18), ""), lambda: ('token = "', pick(hexa, 40), '"'), lambda: ("", "AKIA" + pick(alnum, 16), ""),
-            lambda: ("api_key: ", "sk_" + pick(low + digits, 14) + pick(digits + low.upper(), 10), ""), lambda: ("secret='", pick(low + low.upper() + digits, 22) + "7aB", "'"),
-            lambda: ("", "ghp_" + pick(low + low.upper() + digits, 28) + "4kZ9", ""),
+            lambda: (f"{name()}=", pick(hexa, rng.choice((16, 18, 24, 32))), ""), lambda: (f'{name()} = "', pick(hexa, rng.choice((32, 40, 64))), '"'),
+            lambda: (f'{name()}: "', pick(hexa, 40), '"'), lambda: ("", "AKIA" + pick(alnum, 16), ""),
+            lambda: (f"{name()}: ", "sk_" + pick(low + digits, 14) + pick(digits + low.upper(), 10), ""),
+            lambda: (f"{name()}='", pick(low + low.upper() + digits, 22) + "7aB", "'"), lambda: ("", "ghp_" + pick(low + low.upper() + digits, 28) + "4kZ9", ""),
+            lambda: (f"{name()} = ", pick(hexa, 40), ""),
         ],
         "phone": [
             lambda: ("", f"{pick(digits, 3)}-{pick(digits, 3)}-{pick(digits, 4)}", ""), lambda: ("", f"({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)}", ""),
-            lambda: ("", f"0{pick(digits, 3)}/{pick(digits, 7)}", ""),
+            lambda: ("", f"0{pick(digits, 3)}/{pick(digits, 7)}", ""), lambda: ("", f"{pick(digits, 3)}.{pick(digits, 3)}.{pick(digits, 4)}", ""),
         ],
         "email": [lambda: ("", f"{word()}{pick(digits, 2)}@{word()}", ""), lambda: ("", f"{word()}.{word()}@localhost", "")],
         "ip": [lambda: ("", ":".join(pick(hexa, 4) for _ in range(8)), ""), lambda: ("", "fe80::" + ":".join(pick(hexa, 4) for _ in range(3)), "")],
         "account": [
-            lambda: ("", pick("ADEFGNS", 2) + pick(digits, 2) + pick(digits, 18), ""),
+            lambda: ("", pick("ADEFGNS", 2) + pick(digits, 2) + pick(digits, 18), ""), lambda: ("", pick(digits, rng.choice((14, 15, 16, 18))), ""), lambda: ("", pick(digits, 16), ""), lambda: ("", pick(digits, 16), ""),
             lambda: ("", pick("ADEFGNS", 2) + pick(digits, 2) + " " + " ".join(pick(digits, 4) for _ in range(4)), ""),
+            lambda: ("", "-".join(pick(digits, 4) for _ in range(4)), ""), lambda: ("", " ".join(pick(digits, 4) for _ in range(4)), ""),
         ],
     }
     plain = [
@@ -273,19 +400,27 @@ def labelled_rows(seed: int = 5, each: int = 14) -> list[tuple[str, str]]:
         lambda: f"{word()}={word()}", lambda: f"{word()} = {rng.randint(0, 999)}", lambda: f"${rng.randint(1, 999)}.{pick(digits, 2)}", lambda: f"{word()}{rng.randint(0, 99)}",
         lambda: f"{rng.randint(1, 12)}:{pick('012345', 2)}", lambda: f"@{word()}", lambda: f"{rng.randint(1, 99)}%", lambda: f"({rng.randint(1, 2030)})", lambda: f"{word()}-{rng.randint(1, 20)}",
         lambda: "###", lambda: "=" * rng.randint(1, 9), lambda: "| " + word() + " |", lambda: f"{rng.randint(1, 400)},{pick(digits, 3)}", lambda: f"{word()}{pick(digits, 1)}{word()}{pick(digits, 2)}",
-        lambda: f"+{pick(digits, 1)} ({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)} x", lambda: f"{word()}.{pick(digits, 2)}@{word()}.example.com", lambda: pick("3456", 1) + pick(digits, 15),
-        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        lambda: f"+{pick(digits, 1)} ({pick(digits, 3)}) {pick(digits, 3)}-{pick(digits, 4)} x", lambda: f"{word()}.{pick(digits, 2)}@{word()}.example.com",
+        lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)), lambda: f'{name()} = "{word()}"', lambda: f"{word()}, Version {rng.randint(1, 9)}.{rng.randint(0, 9)}.", lambda: f"CC BY-NC {rng.randint(1, 5)}.0.",
+        lambda: " ".join(word() for _ in range(12)), lambda: f"{word()}_{word()}-{word()}/{word()}", lambda: f"{word().capitalize()}. {word().capitalize()}", lambda: " | ".join(word() for _ in range(4)),
     ]
     rows = []
+
+    def row(kind: str, head: str, value: str, tail: str) -> None:
+        noise, loud = rng.choice(("!!", "###", "$$$", "%%%", "&&&", "***")) * (rng.random() < 0.25), rng.random() < 0.1
+        words = lambda: " ".join(word() + noise for _ in range(rng.randint(2, 5)))
+        text = f"{words()} {head}"
+        start = len(text)
+        after = "" if noise and kind else rng.choice(["", ".", ",", ""])
+        text += value + tail + (noise or after) + f" {words()}"
+        rows.append((text.upper() if loud and len(text.upper()) == len(text) else text, f"{kind}:{start}:{start + len(value)}" if kind else ""))
+
     for _ in range(each):
         for kind, forms in made.items():
             for form in forms:
-                head, value, tail = form()
-                text = f"{words()} {head}"
-                start = len(text)
-                text += value + tail + rng.choice(["", ".", ",", ""]) + f" {words()}"
-                rows.append((text, f"{kind}:{start}:{start + len(value)}"))
-        rows += [(f"{words()} {form()} {words()}", "") for form in plain]
+                row(kind, *form())
+        for form in plain:
+            row("", "", form(), "")
     return rows
 
 
@@ -293,34 +428,22 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(labelled_rows(), "text string, spans string")
 
 
-def runs_of(text: str) -> Iterator[tuple[list[str], list[int]]]:
-    """Runs of neighbouring tokens near a clue, with the tokens' places."""
-    tokens = [(m[0], m.start()) for m in _TOKEN.finditer(text)]
-    near = [i for i, (t, _) in enumerate(tokens) if _CLUE.search(t)]
-    at = 0
-    while at < len(near):
-        first, last = near[at], near[at]
-        while at < len(near) and near[at] - last <= 2 * REACH:
-            last = near[at]
-            at += 1
-        some = tokens[max(0, first - REACH) : last + REACH + 1]
-        yield [t for t, _ in some], [p for _, p in some]
-
-
-def train(rows: list[tuple[str, str]], epochs: int = 120, rate: float = 0.4, decay: float = 1e-3) -> Field:
+def train(rows: list[tuple[str, str]], epochs: int = 150, rate: float = 0.6, decay: float = 3e-5) -> Field:
     """Fit a field to labelled texts by Adagrad on the penalised likelihood."""
     data = []
     for text, spans in rows:
         marked = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in (spans or "").split(",") if s)]
-        for tokens, places in runs_of(text or ""):
-            tags = []
-            for token, place in zip(tokens, places):
-                tag = 0
-                for kind, a, b in marked:
-                    if kind in ADDED_KINDS and place < b and a < place + len(token):
-                        first = not any(p < b and a < p + len(t) for t, p in zip(tokens[: len(tags)], places))
-                        tag = 2 * ADDED_KINDS.index(kind) + (1 if first else 2)
-                tags.append(tag)
+        found = [(m[0], m.start()) for m in _TOKEN.finditer(text or "")]
+        tokens, places = [t for t, _ in found], [p for _, p in found]
+        tags = []
+        for token, place in found:
+            tag = 0
+            for kind, a, b in marked:
+                if kind in ADDED_KINDS and place < b and a < place + len(token):
+                    first = not any(p < b and a < p + len(t) for t, p in zip(tokens[: len(tags)], places))
+                    tag = 2 * ADDED_KINDS.index(kind) + (1 if first else 2)
+            tags.append(tag)
+        if tokens:
             data.append((features(tokens), tags))
     field = Field()
     if not data:
@@ -340,7 +463,7 @@ def train(rows: list[tuple[str, str]], epochs: int = 120, rate: float = 0.4, dec
     return field
 
 
-_TRIM_LEFT, _TRIM_RIGHT = "\"'`[{<,.;!?|=:", "\"'`)]}>,.;!?|=:"
+_TRIM_LEFT, _TRIM_RIGHT = "\"'`[{<,.;!?|=:#$%&*", "\"'`)]}>,.;!?|=:#$%&*"
 
 
 def _tag_spans(text: str, tokens: list[str], places: list[int], tags: np.ndarray) -> Iterator[tuple[str, int, int]]:
@@ -369,41 +492,83 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+#: Tokens that one numpy step scores, and characters of a text beyond which its tokens aren't held as strings.
+STEP, LONG = 1 << 16, 1 << 22
+
+
+def added_spans(texts: list[str], field: Field, types: Types) -> list[list[tuple[str, int, int]]]:
+    """Spans of each text by the field: every token is scored, the unsettled ones are decoded."""
+    numbers = [types.of(t.split() if len(t) <= LONG else (m[0] for m in _TOKEN.finditer(t))) for t in texts[:1]]
+    for t in texts[1:]:
+        if len(types.tokens) > types.KEPT:  # numbers hold for one table only: the rest by itself
+            return added_spans(texts[: len(numbers)], field, types) + added_spans(texts[len(numbers) :], field, types)
+        numbers.append(types.of(t.split() if len(t) <= LONG else (m[0] for m in _TOKEN.finditer(t))))
+    sizes = [len(x) for x in numbers]
+    out: list[list] = [[] for _ in texts]
+    every = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
+    if not len(every):
+        return out
+    shapes = types.around(every, sizes)
+    last = np.zeros(len(every), dtype=bool)
+    last[np.cumsum([n for n in sizes if n]) - 1] = True
+    first, settled = np.append(True, last[:-1]), np.zeros(len(every), dtype=bool)
+
+    def scores(a: int, b: int) -> np.ndarray:
+        return field.scores_of(types.assembled(every[a:b], *(x[a:b] for x in shapes)))
+
+    for at in range(0, len(every), STEP):  # the token after the step counts, too
+        to = min(at + STEP, len(every))
+        settled[at:to] = field.outside(scores(at, min(to + 1, len(every))), first[at : to + 1], last[at : to + 1])[: to - at]
+    open_ = ~settled
+    begins = np.flatnonzero(open_ & np.concatenate([[True], settled[:-1] | last[:-1]]))
+    ends = np.flatnonzero(open_ & (last | np.concatenate([settled[1:], [True]]))) + 1
+    some = np.concatenate([np.arange(a, b) for a, b in zip(begins, ends)]) if len(begins) else np.empty(0, np.int64)
+    if not len(some):
+        return out
+    flat = field.scores_of(types.assembled(every[some], *(x[some] for x in shapes)))
+    tags = field.decoded(np.split(flat, np.cumsum(ends - begins)[:-1]))
+    starts, places = np.cumsum([0, *sizes]), {}
+    of_text = np.searchsorted(starts, begins, side="right") - 1
+    for i, a, b, own in zip(of_text.tolist(), begins.tolist(), ends.tolist(), tags):
+        if own.any():
+            if i not in places:
+                places = {i: [m.span() for m in _TOKEN.finditer(texts[i])]}
+            where = places[i][a - starts[i] : b - starts[i]]
+            out[i] += _tag_spans(texts[i], [texts[i][x:y] for x, y in where], [x for x, _ in where], own)
+    return out
+
+
+@cache
+def _types() -> Types:
+    """A worker's table, kept from task to task."""
+    return Types()
+
+
 def find_pii(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_account, n_secret, n_spans.
 
     ``labelled``: the field's training table (text, spans); it is read on the driver and
     must be small. By default the table that ``labelled_table`` makes.
     """
     rows = labelled_rows() if labelled is None else [(r["text"], r["spans"]) for r in labelled.select("text", "spans").collect()]
     shared = docs.sparkSession.sparkContext.broadcast(train(rows))
+    names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_account", "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
+        field, types = shared.value, _types()
         for batch in text_chunks(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            base: list[list] = [[] for _ in texts]
-            added: list[list] = [[] for _ in texts]
-            where, runs = [], []
-            for i, text in enumerate(texts):
-                if _CLUE.search(text):
-                    base[i] = base_spans(text)
-                    for tokens, places in runs_of(text):
-                        where.append((i, tokens, places))
-                        runs.append(features(tokens))
-            for (i, tokens, places), tags in zip(where, field.viterbi(runs)):
-                if tags.any():
-                    added[i] += _tag_spans(texts[i], tokens, places, tags)
             out = []
-            for own, more in zip(base, added):
+            for text, more in zip(texts, added_spans(texts, field, types)):
+                own = base_spans(text) if _CLUE.search(text) else []
                 free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in own)]
                 every = sorted({*own, *free}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
                 counts = [sum(s[0] == kind for s in own) for kind in BASE_KINDS]
-                out.append((*counts, hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every)))
+                joined = hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every)
+                out.append((*counts, *joined, *(sum(s[0] == k for s in every) for k in ("account", "secret")), len(every)))
             columns = [batch.column("doc_id")]
-            columns += [pa.array(c, pa.int64() if k < 4 else pa.string()) for k, c in enumerate(zip(*out))]
-            yield pa.record_batch(columns, names=["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans"])
+            columns += [pa.array(c, pa.string() if k in (4, 5) else pa.int64()) for k, c in enumerate(zip(*out))]
+            yield pa.record_batch(columns, names=names)
 
     each = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = ", ".join(f"n_{k} long" for k in BASE_KINDS)
-    return each.mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    return each.mapInArrow(run, ", ".join(f"{c} {'string' if c in ('base_sha256', 'spans') else 'long'}" for c in names))
