@@ -8,6 +8,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -17,7 +18,7 @@ from tidewater.llm import lm_score as lm
 from tidewater.llm import pii, quality
 from tidewater.llm import decontaminate as dec
 from tidewater.llm.decontaminate import contamination
-from tidewater.llm.html_text import extract_text, visible_text
+from tidewater.llm.html_text import HIDDEN, VOID, extract_text, visible_text
 from tidewater.llm.packing import Levels, default_vocabulary, encoder, pack
 from tidewater.llm.shared import ASCII_LOWER, co_located, utf8_view
 from tidewater.llm.tokens import tokens_of
@@ -230,6 +231,57 @@ def test_html_broken_quotes_take_linear_time():
         assert time.monotonic() - start < 30, unit
 
 
+def test_html_spans_numbers_visibility_and_fields():
+    table = "<table><tr><th colspan=2>Wide<th>C<tr><td>a<td>b<td>c<tr><td rowspan='2'>down<td>e<td>f<tr><td>g<td>h</table>"
+    assert visible_text(table) == "Wide     C\na     b  c\ndown  e  f\n      g  h"
+    assert visible_text("<table><tr><td colspan=2>a long heading<td>x<tr><td>1<td>2<td>3</table>") == "a long heading  x\n1  2            3"
+    assert visible_text("<table><tr><td colspan=99999999999999999999>a<td colspan=zero rowspan=-3>b</table>").split() == ["a", "b"]
+    assert visible_text("<ol start=5><li>a<li value='9'>b<li>c</ol><ol start=x><li>d</ol>") == "5. a\n9. b\n10. c\n\n1. d"
+    page = "<div style='visibility:hidden'>a<p style='Visibility : visible'>b<i style='visibility:collapse'>c</i></p>d</div>e"
+    assert visible_text(page) == "b\n\ne"
+    assert visible_text("x<b STYLE='display:none;display:inline'>y</b><b style='color:red;DISPLAY:NONE'>z</b><b HIDDEN>w</b>") == "xy"
+    assert visible_text("<div style='display:none'><p style='visibility:visible;display:block'>a</p></div>b") == "b"
+    assert visible_text('a<input value="b &amp; c">d<input type=hidden value=e><input type=submit value=Go>') == "a b & c d Go"
+
+
+class Naive(HTMLParser):
+    """Words of a page that is well-formed where it matters: text outside of hidden elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.open = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
+        given = dict(attrs)
+        style = (given.get("style") or "").replace(" ", "").lower()
+        self.open.append((tag, tag in HIDDEN or "hidden" in given or "display:none" in style or "visibility:hidden" in style))
+
+    def handle_endtag(self, tag):
+        names = [t for t, _ in self.open]
+        if tag in names:
+            del self.open[len(names) - 1 - names[::-1].index(tag) :]
+
+    def handle_data(self, data):
+        if not any(h for _, h in self.open):
+            self.out += re.findall(r"\w+", data)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the given tables")
+def test_html_words_of_the_given_pages(spark):
+    """A plain reader without layout finds the same words, in the same order but for list marks and table columns."""
+    same, every = 0, 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        naive = Naive()
+        naive.feed(r["html"] or "")
+        naive.close()
+        got = Counter(re.findall(r"\w+", re.sub(r"(?m)^ *[0-9]+\. ", "", visible_text(r["html"]))))
+        every += 1
+        same += not Counter(re.sub(r"(?m)^ *[0-9]+\. ", "", " ".join(naive.out)).split()) - got
+    assert every > 100 and same > 0.95 * every, (same, every)
+
+
 def test_html_form_drawing_and_formula_text():
     assert visible_text("a<textarea>b &amp;\n  c <b></textarea>d") == "a\nb &\n  c <b>\nd"
     assert visible_text("a<xmp>&amp; <i>b</i></xmp>c") == "a\n\n&amp; <i>b</i>\n\nc"
@@ -571,6 +623,40 @@ def test_lm_gradient_and_chances():
     assert np.allclose(net.log_chances(near, token), net.log_chances(near, token, small=True), atol=1e-4)
 
 
+def test_lm_scores_by_brute_force(spark):
+    """Each document's sum again, token by token, from the weights: all classes, all words of the class."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"v{int(rng.paretovariate(0.8))}" for _ in range(60))) for i in range(40)] + [(50, "never seen words"), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    counts = lm.word_counts(docs)
+    words, n_of = lm.vocabulary(counts), {r["code"] & (1 << 64) - 1: r["n"] for r in counts.collect()}
+    net = lm.trained(docs, words)
+    w = {k: v.astype(np.float64) for k, v in net.weights.items()}
+    behind = Counter()
+    own = set(words.codes.tolist())
+    for code, n in n_of.items():
+        if code not in own:
+            behind[code >> 56] += n
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    got = {r["doc_id"]: r for r in lm.lm_scores(docs).collect()}
+    for i, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        codes = tokens_of(data, np.array([0, len(data)])).code
+        numbers, total = words.numbers_of(codes).tolist(), 0.0
+        for k, (code, number) in enumerate(zip(codes.tolist(), numbers)):
+            places = [k - 1, k - 2, k + 1, k + 2]
+            near = [numbers[p] if 0 <= p < len(numbers) else words.side**2 for p in places]
+            h = np.tanh(sum(w["near"][j][x] for j, x in enumerate(near)) + w["bias"])
+            cls, word = divmod(number, words.side)
+            total += log_softmax(h @ w["class"] + w["class_bias"])[cls] + log_softmax(h @ w["word"][cls] + w["word_bias"][cls])[word]
+            if code not in own:
+                total += np.log(n_of[code] / behind[code >> 56])
+        assert got[i]["n_tokens"] == len(numbers) and got[i]["log_prob"] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
 def test_lm_of_nothing(none):
     assert lm.lm_scores(none).count() == 0
 

@@ -4,9 +4,11 @@ Each page goes through a small tree builder (implied end tags, implied rows, raw
 elements, elements closed by their ancestors' ends) whose open and close events drive a
 renderer: blocks are set on lines of their own, paragraphs and the like apart by an empty
 line, list items marked and indented, preformatted text kept, and table cells laid out in
-columns of even width. Text that a browser does not show is left out: head, scripts, styles
-and other non-rendered elements, what SVG does not draw, the ``hidden`` attribute, inline styles ``display: none``
-and ``visibility: hidden``, closed ``details`` and ``dialog``.
+columns of even width, cells over several columns or rows in their place. Text that a browser
+does not show is left out: head, scripts, styles and other non-rendered elements, what SVG
+does not draw, the ``hidden`` attribute, inline styles ``display: none`` and ``visibility:
+hidden`` (which a ``visible`` inside it lifts again), closed ``details`` and ``dialog``. The
+text in form fields and on buttons is shown; of a select, all options are.
 
 Both parts work from lists and an explicit stack, so depth of nesting is no limit, and
 pages are independent rows: a long or broken page only delays its own batch.
@@ -65,7 +67,10 @@ ENDS = {
 _CLOSES_P = BLOCK - {"body", "html", "legend", "option", "optgroup", "caption", "textarea"}
 _STOP = {"table", "td", "th", "caption", "html", "body"}
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)")
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)")
+_INTEGER = re.compile(r"[ \t\n\r\f]*([-+]?[0-9]+)")
+# Fixed value: types of input whose value is not text on the page.
+_NO_TEXT = set("hidden password checkbox radio file image color range date time month week datetime-local".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 _QUOTED = re.compile(r"""=[ \t\n\r\f]*(["'])""")
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -135,15 +140,33 @@ def _parts(page: str) -> Iterator[tuple[str, str, str]]:
             at = stop
 
 
-def _shown(name: str, rest: str) -> bool:
+def _given(rest: str) -> dict[str, str]:
+    """Attributes of a start tag; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for k, v in _ATTRIBUTE.findall(rest):
+        out.setdefault(k.lower(), html.unescape(v[1:-1] if v[:1] in ("'", '"') else v))
+    return out
+
+
+def _number(text: str | None, default: int, low: int, high: int) -> int:
+    m = _INTEGER.match(text or "")
+    return min(max(int(m[1][:12]), low), high) if m else default
+
+
+def _shown(name: str, rest: str, visible: bool) -> tuple[bool, bool]:
+    """Whether an element is displayed, and whether it is visible in ``visible`` surroundings."""
     if name in HIDDEN:
-        return False
-    if name in ("details", "dialog") or "hidden" in rest or "style" in rest:
-        given = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(rest)}
-        if name in ("details", "dialog") and "open" not in given:
-            return name == "details"
-        return "hidden" not in given and not _UNSEEN.search(html.unescape(given.get("style", "")))
-    return True
+        return False, visible
+    low = rest.lower()
+    if name in ("details", "dialog") or "hidden" in low or "style" in low:
+        given = _given(rest)
+        if name == "dialog" and "open" not in given:
+            return False, visible
+        style = dict(_STYLE.findall(given.get("style", "").lower()))
+        seen = style.get("visibility", "inherit")
+        visible = visible if seen in ("inherit", "unset") else seen not in ("hidden", "collapse")
+        return "hidden" not in given and style.get("display") != "none", visible
+    return True, visible
 
 
 def events(page: str) -> Iterator[tuple[str, str, str]]:
@@ -236,20 +259,43 @@ class Flow:
         self.apart = self.apart or apart
 
 
-def table_lines(rows: list[list[list[str]]]) -> list[str]:
-    """Lines of a table, columns padded to the widest cell and two blanks apart."""
-    widths: list[int] = []
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table, columns padded to the widest cell and two blanks apart.
+
+    Cells are (lines, columns, rows); a place that a cell from a row above covers stays empty.
+    """
+    placed, taken = [], {}  # taken: columns still covered from above, with the rows left
     for row in rows:
-        for i, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if i == len(widths):
-                widths.append(wide)
-            widths[i] = max(widths[i], wide)
+        at, cells, now = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
+        for lines, across, down in row:
+            while at in taken:
+                at += 1
+            cells.append((at, across, lines))
+            if down > 1:
+                now |= {c: down - 1 for c in range(at, at + across)}
+            at += across
+        placed.append(cells)
+        taken = now
+    widths: dict[int, int] = {}
+    for single in (True, False):
+        for cells in placed:
+            for at, across, lines in cells:
+                if (across == 1) == single:
+                    have = sum(widths.get(c, 0) for c in range(at, at + across)) + 2 * (across - 1)
+                    last = at + across - 1
+                    widths[last] = widths.get(last, 0) + max(max(map(len, lines), default=0) - have, 0)
+    n = max(widths, default=-1) + 1
+    starts = [0] * (n + 1)
+    for c in range(n):
+        starts[c + 1] = starts[c] + widths.get(c, 0) + 2
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            cells = [(cell[k] if k < len(cell) else "").ljust(w) for cell, w in zip(row, widths)]
-            out.append("  ".join(cells).rstrip())
+    for cells in placed:
+        for k in range(max((len(lines) for _, _, lines in cells), default=0)):
+            line = ""
+            for at, _, lines in cells:
+                if k < len(lines) and lines[k]:
+                    line = line.ljust(starts[at]) + lines[k]
+            out.append(line.rstrip())
     return out
 
 
@@ -258,20 +304,24 @@ def visible_text(page: str | None) -> str:
     flow, outer, hidden, kept = Flow(), [], 0, 0
     lists: list[list] = []  # [ordered, number] of open lists
     tables: list[list] = []  # rows of open tables
-    shut: list[tuple[str, bool]] = []  # open elements with whether they hide
+    spans: list[tuple[int, int]] = []  # columns and rows of open cells
+    shut: list[tuple[str, bool, bool]] = []  # open elements, whether they hide, and visibility around them
+    visible = True
     closed: list[int] = []  # depth of closed details whose summary is shown
     svg: list[tuple[int, bool]] = []  # depth of open svg and drawn elements, and whether text shows there
     for kind, name, rest in events(page or ""):
         if kind == "text":
             if svg and not svg[-1][1]:
                 continue
-            if not hidden and (not closed or "summary" in (n for n, _ in shut[closed[-1] :])):
+            if not hidden and visible and (not closed or "summary" in (x[0] for x in shut[closed[-1] :])):
                 data = html.unescape(rest) if "&" in rest else rest
                 flow.text(data, kept > 0)
             continue
         if kind == "open":
-            hides = not _shown(name, rest) or (bool(svg) and name in UNDRAWN)
-            shut.append((name, hides))
+            around = visible
+            shows, visible = _shown(name, rest, visible)
+            hides = not shows or (bool(svg) and name in UNDRAWN)
+            shut.append((name, hides, around))
             hidden += hides
             if hidden:
                 continue
@@ -289,14 +339,21 @@ def visible_text(page: str | None) -> str:
                 tables[-1].append([])
             elif name in _CELLS and tables:
                 outer.append(flow)
+                given = _given(rest) if "span" in rest.lower() else {}
+                spans.append((_number(given.get("colspan"), 1, 1, 1000), _number(given.get("rowspan"), 1, 1, 65534)))
                 flow = Flow()
+            elif name == "input" and visible:
+                given = _given(rest)
+                if given.get("type", "text").lower() not in _NO_TEXT and given.get("value"):
+                    flow.text(f" {given['value']} ", kept > 0)
             elif name in BLOCK:
                 flow.block(name in APART and not (name in _ITEM and lists))
                 if name in _ITEM:
-                    lists.append([name == "ol", 0])
+                    start = _number(_given(rest).get("start"), 1, -(10**9), 10**9) if name == "ol" else 1
+                    lists.append([name == "ol", start - 1])
                     flow.indent += 1
                 elif name == "li" and lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] = _number(_given(rest).get("value"), lists[-1][1] + 1, -(10**9), 10**9)
                     flow.mark = f"{lists[-1][1]}. " if lists[-1][0] else "- "
                 elif name in ("blockquote", "dd"):
                     flow.indent += 1
@@ -305,7 +362,7 @@ def visible_text(page: str | None) -> str:
             elif name in ("td", "th"):
                 flow.words.append(" ")
             continue
-        _, hides = shut.pop()
+        _, hides, visible = shut.pop()
         if not hidden:
             if closed and closed[-1] > len(shut):
                 closed.pop()
@@ -321,7 +378,8 @@ def visible_text(page: str | None) -> str:
             elif name in _CELLS and tables and outer:
                 flow.end_line()
                 if tables[-1]:
-                    tables[-1][-1].append(flow.lines)
+                    tables[-1][-1].append((flow.lines, *spans[-1]))
+                spans.pop()
                 flow = outer.pop()
             elif name in BLOCK:
                 if name in KEPT:
