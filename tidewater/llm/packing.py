@@ -22,13 +22,13 @@ Defined results:
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,18 +51,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Encoder:
-    """Token ids of the library, those of the pieces it cuts texts into kept for the next time.
+class Encoder(dict):
+    """Token ids of the library; those of the pieces it cuts texts into are kept for the next time.
 
     A byte-level vocabulary with the usual pattern never joins bytes over the ends of a
-    piece, so the ids of a text are those of its pieces. Texts with characters whose class
-    the two libraries might not agree on, or with an added token, go to the library whole.
+    piece, so the ids of a text are those of its pieces. That way is taken for texts of the
+    characters below, for which the pattern is spelt out; texts with others, or with an
+    added token, go to the library whole. The dictionary maps pieces to the bytes of their ids.
     """
 
     #: Pieces whose ids are kept, and the longest such piece.
     KEPT, LONGEST = 1 << 20, 64
-    # Fixed value: the pattern by which a byte-level vocabulary cuts texts.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    # Letters, numbers and white space below U+0250, and the pattern over them.
+    LETTERS, NUMBERS, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r \xa0"
+    PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+    KNOWN = "\t\n\r\x20-\x7e\xa0-\u024f"
 
     def __init__(self, vocabulary: str) -> None:
         self.library = tokenizers.Tokenizer.from_file(vocabulary)
@@ -70,28 +73,24 @@ class Encoder:
         kind = self.library.pre_tokenizer
         usual = isinstance(kind, tokenizers.pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
         usual = usual and self.library.normalizer is None and self.library.truncation is None
-        self.pieces = regex.compile(self.PATTERN).findall
-        self.odd = regex.compile(r"[^\t\n\r\x20-\x7e\xa0-\u024f]" if usual else "(?s:.)").search
-        self.known: dict[str, list[int]] = {}
+        self.pieces = re.compile(self.PATTERN).findall
+        self.odd = re.compile(f"[^{self.KNOWN}]" if usual else "(?s:.)").search
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
+    def __missing__(self, piece: str) -> bytes:
+        ids = np.array(self.whole(piece), dtype="<u4").tobytes()
+        if len(piece) <= self.LONGEST:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[piece] = ids
+        return ids
+
     def __call__(self, text: str) -> np.ndarray:
         if self.odd(text) or any(t in text for t in self.added):
-            return np.array(self.whole(text), dtype=np.uint32)
-        ids: list[int] = []
-        known = self.known
-        for piece in self.pieces(text):
-            own = known.get(piece)
-            if own is None:
-                own = self.whole(piece)
-                if len(piece) <= self.LONGEST:
-                    if len(known) >= self.KEPT:
-                        known.clear()
-                    known[piece] = own
-            ids += own
-        return np.array(ids, dtype=np.uint32)
+            return np.array(self.whole(text), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, self.pieces(text))), dtype="<u4")
 
 
 @cache
