@@ -13,9 +13,10 @@ times its share in the occurrences behind that number. Each task has the counts
 ``KNOWN`` tokens; those of all others are joined to the documents by code.
 
 Training is data-parallel: in each of ``ROUNDS`` rounds every task starts from the same
-weights, walks over its own texts (every ``STRIDE``-th position, the next one each round, so
-that every token is a target once) by Adagrad in numpy, and the weights are averaged,
-each task counting by its positions. Only arrays of the network's fixed size reach the
+weights, walks over its own texts by Adagrad in numpy, and the weights are averaged, each
+task counting by its positions. A round takes every ``ROUNDS``-th chunk of a task's texts,
+the next one each round, so every token of the corpus is a target once. Batches grow with
+the positions that a task has seen. Only arrays of the network's fixed size reach the
 driver. Sums are taken task by task, so results repeat for the same partitions.
 
 Defined results:
@@ -48,11 +49,11 @@ OWN = 0.25
 KNOWN = 1 << 18
 #: Logs are added up as whole numbers of this part, so that sums don't depend on their order.
 _UNIT = float(1 << 28)
-REACH, HIDDEN = 2, 32
-#: As many rounds as the stride, so that every position is a target once.
-STRIDE = ROUNDS = 2
-BATCH, RATE = 1024, 0.15
-_STEP = 1 << 14
+REACH, HIDDEN = 2, 24
+ROUNDS = 2
+#: Positions of the first and of the largest batches; one is a 16th of the positions seen in between.
+FIRST_BATCH, BATCH, RATE = 256, 4096, 0.3
+_STEP = 1 << 11
 _PARTS = ["row", "doc_id", "code", "times", "n_tokens", "total"]
 #: Pieces in which weights are exchanged, so that no task adds up whole networks.
 BLOCKS = 48
@@ -172,7 +173,8 @@ class Network:
 
     def log_chances(self, near: np.ndarray, token: np.ndarray, small: bool = False) -> np.ndarray:
         w, h = self.weights, self.hidden(near)
-        cls, word = token // self.side, token % self.side
+        cls, word = np.divmod(token, self.side)
+        cls = cls.astype(np.uint16)
         out = _log_softmax_at(h @ w["class"] + w["class_bias"], cls, small)
         order = np.argsort(cls, kind="stable")
         bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
@@ -191,9 +193,14 @@ class Network:
     def gradient_rows(self, near: np.ndarray, token: np.ndarray) -> tuple[dict[str, np.ndarray], list]:
         """Gradients without ``near``, and for each of its places the rows that are not zero."""
         w, h, n = self.weights, self.hidden(near), len(token)
-        cls, word = token // self.side, token % self.side
-        up = _softmax_error(h @ w["class"] + w["class_bias"], cls) / n
-        grads = {"class": h.T @ up, "class_bias": up.sum(0)}
+        cls, word = np.divmod(token, self.side)
+        cls = cls.astype(np.uint16)
+        ones = np.ones(n, h.dtype)
+        logits = h @ w["class"]
+        logits += w["class_bias"]
+        up = _softmax_error(logits, cls)
+        up /= n
+        grads = {"class": h.T @ up, "class_bias": ones @ up}
         back = up @ w["class"].T
         grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
         order = np.argsort(cls, kind="stable")
@@ -205,14 +212,13 @@ class Network:
         logits += w["word_bias"][cls[order]]
         up = _softmax_error(logits, word[order])
         up /= n
-        ones = np.ones(n, h.dtype)
         for c, part in spans:
             np.matmul(own[part].T, up[part], out=grads["word"][c])
             np.matmul(ones[part], up[part], out=grads["word_bias"][c])
             np.matmul(up[part], w["word"][c].T, out=more[part])
         back[order] += more
         back *= 1 - h * h
-        grads["bias"] = back.sum(0)
+        grads["bias"] = ones @ back
         touched = []
         for k in range(2 * REACH):
             order = np.argsort(near[k], kind="stable")
@@ -241,7 +247,9 @@ def _numbered(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.
     """Token numbers, their neighbours' numbers (one row per place), their texts and their codes."""
     t = tokens_of(*utf8_view(batch.column("text")))
     token = words.numbers_of(t.code)
-    near = np.full((2 * REACH, len(token)), words.side**2, dtype=np.int64)
+    # 16 bits where they hold all numbers: numpy sorts those by radix
+    kind = np.uint16 if words.side**2 < 1 << 16 else np.int64
+    token, near = token.astype(kind), np.full((2 * REACH, len(token)), words.side**2, dtype=kind)
     for k in range(1, REACH + 1):
         same = t.text[k:] == t.text[:-k]
         near[k - 1][k:][same] = token[:-k][same]
@@ -249,7 +257,26 @@ def _numbered(batch: pa.RecordBatch, words: Vocabulary) -> tuple[np.ndarray, np.
     return token, near, t.text, t.code
 
 
-def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: int = STRIDE) -> Network:
+def step(net: Network, squares: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray) -> None:
+    """One Adagrad step over a batch; ``squares`` holds the sums of squared gradients."""
+    grads, touched = net.gradient_rows(near, token)
+
+    def move(g: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """The step along ``g``, whose square is added to ``held``."""
+        held += g * g
+        g *= -RATE
+        g /= np.sqrt(held)
+        return g
+
+    for name, g in grads.items():
+        net.weights[name] += move(g, squares[name])
+    for k, (ids, g) in enumerate(touched):
+        held = squares["near"][k][ids]
+        net.weights["near"][k][ids] += move(g, held)
+        squares["near"][k][ids] = held
+
+
+def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network:
     net = Network(side=words.side)
     size = len(net.flat())
     width = -(-(size + 1) // BLOCKS)
@@ -261,21 +288,16 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
             words, flat = start.value
             own, seen = Network(side=words.side).load(flat), 0
             squares = {k: np.full_like(w, 1e-3) for k, w in own.weights.items()}
-            for batch in text_chunks(batches):
+            for number, batch in enumerate(text_chunks(batches)):
+                if number % rounds != turn:
+                    continue
                 token, near, _, _ = _numbered(batch, words)
-                picked = np.arange((turn * stride) // max(rounds, 1), len(token), stride)
-                picked = np.random.default_rng(len(token)).permutation(picked)
-                for at in range(0, len(picked), BATCH):
-                    some = picked[at : at + BATCH]
-                    grads, touched = own.gradient_rows(near[:, some], token[some])
-                    for name, g in grads.items():
-                        squares[name] += g * g
-                        own.weights[name] -= RATE * g / np.sqrt(squares[name])
-                    for k, (ids, g) in enumerate(touched):
-                        held = squares["near"][k][ids] + g * g
-                        squares["near"][k][ids] = held
-                        own.weights["near"][k][ids] -= RATE * g / np.sqrt(held)
-                seen += len(picked)
+                order, at = np.random.default_rng(len(token)).permutation(len(token)), 0
+                while at < len(order):
+                    some = order[at : at + min(max((seen + at) // 16, FIRST_BATCH), BATCH)]
+                    step(own, squares, near[:, some], token[some])
+                    at += len(some)
+                seen += len(order)
             weighted = np.zeros(BLOCKS * width)
             weighted[:size], weighted[-1] = own.flat() * float(seen), seen
             yield block_batch(list(weighted.reshape(BLOCKS, width)), TaskContext.get().partitionId())
@@ -289,11 +311,11 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS, stride: in
     return net
 
 
-def lm_scores(docs: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, known: int = KNOWN) -> DataFrame:
+def lm_scores(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
     """One row per document: doc_id, n_tokens, log_prob, mean_log_prob."""
     counts = staged(word_counts(docs), "words")
     words = vocabulary(counts, known)
-    shared = docs.sparkSession.sparkContext.broadcast((words, trained(docs, words, rounds, stride).flat()))
+    shared = docs.sparkSession.sparkContext.broadcast((words, trained(docs, words, rounds).flat()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
