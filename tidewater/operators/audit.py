@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.series import in_period
+from tidewater.operators.series import in_period, with_gaps
 
 
 def coverage(df: DataFrame, by: Sequence[str], time: str, step: int, expected: Column) -> DataFrame:
@@ -29,8 +29,7 @@ def period_coverage(df: DataFrame, periods: DataFrame, datasets: DataFrame, data
     rows each, and the only cross join is between these two.
     """
     inside = in_period(df, periods, time)
-    w = Window.partitionBy("period", dataset).orderBy(time)
-    found = inside.withColumn("_gap", F.col(time) - F.lag(time).over(w)).groupBy("period", dataset).agg(
+    found = with_gaps(inside.select("period", dataset, time), ["period", dataset], time, [time], "_gap").groupBy("period", dataset).agg(
         F.count("*").alias("rows"), F.max("_gap").alias("max_gap_ms"), F.count_if(F.col("_gap") > step).alias("gaps")
     )
     every = periods.select("period").crossJoin(F.broadcast(datasets))
@@ -81,11 +80,11 @@ def regressions(df: DataFrame, by: Sequence[str], order: str, clock: str) -> Dat
 
 
 def interarrival(df: DataFrame, by: Sequence[str], order: Sequence[str], time: str, shares: dict[str, float]) -> DataFrame:
-    """Exact interpolated percentiles of the time between neighbouring rows of a key."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    rows = df.withColumn("_gap", F.col(time) - F.lag(time).over(w))
-    stats = [F.round(F.percentile("_gap", p), 3).alias(name) for name, p in shares.items()]
-    return rows.groupBy(*by).agg(F.count("_gap").alias("n"), F.min("_gap").alias("min_ms"), F.max("_gap").alias("max_ms"), *stats)
+    """Exact interpolated percentiles of the time between neighbouring rows of a key, from counts of distinct gaps."""
+    gaps = with_gaps(df.select(*by, *dict.fromkeys([time, *order])), by, time, order, "_gap").groupBy(*by, "_gap").agg(F.count("*").alias("_n"))
+    stats = [F.round(F.percentile("_gap", p, F.col("_n")), 3).alias(name) for name, p in shares.items()]
+    n = F.coalesce(F.sum(F.when(F.col("_gap").isNotNull(), F.col("_n"))), F.lit(0)).alias("n")
+    return gaps.groupBy(*by).agg(n, F.min("_gap").alias("min_ms"), F.max("_gap").alias("max_ms"), *stats)
 
 
 def raw_vs_served(raw: DataFrame, served: DataFrame, keys: Sequence[str], value: str, order: Sequence[str]) -> DataFrame:

@@ -82,6 +82,31 @@ def running(col: str, by: Sequence[str], time: str) -> Column:
     return F.sum(col).over(w)
 
 
+def with_gaps(df: DataFrame, by: Sequence[str], time: str, order: Sequence[str], gap: str = "gap_ms", high: str | None = None, width: int = 3_600_000) -> DataFrame:
+    """``df`` with the time since the row before of its key, and with ``high`` the greatest such gap so far.
+
+    ``order`` begins with ``time``. A key may have very many rows, so they are ordered within
+    buckets of ``width`` only; one row for each bucket carries its last time and greatest gap
+    on to the next ones.
+    """
+    keys = [*by, "_bucket"]
+    inside = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("_bucket", F.floor(F.col(time) / width)).withColumn("_gap", F.col(time) - F.lag(time).over(inside))
+    if high:
+        rows = rows.withColumn("_high", F.max("_gap").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = rows.groupBy(*keys).agg(F.min(time).alias("_first"), F.max(time).alias("_last"), F.max("_gap").alias("_most"))
+    across = Window.partitionBy(*by).orderBy("_bucket")
+    ends = ends.withColumn("_step", F.col("_first") - F.lag("_last").over(across))
+    peak = F.greatest("_most", "_step")
+    ends = ends.withColumn("_peak", F.max(peak).over(across.rowsBetween(Window.unboundedPreceding, -1)))
+    met = rows.join(ends.select(*keys, "_step", "_peak"), keys)
+    own = F.coalesce("_gap", F.when(F.row_number().over(inside) == 1, F.col("_step")))
+    out = met.withColumn(gap, own)
+    if high:
+        out = out.withColumn(high, F.greatest("_peak", "_step", "_high"))
+    return out.select(*df.columns, gap, *([high] if high else []))
+
+
 def in_period(df: DataFrame, periods: DataFrame, time: str, start: str = "start_ms", end: str = "end_ms", width: int = 86_400_000) -> DataFrame:
     """Range join start <= time < end by equal buckets of ``width``, then the exact bounds.
 

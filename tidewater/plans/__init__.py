@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewater.plans import audit, market, measures, merges, parsing, registry, series
+from tidewater.plans import audit, codecs, market, measures, merges, parsing, registry, series
 
 
 def queries() -> dict:

@@ -41,7 +41,7 @@ def period_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT minute_ms FROM g ANTI JOIN (SELECT DISTINCT ms - ms % 60000 AS minute_ms FROM ev) USING (minute_ms))
 SELECT count(*) AS missing, min(minute_ms) AS first_missing, max(minute_ms) AS last_missing, coalesce(string_agg(CAST(minute_ms AS VARCHAR), ',' ORDER BY minute_ms), '') AS missing_list FROM m""")
 def missing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = ticks(spark, sf_dir).filter((F.col("ms") >= DAY) & (F.col("ms") < DAY + DAY_MS))
+    rows = ticks(spark, sf_dir, DAY, DAY + DAY_MS)
     minutes = grid(spark, DAY, DAY + DAY_MS, MINUTE_MS, "minute_ms")
     return audit.missing(rows.select(floor_to("ms", MINUTE_MS).alias("minute_ms")), minutes, "minute_ms")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,18 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` in market roles: source event_type, time ms, price, quantity k, connection user_id."""
-    return load(spark, sf_dir, "events").select(
+def ticks(spark: SparkSession, sf_dir: str, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
+    """``events`` in market roles: source event_type, time ms, price, quantity k, connection user_id.
+
+    With bounds only the events of [start, end): the stored clock itself is compared, so
+    that the scan skips what lies outside.
+    """
+    rows = load(spark, sf_dir, "events")
+    for bound, sign in ((start_ms, ">="), (end_ms, "<")):
+        if bound is not None:
+            stamp = datetime.fromtimestamp(bound / 1000, timezone.utc).strftime("%Y-%m-%d %H:%M:%S.%f")
+            rows = rows.filter(f"ts {sign} TIMESTAMP_NTZ'{stamp}'")
+    return rows.select(
         "event_id",
         epoch_ms("ts").alias("ms"),
         "user_id",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.clock import DAY_MS, HOUR_MS, MARKET_MS, MINUTE_MS, bucket_id, floor_to, market_columns
 from tidewater.functions.numeric import ratio_double
 from tidewater.operators.bars import book_bars, flow_bars, flow_features, ohlc, trace_bars
-from tidewater.operators.series import asof, grid, lagged, spanned_grid
+from tidewater.operators.series import asof, grid, lagged, spanned_grid, with_gaps
 from tidewater.operators.state import latest
 from tidewater.plans.registry import EV, query, ticks
 
@@ -40,8 +40,8 @@ def latest_market_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks(spark, sf_dir).agg(F.max(bucket_id("ms")).alias("market_id"))
 
 
-def _of_day(rows: DataFrame) -> DataFrame:
-    return rows.filter((F.col("ms") >= DAY) & (F.col("ms") < DAY + DAY_MS))
+def _of_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ticks(spark, sf_dir, DAY, DAY + DAY_MS)
 
 
 def _minute_last(rows: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ SELECT g.sample_ms, price, n, (g.sample_ms - {DAY}) // 60000 AS t FROM g LEFT JO
 def dense_grid_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     minutes = grid(spark, DAY, DAY + DAY_MS, MINUTE_MS)
     t = F.call_function("div", F.col("sample_ms") - DAY, F.lit(MINUTE_MS)).alias("t")
-    return minutes.join(_minute_last(_of_day(ticks(spark, sf_dir))), "sample_ms", "left").select("*", t)
+    return minutes.join(_minute_last(_of_day(spark, sf_dir)), "sample_ms", "left").select("*", t)
 
 
 def _typed_grid(spark: SparkSession) -> DataFrame:
@@ -88,13 +88,13 @@ j AS (SELECT g.event_type, g.hour_ms, g.ms, e.ms AS seen, e.price FROM g ASOF LE
 SELECT event_type, hour_ms, ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen END AS asof_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN price END AS price,
 CASE WHEN ms - seen <= {TOLERANCE} THEN ms - seen END AS age_ms, CASE WHEN ms - seen <= {TOLERANCE} THEN seen <> ms END AS carried FROM j""", money="price")
 def asof_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _carried(_typed_grid(spark), _of_day(ticks(spark, sf_dir)))
+    return _carried(_typed_grid(spark), _of_day(spark, sf_dir))
 
 
 @query(f"""WITH {EV}, {_GRID_SQL}, e AS (SELECT event_type, ms - ms % 60000 AS ms, last(price ORDER BY ev.ms, event_id) AS price FROM ev GROUP BY ALL)
 SELECT g.event_type, g.hour_ms, g.ms, CASE WHEN e.ms IS NOT NULL THEN g.ms END AS asof_ms, e.price FROM g LEFT JOIN e ON g.event_type = e.event_type AND g.ms = e.ms""", money="price")
 def exact_second_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exact(_typed_grid(spark), ticks(spark, sf_dir))
+    return _exact(_typed_grid(spark), _of_day(spark, sf_dir))
 
 
 def _whole_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,19 +244,20 @@ def sample_and_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.operators.state import stale
 
     rows = ticks(spark, sf_dir)
-    ends = rows.groupBy("event_type").agg(F.min("ms").alias("a"), F.max("ms").alias("b"))
-    hours = ends.select("event_type", F.explode(F.sequence(floor_to("a", HOUR_MS) + HOUR_MS, floor_to("b", HOUR_MS), F.lit(HOUR_MS).cast("long"))).alias("ms"))
-    held = asof(hours, rows, ["event_type"], "ms", ["price"], order=["event_id"])
-    return held.filter(~stale(F.col("ms"), F.col("asof_ms"), 1_800_000)).select("event_type", "ms", "price", (F.col("ms") - F.col("asof_ms")).alias("age_ms"))
+    # only the last value of the hour before can be fresh enough, so nothing is carried further
+    hour = -floor_to(-F.col("ms"), HOUR_MS)
+    held = rows.groupBy("event_type", hour.alias("at")).agg(F.max_by(F.struct("ms", "price"), F.struct("ms", "event_id")).alias("v"))
+    ends = rows.groupBy("event_type").agg((floor_to(F.min("ms"), HOUR_MS) + HOUR_MS).alias("a"), floor_to(F.max("ms"), HOUR_MS).alias("b"))
+    held = held.join(F.broadcast(ends), "event_type").filter("at between a and b").filter(~stale(F.col("at"), F.col("v.ms"), 1_800_000))
+    return held.select("event_type", F.col("at").alias("ms"), "v.price", (F.col("at") - F.col("v.ms")).alias("age_ms"))
 
 
 @query(f"""WITH {EV}, d AS (SELECT event_type, event_id, ms, ms - lag(ms) OVER (PARTITION BY event_type ORDER BY ms, event_id) AS gap FROM ev)
 SELECT event_type, event_id, gap AS gap_ms, max(gap) OVER (PARTITION BY event_type ORDER BY ms, event_id ROWS UNBOUNDED PRECEDING) AS high_water_ms FROM d""")
 def running_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ms", "event_id")
-    rows = ticks(spark, sf_dir).withColumn("gap_ms", F.col("ms") - F.lag("ms").over(w))
-    high = F.max("gap_ms").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("high_water_ms")
-    return rows.select("event_type", "event_id", "gap_ms", high)
+    rows = ticks(spark, sf_dir).select("event_type", "event_id", "ms")
+    found = with_gaps(rows, ["event_type"], "ms", ["ms", "event_id"], "gap_ms", "high_water_ms")
+    return found.select("event_type", "event_id", "gap_ms", "high_water_ms")
 
 
 @query(f"""WITH {EV}, b AS (SELECT DISTINCT event_type, ms - ms % 60000 AS bar_ms FROM ev)

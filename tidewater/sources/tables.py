@@ -14,10 +14,14 @@ from tidewater.operators.state import latest
 PART = "part_start_ms"
 
 
-def append(df: DataFrame, path: str, time: str, sort: Sequence[str] = ()) -> None:
-    """Append rows under their six-hour partition, sorted within files for row-group skipping."""
-    rows = df.withColumn(PART, floor_to(time, PARTITION_MS)).repartition(PART)
-    rows.sortWithinPartitions(PART, *sort, time).write.mode("append").partitionBy(PART).parquet(path)
+def append(df: DataFrame, path: str, time: str, sort: Sequence[str] = (), mode: str = "append", spread: int = 8) -> None:
+    """Append rows under their six-hour partition, sorted within files for row-group skipping.
+
+    A partition is written by ``spread`` tasks, so that the newest one isn't a single task's work.
+    """
+    salt = F.pmod(F.xxhash64(*sort, time), F.lit(spread))
+    rows = df.withColumn(PART, floor_to(time, PARTITION_MS)).repartition(PART, salt)
+    rows.sortWithinPartitions(PART, *sort, time).write.mode(mode).partitionBy(PART).parquet(path)
 
 
 def read_range(spark: SparkSession, path: str, time: str, start_ms: int, end_ms: int) -> DataFrame:
@@ -85,6 +89,12 @@ def export_json(df: DataFrame, path: str) -> None:
     texts.write.mode("overwrite").option("compression", "gzip").text(path)
 
 
+def listed(spark: SparkSession, values: Sequence, name: str, kind: str = "string") -> DataFrame:
+    """A parameter list as a relation of one column, in no order; repeated values stay."""
+    one = spark.range(1).select(F.array(*(F.lit(v).cast(kind) for v in values)).cast(f"array<{kind}>").alias("_values"))
+    return one.select(F.explode("_values").alias(name))
+
+
 def log_rows(spark: SparkSession, path: str, event: str, schema: str) -> DataFrame:
     """Structured log lines of one event kind; other lines are passed over."""
     lines = spark.read.text(path).filter(F.get_json_object("value", "$.event") == event)

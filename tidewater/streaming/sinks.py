@@ -22,19 +22,27 @@ def upserting(path: str, keys: Sequence[str], order: Sequence[str], rules: Mappi
 
 
 def appending(path: str, time: str, sort: Sequence[str] = ()) -> Sink:
+    """Append each batch as a folder of its own; a batch that runs again replaces its folder."""
+
     def write(batch: DataFrame, epoch: int) -> None:
-        tables.append(batch, f"{path}/epoch={epoch}", time, sort)
+        tables.append(batch, f"{path}/epoch={epoch}", time, sort, mode="overwrite")
 
     return write
 
 
-def in_turn(*sinks: Sink) -> Sink:
+def in_turn(*sinks: Sink, staging: str | None = None) -> Sink:
     """Several sinks for one batch, each done before the next begins: live values, then history.
 
-    Each sink evaluates the batch for itself: a batch of a stateful query can't be cached.
+    With ``staging`` the batch is written there first and each sink reads it from there;
+    without it each sink evaluates the batch for itself (one of a stateful query can't be
+    cached). Staged batches are left for the caller to remove.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
+        if staging:
+            path = f"{staging}/epoch={epoch}"
+            batch.write.mode("overwrite").parquet(path)
+            batch = batch.sparkSession.read.schema(batch.schema).parquet(path)
         for sink in sinks:
             sink(batch, epoch)
 

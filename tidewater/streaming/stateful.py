@@ -8,6 +8,7 @@ are sorted by their receive sequence first.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import Any
 
 import pandas as pd
@@ -50,32 +51,34 @@ def gap_filled(bars: DataFrame, key: str = "symbol", step_ms: int = 1_000, windo
 
     ``bars``: key, sample_second_ms, buy_quote, sell_quote, each second once and in order
     over micro-batches (a late one is dropped). State: the last second, the cumulative
-    delta and the deltas of the longest window. Sums are doubles here.
+    delta and the deltas of the longest window. Money is decimal with eight places.
     """
     longest = max(windows)
 
     def run(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, cvd, recent = state.get if state.exists else (-1, 0.0, [])
+        zero = Decimal("0.00000000")
+        last, cvd, recent = state.get if state.exists else (-1, zero, [])
         recent, out = list(recent), []
         for r in _batch(frames, ["sample_second_ms"]).itertuples():
             if last >= 0 and r.sample_second_ms <= last:
                 continue
             second = last + step_ms if last >= 0 else r.sample_second_ms
             while second <= r.sample_second_ms:
-                buy, sell = (float(r.buy_quote), float(r.sell_quote)) if second == r.sample_second_ms else (0.0, 0.0)
+                buy, sell = (r.buy_quote, r.sell_quote) if second == r.sample_second_ms else (zero, zero)
                 cvd += buy - sell
                 recent = [*recent, buy - sell][-longest:]
-                out.append((group[0], second, buy, sell, buy - sell, cvd, *(sum(recent[-w:]) for w in windows)))
+                out.append((group[0], second, buy, sell, buy - sell, cvd, *(sum(recent[-w:], zero) for w in windows)))
                 second += step_ms
             last = r.sample_second_ms
         state.update((int(last), cvd, recent))
         names = [key, "sample_second_ms", "buy_quote", "sell_quote", "delta_quote", "cvd_quote", *(f"cvd_{w}s_quote" for w in windows)]
         yield pd.DataFrame(out, columns=names)
 
-    sums = ", ".join(f"cvd_{w}s_quote double" for w in windows)
-    schema = f"{key} string, sample_second_ms long, buy_quote double, sell_quote double, delta_quote double, cvd_quote double, {sums}"
-    rows = bars.selectExpr(key, "sample_second_ms", "cast(buy_quote as double) buy_quote", "cast(sell_quote as double) sell_quote")
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "last long, cvd double, recent array<double>", "append", NONE)
+    money = "decimal(38,8)"
+    sums = ", ".join(f"cvd_{w}s_quote {money}" for w in windows)
+    schema = f"{key} string, sample_second_ms long, buy_quote {money}, sell_quote {money}, delta_quote {money}, cvd_quote {money}, {sums}"
+    rows = bars.selectExpr(key, "sample_second_ms", f"cast(buy_quote as {money}) buy_quote", f"cast(sell_quote as {money}) sell_quote")
+    return rows.groupBy(key).applyInPandasWithState(run, schema, f"last long, cvd {money}, recent array<{money}>", "append", NONE)
 
 
 def settled_ticks(ticks: DataFrame, key: str = "symbol", settle_ms: int = 1_000, capacity: int = 5_000) -> DataFrame:
