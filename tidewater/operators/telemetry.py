@@ -37,7 +37,7 @@ def bytes_per_hour(rows: DataFrame, sizes: DataFrame, time: str, step_ms: int, n
     span = rows.agg(F.count("*").alias("rows"), F.min(time).alias("_first"), F.max(time).alias("_last"))
     held = sizes.agg(F.coalesce(F.sum(n_bytes), F.lit(0)).cast("long").alias("bytes"))
     hours = (F.col("_last") - F.col("_first") + step_ms) / HOUR_MS
-    rate = F.round(F.col("bytes") / F.greatest(hours, F.lit(0.001))).cast("long")
+    rate = F.when(F.col("rows") > 0, F.round(F.col("bytes") / F.greatest(hours, F.lit(0.001))).cast("long"))
     both = span.crossJoin(F.broadcast(held))
     return both.select("rows", F.round(hours, 3).alias("observed_hours"), "bytes", size_text(F.col("bytes")).alias("size"), rate.alias("bytes_per_hour"))
 

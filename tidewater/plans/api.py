@@ -13,12 +13,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions.clock import MARKET_MS, iso_text, whole
+from tidewater.functions.clock import MARKET_MS, PARTITION_MS, iso_text, whole
 from tidewater.functions.numeric import clamped_age, compact_text, fixed_text
 from tidewater.operators.bars import ohlc
 from tidewater.operators.rules import page
 from tidewater.operators.series import asof, grid, lagged
 from tidewater.operators.state import latest
+from tidewater.sources.tables import PART
 
 Tables = Mapping[str, DataFrame]
 SECOND = "sample_second_ms"
@@ -87,8 +88,17 @@ def market_index(t: Tables, now_ms: int, limit: int = 3, before: int | None = No
     return chosen.join(counts, "market_id").orderBy(F.desc("market_id"))
 
 
+def of_market(df: DataFrame, market_id: int) -> DataFrame:
+    """Rows of one market; of a table in six-hour partitions only the one that holds its five minutes."""
+    rows = df.filter(F.col("market_id") == market_id)
+    if PART in df.columns:
+        start = market_id * MARKET_MS
+        rows = rows.filter(F.col(PART) == start - start % PARTITION_MS)
+    return rows
+
+
 def market_samples(t: Tables, market_id: int) -> DataFrame:
-    return named_samples(t).filter(F.col("market_id") == market_id)
+    return of_market(named_samples(t), market_id)
 
 
 def market_summary(t: Tables, market_id: int, provider: str, symbol: str) -> DataFrame:
@@ -151,7 +161,7 @@ def market_series(
     )
     for name, columns in {"flow": ("delta_quote", "cvd_quote", "taker_imbalance"), "book": ("bid", "ask", "mid", "spread_bps"), "probabilities": ("up_ask", "down_ask")}.items():
         if name in layers:
-            own = t[name].filter(F.col("market_id") == market_id).select(SECOND, *(F.col(c).alias(f"{name}_{c}") for c in columns))
+            own = of_market(t[name], market_id).select(SECOND, *(F.col(c).alias(f"{name}_{c}") for c in columns))
             out = out.join(own, SECOND, "left")
     if "futures" in layers:
         out = out.join(_futures(t, start), SECOND, "left")
@@ -187,12 +197,12 @@ def series_items(series: DataFrame) -> DataFrame:
 
 
 def with_microstructure(series: DataFrame, t: Tables, market_id: int, columns: Sequence[str]) -> DataFrame:
-    own = t["micro"].filter(F.col("market_id") == market_id).select(SECOND, F.struct(*columns).alias("microstructure"))
+    own = of_market(t["micro"], market_id).select(SECOND, F.struct(*columns).alias("microstructure"))
     return series.join(own, SECOND, "left")
 
 
 def microstructure_availability(t: Tables, market_id: int, expected: int = 300) -> DataFrame:
-    rows = t["micro"].filter(F.col("market_id") == market_id)
+    rows = of_market(t["micro"], market_id)
     return rows.agg(
         F.count("*").alias("rows"), F.count_if(F.col("collector_healthy")).alias("healthy"), F.greatest(F.lit(0).cast("long"), F.lit(expected) - F.count("*")).alias("missing")
     )
