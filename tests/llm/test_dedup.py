@@ -184,6 +184,22 @@ def test_thresholds_keep_the_pigeonhole():
             assert len(used) == len(set(used))
 
 
+def test_candidate_estimates_see_correlation():
+    """Chances of few differing bits, against counts over pairs: bits that go together differ together."""
+    rng = np.random.default_rng(2)
+    base = rng.random((4000, 8)) < 0.5
+    bits = np.repeat(base, 2, axis=1) ^ (rng.random((4000, 16)) < 0.05)
+    bits = np.concatenate([bits, rng.random((4000, 48)) < 0.3], axis=1)
+    share = bits.T.astype(float) @ bits / len(bits)
+    a, b = bits[:2000], bits[2000:]
+    for group in (list(range(16)), list(range(16, 32))):
+        differ = (a[:, group] ^ b[:, group]).sum(1)
+        found = sim._within(share, group, 4)
+        for t in (2, 4):
+            assert abs(found[t] - (differ <= t).mean()) < 0.25 * (differ <= t).mean() + 0.004
+    assert sim._within(share, list(range(16)), 2)[2] > 3 * sim._within(np.outer(np.diag(share), np.diag(share)) * (1 - np.eye(64)) + np.diag(np.diag(share)), list(range(16)), 2)[2]
+
+
 def test_components_of_a_long_chain_and_a_hub(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}

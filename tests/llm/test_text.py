@@ -711,3 +711,15 @@ class _Here:
 
     def mapInArrow(self, run, schema):
         return list(run(iter(self.docs.toArrow().to_batches())))
+
+
+def test_operators_on_awkward_rows(spark, docs, awkward):
+    """Nulls, blanks, repeats, clashing columns and a very long text: one result row for each row."""
+    labels = spark.createDataFrame([(1, 1, 0), (8, 1, 0), (11, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    ids = Counter(r[0] for r in awkward)
+    for out in (quality.quality_verdicts(docs, labels), pii.find_pii(docs), lm.lm_scores(docs), contamination(docs, spark.createDataFrame([(1, awkward[9][1])], "item_id long, text string"))):
+        assert Counter(r["doc_id"] for r in out.collect()) == ids
+    pages = docs.withColumnRenamed("doc_id", "page_id").withColumn("html", F.concat(F.lit("<p>"), "text", F.lit("<table><tr><td>x")))
+    assert Counter(r["page_id"] for r in extract_text(pages).collect()) == ids
+    long = {r["doc_id"]: r for r in contamination(docs, spark.createDataFrame([(1, awkward[9][1])], "item_id long, text string")).collect()}[10]
+    assert long["n_hit"] == long["n_words"] == 60_000

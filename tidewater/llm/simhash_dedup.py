@@ -133,22 +133,34 @@ def group_bits(n: int, together: np.ndarray, parts: int) -> list[list[int]]:
     return out
 
 
-def _within(p: np.ndarray, most: int) -> np.ndarray:
-    """Chance that two fingerprints differ in at most 0..most of independent bits."""
-    apart = np.zeros(len(p) + 1)
-    apart[0] = 1.0
-    for q in 2 * p * (1 - p):
-        apart[1:] = apart[1:] * (1 - q) + apart[:-1] * q
-        apart[0] *= 1 - q
-    return np.cumsum(apart)[: most + 1]
+def _within(share: np.ndarray, group: list[int], most: int) -> np.ndarray:
+    """Chance that two fingerprints differ in at most 0..most bits of a group.
 
-
-def thresholds(n: int, p: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
+    The number of bits in which two differ has its mean and variance from the chances of
+    single bits and of pairs of bits (``share``), so from their correlation too; its
+    distribution is taken to be the beta-binomial with these.
+    """
+    n, p = len(group), np.diag(share)[group]
+    both = share[np.ix_(group, group)]
+    one, none = p[:, None] - both, 1 - p[:, None] - p[None, :] + both
+    apart = 2 * (both * none + one * one.T)  # both bits of a pair differ
+    single = 2 * p * (1 - p)
+    np.fill_diagonal(apart, single)
+    mean = min(max(single.mean(), 1e-6), 1 - 1e-6)
+    spread = max((apart - np.outer(single, single)).sum(), 1e-12) / (n * mean * (1 - mean))
+    tied = min(max((spread - 1) / max(n - 1, 1), 1e-6), 1 - 1e-6)
+    a, b = mean * (1 / tied - 1), (1 - mean) * (1 / tied - 1)
+    beta = lambda x, y: math.lgamma(x) + math.lgamma(y) - math.lgamma(x + y)
+    ways = [math.log(math.comb(n, k)) + beta(k + a, n - k + b) - beta(a, b) for k in range(min(most, n) + 1)]
+    return np.minimum(np.cumsum(np.exp(ways)), 1.0)
+
+
+def thresholds(n: int, share: np.ndarray, groups: list[list[int]], distance: int) -> tuple[float, list[int]]:
     """Cheapest t_i >= -1 with sum(t_i) = distance - parts + 1, by dynamic programming."""
     budget = distance + 1  # in units of t_i + 1
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for group in groups:
-        near = _within(p[group], distance)
+        near = _within(share, group, distance)
         cost = [0.0]
         for t in range(budget):
             probes = sum(math.comb(len(group), k) for k in range(t + 1))
@@ -165,11 +177,10 @@ def thresholds(n: int, p: np.ndarray, groups: list[list[int]], distance: int) ->
 
 def plan(n: int, together: np.ndarray, distance: int) -> list[tuple[list[int], int]]:
     """Parts of the bits with their thresholds, over the part counts 2 to distance + 1."""
-    p = np.diag(together) / max(n, 1)
     tried = []
     for parts in range(2, distance + 2):
         groups = group_bits(n, together, parts)
-        cost, ts = thresholds(n, p, groups, distance)
+        cost, ts = thresholds(n, together / max(n, 1), groups, distance)
         tried.append((cost, parts, list(zip(groups, ts))))
     return [x for x in min(tried)[2] if x[1] >= 0]
 
