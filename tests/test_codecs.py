@@ -144,6 +144,20 @@ def test_an_epoch_written_twice_counts_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and seen == [2, 2, 2]
 
 
+def test_merging_rewrites_touched_buckets_only(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "key string, received_ms long, v int"
+    write = sinks.merging(path, ["key"], ["received_ms"], buckets=8)
+    assert tables.read_buckets(spark, path) is None
+    write(spark.createDataFrame([(f"k{i}", 1, i) for i in range(40)], schema), 0)
+    news = spark.createDataFrame([("k3", 2, 300), ("k3", 3, 301), ("new", 1, 7)], schema)
+    for _ in range(2):
+        write(news, 1)
+    got = {r["key"]: r["v"] for r in tables.read_buckets(spark, path).collect()}
+    assert got == {f"k{i}": i for i in range(40)} | {"k3": 301, "new": 7}
+    assert len(list((tmp_path / "t/version=0").glob("bucket=*"))) > 2 >= len(list((tmp_path / "t/version=1").glob("bucket=*")))
+    assert {r["key"]: r["v"] for r in tables.read_buckets(spark, path, before=1).collect()}["k3"] == 3
+
+
 def test_latest_values_and_order_books(spark):
     rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), ("b", 1, 7), ("c", 1, 8)], "key string, received_ms long, v int")
     assert sorted((r["key"], r["v"]) for r in tables.latest_values(rows, "key", ["a", "b"]).collect()) == [("a", 6), ("b", 7)]

@@ -21,6 +21,15 @@ def upserting(path: str, keys: Sequence[str], order: Sequence[str], rules: Mappi
     return write
 
 
+def merging(path: str, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, Rule] | None = None, buckets: int = 64) -> Sink:
+    """Merge each batch into a table kept in buckets by key; only buckets with rows in the batch are written again."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        tables.merge_buckets(batch.sparkSession, path, epoch, batch, keys, order, rules, buckets)
+
+    return write
+
+
 def appending(path: str, time: str, sort: Sequence[str] = ()) -> Sink:
     """Append each batch as a folder of its own; a batch that runs again replaces its folder."""
 
