@@ -20,7 +20,7 @@ from tidewater.llm import decontaminate as dec
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.html_text import HIDDEN, VOID, extract_text, visible_text
 from tidewater.llm.packing import Levels, default_vocabulary, encoder, pack
-from tidewater.llm.shared import ASCII_LOWER, co_located, text_chunks, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, co_located, utf8_view
 from tidewater.llm.tokens import tokens_of
 
 
@@ -683,7 +683,7 @@ def test_lm_numbers_follow_the_counts(spark):
 
 def test_lm_trains_on_every_position(spark, monkeypatch):
     """With the settings of the query, each token is a target as often as it occurs; chunks are dealt to rounds."""
-    monkeypatch.setattr(lm, "text_chunks", lambda batches: text_chunks(batches, limit=700))
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 700)
     docs = spark.createDataFrame([(i, " ".join(f"t{i}x{j}" for j in range(97))) for i in range(3)], "doc_id long, text string").coalesce(1)
     words = lm.vocabulary(lm.word_counts(docs))
     targets = []

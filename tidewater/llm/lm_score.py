@@ -54,6 +54,8 @@ ROUNDS = 2
 #: Positions of the first and of the largest batches; one is a 16th of the positions seen in between.
 FIRST_BATCH, BATCH, RATE = 256, 4096, 0.3
 _STEP = 1 << 11
+#: Text bytes of one numpy step, so that its arrays stay in a core's cache.
+CHUNK_BYTES = 1 << 19
 _PARTS = ["row", "doc_id", "code", "times", "n_tokens", "total"]
 #: Pieces in which weights are exchanged, so that no task adds up whole networks.
 BLOCKS = 48
@@ -90,15 +92,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(code, n): how often each token occurs in the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in text_chunks(batches):
-            more, n = np.unique(tokens_of(*utf8_view(batch.column("text"))).code, return_counts=True)
-            codes, where = np.unique(np.concatenate([codes, more]), return_inverse=True)
-            counts = np.bincount(where, weights=np.concatenate([counts, n]), minlength=len(codes)).astype(np.int64)
-            if len(codes) > 1 << 20:
-                yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
-                codes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        yield pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def given() -> pa.RecordBatch:
+            codes, where = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            counts = np.bincount(where, weights=np.concatenate([n for _, n in held]), minlength=len(codes)).astype(np.int64)
+            held.clear()
+            return pa.record_batch([pa.array(codes.view(np.int64)), pa.array(counts)], names=["code", "n"])
+
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
+            held.append(np.unique(tokens_of(*utf8_view(batch.column("text"))).code, return_counts=True))
+            if sum(len(c) for c, _ in held) > 1 << 21:
+                yield given()
+        if held:
+            yield given()
 
     each = _texts(docs).mapInArrow(run, "code long, n long")
     return each.groupBy("code").agg(F.sum("n").alias("n"))
@@ -172,15 +179,20 @@ class Network:
         return max(float(first.max()), float(second.max())) < 80
 
     def log_chances(self, near: np.ndarray, token: np.ndarray, small: bool = False) -> np.ndarray:
-        w, h = self.weights, self.hidden(near)
+        """Log chances of tokens in their places; worked out class by class, so that each step has one class."""
+        w = self.weights
         cls, word = np.divmod(token, self.side)
-        cls = cls.astype(np.uint16)
-        out = _log_softmax_at(h @ w["class"] + w["class_bias"], cls, small)
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.side + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            rows = order[bounds[c] : bounds[c + 1]]
-            out[rows] += _log_softmax_at(h[rows] @ w["word"][c] + w["word_bias"][c], word[rows], small)
+        out = np.empty(len(token))
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        bounds = np.searchsorted(cls[order], np.arange(self.side + 1)).tolist()
+        for c, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            for at in range(a, b, _STEP):
+                rows = order[at : min(at + _STEP, b)]
+                h = self.hidden(near[:, rows])
+                own, inner = h @ w["class"], h @ w["word"][c]
+                own += w["class_bias"]
+                inner += w["word_bias"][c]
+                out[rows] = _log_softmax_at(own, c, small) + _log_softmax_at(inner, word[rows], small)
         return out
 
     def gradients(self, near: np.ndarray, token: np.ndarray) -> dict[str, np.ndarray]:
@@ -228,10 +240,10 @@ class Network:
         return grads, touched
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray | int, small: bool) -> np.ndarray:
     if not small:
         logits -= logits.max(axis=1, keepdims=True)
-    chosen = logits[np.arange(len(at)), at]
+    chosen = logits[np.arange(len(logits)), at]
     return (chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
 
 
@@ -288,7 +300,7 @@ def trained(docs: DataFrame, words: Vocabulary, rounds: int = ROUNDS) -> Network
             words, flat = start.value
             own, seen = Network(side=words.side).load(flat), 0
             squares = {k: np.full_like(w, 1e-3) for k, w in own.weights.items()}
-            for number, batch in enumerate(text_chunks(batches)):
+            for number, batch in enumerate(text_chunks(batches, limit=CHUNK_BYTES)):
                 if number % rounds != turn:
                     continue
                 token, near, _, _ = _numbered(batch, words)
@@ -321,12 +333,9 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, known: int = KNOWN) -> Data
         words, flat = shared.value
         net, first = Network(side=words.side).load(flat), words.side**2 - RARE
         small = net.small_logits()
-        for batch in text_chunks(batches):
+        for batch in text_chunks(batches, limit=CHUNK_BYTES):
             token, near, text, code = _numbered(batch, words)
-            logs = np.zeros(len(token))
-            for at in range(0, len(token), _STEP):
-                part = slice(at, at + _STEP)
-                logs[part] = net.log_chances(near[:, part], token[part], small)
+            logs = net.log_chances(near, token, small)
             rare = np.flatnonzero(token >= first)
             at, found = _find(words.known, code[rare])
             logs[rare] -= words.log_bucket[token[rare] - first]

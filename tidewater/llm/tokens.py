@@ -64,7 +64,7 @@ def tokens_of(data: np.ndarray, ends: np.ndarray) -> Tokens:
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     code = mixed((sums[stop] - sums[start]) * down[start])
-    text = np.searchsorted(ends, start, side="right") - 1
+    text = np.repeat(np.arange(len(ends) - 1), np.diff(np.searchsorted(start, ends)))
     return Tokens(start, stop, code, kind[start], text)
 
 
