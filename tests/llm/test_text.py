@@ -19,7 +19,7 @@ from tidewater.llm import pii, quality
 from tidewater.llm import decontaminate as dec
 from tidewater.llm.decontaminate import contamination
 from tidewater.llm.html_text import HIDDEN, VOID, extract_text, visible_text
-from tidewater.llm.packing import Levels, default_vocabulary, encoder, pack
+from tidewater.llm.packing import Encoder, Levels, default_vocabulary, encoder, pack
 from tidewater.llm.shared import ASCII_LOWER, co_located, utf8_view
 from tidewater.llm.tokens import tokens_of
 
@@ -207,12 +207,14 @@ def test_packing_of_nothing(none):
 
 def test_ids_of_pieces_are_those_of_the_library():
     """Random texts, white space, contractions, signs and letters next to each other; and every single character."""
-    encode, rng = encoder(default_vocabulary()), random.Random(11)
+    encode, rng = Encoder(default_vocabulary()), random.Random(11)
     parts = [" ", "  ", "\n", "\t", "\xa0", "'s", "'ll", "'", "abc", "Zür", "ß", "12", "²", "½", "_", "...", "$$$", "e\u0301", "\x1c", "\x85", "日本", "🙂", "<|endoftext|>", "\u2003", "ǅ", "\xad"]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
     texts += ["a" * 500 + " " * 300, *(f"x{chr(c)}y {chr(c)}{chr(c)} z" for c in range(0x250))]
+    encode.KEPT = 50
     for text in texts:
         assert encode(text).tolist() == encode.whole(text), repr(text)
+    assert len(encode) <= 50 and len(encode.older) <= 50
 
 
 def test_html_long_attributes_end_at_their_quotes():

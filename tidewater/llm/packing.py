@@ -60,8 +60,8 @@ class Encoder(dict):
     added token, go to the library whole. The dictionary maps pieces to the bytes of their ids.
     """
 
-    #: Pieces whose ids are kept, and the longest such piece.
-    KEPT, LONGEST = 1 << 20, 64
+    #: Pieces that are kept before those not met again lately are let go, and the longest such piece.
+    KEPT, LONGEST = 1 << 17, 64
     # Letters, numbers and white space below U+0250, and the pattern over them.
     LETTERS, NUMBERS, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r \xa0"
     PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -73,6 +73,7 @@ class Encoder(dict):
         kind = self.library.pre_tokenizer
         usual = isinstance(kind, tokenizers.pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
         usual = usual and self.library.normalizer is None and self.library.truncation is None
+        self.older: dict[str, bytes] = {}
         self.pieces = re.compile(self.PATTERN).findall
         self.odd = re.compile(f"[^{self.KNOWN}]" if usual else "(?s:.)").search
 
@@ -80,9 +81,10 @@ class Encoder(dict):
         return self.library.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.whole(piece), dtype="<u4").tobytes()
+        ids = self.older.get(piece) or np.array(self.whole(piece), dtype="<u4").tobytes()
         if len(piece) <= self.LONGEST:
             if len(self) >= self.KEPT:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
