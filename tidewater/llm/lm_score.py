@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, staged, sum_blocks, text_chunks, utf8_view
+from tidewater.llm.shared import BLOCK_SCHEMA, CHUNK_BYTES, block_batch, staged, sum_blocks, text_chunks, utf8_view
 from tidewater.llm.tokens import mixed, tokens_of
 
 #: Classes, and tokens in a class, of the smallest network; a larger corpus has a wider one.
@@ -54,8 +54,6 @@ ROUNDS = 2
 #: Positions of the first and of the largest batches; one is a 16th of the positions seen in between.
 FIRST_BATCH, BATCH, RATE = 256, 4096, 0.3
 _STEP = 1 << 11
-#: Text bytes of one numpy step, so that its arrays stay in a core's cache.
-CHUNK_BYTES = 1 << 19
 _PARTS = ["row", "doc_id", "code", "times", "n_tokens", "total"]
 #: Pieces in which weights are exchanged, so that no task adds up whole networks.
 BLOCKS = 48

@@ -67,7 +67,7 @@ HOT_LIMIT = 20_000
 #: Suffix bytes of one sorted run, and of the runs that one merge takes in.
 RUN_BYTES = 4 << 20
 MERGE_BYTES = 12 << 20
-#: Text bytes of one numpy step: half the usual, as a step holds several 8-byte arrays.
+#: Text bytes of one numpy step.
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
@@ -95,8 +95,8 @@ class Rolling:
     """Hashes of substrings of one buffer, modulo 2^64."""
 
     def __init__(self, data: np.ndarray) -> None:
-        size = max(CHUNK_BYTES * 2, 1 << int(len(data) + 1).bit_length())
-        up, self.down = _powers(size)
+        kept = 2 * CHUNK_BYTES + 2  # a long single text's are made for it
+        up, self.down = _powers(kept) if len(data) < kept else _powers.__wrapped__(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_byte_codes()[data] * up[: len(data)], out=self.sums[1:])
 

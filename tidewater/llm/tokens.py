@@ -29,13 +29,24 @@ def _kinds() -> np.ndarray:
     return kind
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers up to this number are kept; those of a longer text are made for it.
+_KEPT = 1 << 20
+
+
+def _made(n: int) -> tuple[np.ndarray, np.ndarray]:
     up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+_kept = cache(_made)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse modulo 2^64."""
+    return _kept(_KEPT) if n <= _KEPT else _made(n)
+
+
 def mixed(code: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit codes, so that low bits can pick a bucket."""
     code = code ^ (code >> np.uint64(31))
@@ -60,7 +71,7 @@ def tokens_of(data: np.ndarray, ends: np.ndarray) -> Tokens:
     start, stop = at[:-1], at[1:]
     real = kind[start] != SPACE
     start, stop = start[real], stop[real]
-    up, down = _powers(1 << int(len(data)).bit_length())
+    up, down = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     code = mixed((sums[stop] - sums[start]) * down[start])
