@@ -49,7 +49,7 @@ OWN = 0.25
 KNOWN = 1 << 18
 #: Logs are added up as whole numbers of this part, so that sums don't depend on their order.
 _UNIT = float(1 << 28)
-REACH, HIDDEN = 2, 24
+REACH, HIDDEN = 2, 16
 ROUNDS = 2
 #: Positions of the first and of the largest batches; one is a 16th of the positions seen in between.
 FIRST_BATCH, BATCH, RATE = 256, 4096, 0.3
@@ -208,8 +208,8 @@ class Network:
         ones = np.ones(n, h.dtype)
         logits = h @ w["class"]
         logits += w["class_bias"]
-        up = _softmax_error(logits, cls)
-        up /= n
+        small = self.small_logits()
+        up = _softmax_error(logits, cls, small)
         grads = {"class": h.T @ up, "class_bias": ones @ up}
         back = up @ w["class"].T
         grads["word"], grads["word_bias"] = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
@@ -220,8 +220,7 @@ class Network:
         for c, part in spans:
             np.matmul(own[part], w["word"][c], out=logits[part])
         logits += w["word_bias"][cls[order]]
-        up = _softmax_error(logits, word[order])
-        up /= n
+        up = _softmax_error(logits, word[order], small)
         for c, part in spans:
             np.matmul(own[part].T, up[part], out=grads["word"][c])
             np.matmul(ones[part], up[part], out=grads["word_bias"][c])
@@ -245,11 +244,13 @@ def _log_softmax_at(logits: np.ndarray, at: np.ndarray | int, small: bool) -> np
     return (chosen - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], logits.dtype))).astype(np.float64)
 
 
-def _softmax_error(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _softmax_error(logits: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+    """Gradient of the mean loss by the logits, which are overwritten."""
+    if not small:
+        logits -= logits.max(axis=1, keepdims=True)
     p = np.exp(logits, out=logits)
-    p /= (p @ np.ones(p.shape[1], p.dtype))[:, None]
-    p[np.arange(len(at)), at] -= 1
+    p *= (1 / (len(p) * (p @ np.ones(p.shape[1], p.dtype))))[:, None]
+    p[np.arange(len(at)), at] -= p.dtype.type(1 / len(p))
     return p
 
 
