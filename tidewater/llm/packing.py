@@ -61,7 +61,7 @@ class Encoder(dict):
     """
 
     #: Pieces that are kept before those not met again lately are let go, and the longest such piece.
-    KEPT, LONGEST = 1 << 17, 64
+    KEPT, LONGEST = 1 << 18, 64
     # Letters, numbers and white space below U+0250, and the pattern over them.
     LETTERS, NUMBERS, SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t\n\r \xa0"
     PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACE}{LETTERS}{NUMBERS}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
