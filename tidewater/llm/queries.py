@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import contamination
+from tidewater.llm.divergence import source_divergence
 from tidewater.llm.exact_dedup import exact_dedup
 from tidewater.llm.html_text import extract_text
 from tidewater.llm.lm_score import lm_scores
@@ -89,6 +90,39 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all({_LOW}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, sum(n) AS total, count(*)::HUGEINT AS kinds FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t GROUP BY ALL),
+totals AS (SELECT lang, source, sum(c.n) AS total FROM counts c JOIN kept USING (lang, term) GROUP BY lang, source),
+groups AS (
+  SELECT lang, source, coalesce(o.total, 0)::HUGEINT AS total, l.total AS lang_total, kinds
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN totals o USING (lang, source) LEFT JOIN langs l USING (lang)
+), dense AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 1)) // (total + kinds) AS p,
+    1 + (1000000000 * (kept.n + 1)) // (lang_total + kinds) AS q
+  FROM kept JOIN groups USING (lang) LEFT JOIN counts c USING (lang, source, term)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), listed AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM dense WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 QUERIES = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_html_text": op2_html_text,
@@ -100,6 +134,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op13_source_divergence": OP13_SQL}
