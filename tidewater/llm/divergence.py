@@ -35,7 +35,8 @@ TOP_TERMS = 200
 UNIT = 1_000_000_000
 #: Groups that one broadcast may hold.
 GROUPS = 50_000
-_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What lies between terms: ASCII characters that aren't letters.
+_BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,13 +44,21 @@ def _plain(docs: DataFrame, *names: str) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in names))
 
 
+def _lowered(text: str) -> Column:
+    """A-Z lower-cased; a text of ASCII alone by ``lower``, which is faster."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, n_docs): occurrences, and the documents that have the term."""
-    terms = F.sort_array(F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(_TERM), F.lit(0)))
-    listed = _plain(docs, "lang", "source", "text").select("lang", "source", terms.alias("terms")).filter(F.size("terms") > 0)
-    before = F.concat(F.array(F.lit("")), F.slice("terms", F.lit(1), F.size("terms") - 1))
-    each = listed.select("lang", "source", F.inline(F.arrays_zip(F.col("terms").alias("term"), before.alias("last"))))
-    first = (F.col("term") != F.col("last")).cast("long")
+    """(lang, source, term, n, n_docs): occurrences, and the documents that have the term.
+
+    A text's terms are sorted, so that an occurrence is the text's first if it differs from the
+    one before. ``posexplode_outer`` keeps Spark from working the array out once more for a
+    filter on its size.
+    """
+    listed = _plain(docs, "lang", "source", "text").select("lang", "source", F.sort_array(F.split(_lowered("text"), _BETWEEN)).alias("terms"))
+    each = listed.select("lang", "source", "terms", F.posexplode_outer("terms").alias("at", "term")).filter(F.length("term") > 0)
+    first = F.when((F.col("at") == 0) | (F.col("term") != F.expr("terms[at - 1]")), 1).otherwise(0)
     return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum(first).alias("n_docs"))
 
 
@@ -65,42 +74,45 @@ def _distance(p: str, q: str) -> Column:
 
 
 def vocabulary(counts: DataFrame, least: int = LEAST_DOCS) -> DataFrame:
-    """(lang, term, in_lang): the kept terms and their occurrences in the language."""
+    """(lang, term, in_lang, id): the kept terms, their occurrences in the language and a number each."""
     every = counts.groupBy("lang", "term").agg(F.sum("n").alias("in_lang"), F.sum("n_docs").alias("in_docs"))
-    return every.filter(F.col("in_docs") >= least).drop("in_docs")
+    return every.filter(F.col("in_docs") >= least).drop("in_docs").withColumn("id", F.monotonically_increasing_id())
 
 
-def source_groups(docs: DataFrame, counts: DataFrame, kept: DataFrame) -> DataFrame:
+def source_groups(docs: DataFrame, present: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, total, lang_total, kinds) of every group: kept occurrences there and in its language, and kept terms."""
-    totals = counts.join(kept, ["lang", "term"], "left_semi").groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = present.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     langs = kept.groupBy("lang").agg(F.sum("in_lang").alias("lang_total"), F.count("*").alias("kinds"))
     groups = _plain(docs, "lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
-    return groups.na.fill(0, ["total", "lang_total", "kinds"])
+    return groups.na.fill(0, ["total", "lang_total", "kinds"]).withColumn("group", F.monotonically_increasing_id())
 
 
-def dense_shares(counts: DataFrame, kept: DataFrame, groups: DataFrame, most: int = GROUPS) -> DataFrame:
-    """(lang, term, source, n, p, q): every group's and its language's share of every kept term."""
-    few = groups.limit(most + 1).count() <= most
-    dense = kept.join(F.broadcast(groups) if few else groups, "lang")
-    dense = dense.join(counts.drop("n_docs"), ["lang", "source", "term"], "left").na.fill(0, ["n"])
-    return dense.select("lang", "term", "source", "n", _share("n", "total").alias("p"), _share("in_lang", "lang_total").alias("q"))
+def dense_shares(present: DataFrame, kept: DataFrame, groups: DataFrame, most: int = GROUPS) -> DataFrame:
+    """(id, group, p): every group's share of every kept term of its language."""
+    groups = F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups
+    there = present.join(groups.select("lang", "source", "group"), ["lang", "source"]).select("id", "group", "n")
+    crossed = kept.select("id", "lang").join(groups, "lang").select("id", "group", "total", "kinds")
+    return crossed.join(there, ["id", "group"], "left").na.fill(0, ["n"]).select("id", "group", _share("n", "total").alias("p"))
 
 
 def source_divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, most: int = GROUPS) -> DataFrame:
     """lang, source, part (pair or term), item, value, rank: how far a source is from the others, and by which terms."""
     counts = staged(term_counts(docs), "term-counts")
     kept = staged(vocabulary(counts, least), "vocabulary")
-    groups = staged(source_groups(docs, counts, kept), "source-groups")
-    dense = staged(dense_shares(counts, kept, groups, most), "shares")
+    present = staged(counts.drop("n_docs").join(kept, ["lang", "term"]), "kept-counts")
+    groups = staged(source_groups(docs, present, kept), "source-groups")
+    dense = staged(dense_shares(present, kept, groups, most), "shares")
 
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("p2"))
-    apart = dense.join(other, ["lang", "term"]).filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(_distance("p", "p2")).alias("value"))
-    names = groups.select("lang", "source")
-    pairs = names.join(names.withColumnRenamed("source", "item"), "lang").filter("source <> item")
-    pairs = pairs.join(apart, ["lang", "source", "item"], "left").na.fill(0, ["value"])
+    other = dense.select("id", F.col("group").alias("item_group"), F.col("p").alias("q"))
+    apart = dense.join(other, "id").filter("group <> item_group").groupBy("group", "item_group").agg(F.sum(_distance("p", "q")).alias("value"))
+    names = groups.select("lang", "source", "group")
+    pairs = names.join(names.select("lang", F.col("source").alias("item"), F.col("group").alias("item_group")), "lang").filter("group <> item_group")
+    pairs = pairs.join(apart, ["group", "item_group"], "left").na.fill(0, ["value"])
 
     by = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     shown = ["lang", "source", "part", "item", "value", F.row_number().over(by).alias("rank")]
     pairs = pairs.withColumn("part", F.lit("pair")).select(*shown)
-    terms = dense.filter("n > 0 AND p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance("p", "q").alias("value"))
+    known = F.broadcast(groups) if groups.limit(most + 1).count() <= most else groups
+    terms = present.join(known, ["lang", "source"]).withColumn("p", _share("n", "total")).withColumn("q", _share("in_lang", "lang_total"))
+    terms = terms.filter("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _distance("p", "q").alias("value"))
     return pairs.unionByName(terms.select(*shown).filter(F.col("rank") <= top))
