@@ -12,6 +12,7 @@ from tidewater.llm.lm_score import lm_scores
 from tidewater.llm.packing import pack
 from tidewater.llm.pii import find_pii
 from tidewater.llm.quality import quality_verdicts
+from tidewater.llm.ranked_search import ranked_search
 from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
 from tidewater.llm.substring_dedup import substring_dedup
@@ -90,6 +91,29 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), q AS (
+  SELECT row_number() OVER () AS query, item_id, list_distinct(regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), size AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, w, 100 - 50 + (50 * len(w) * docs) // words AS m FROM d, size WHERE len(w) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM m) GROUP BY r, term),
+weight AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), size),
+hit AS (
+  SELECT query, item_id, doc_id, r, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM (SELECT query, item_id, unnest(w) AS term FROM q) JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (r) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, (row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM hit WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -134,7 +158,8 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
+    "op11_ranked_search": op11_ranked_search,
     "op13_source_divergence": op13_source_divergence,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op13_source_divergence": OP13_SQL}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op8_decontaminate": OP8_SQL, "op11_ranked_search": OP11_SQL, "op13_source_divergence": OP13_SQL}
