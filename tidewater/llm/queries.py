@@ -17,6 +17,7 @@ from tidewater.llm.shared import table
 from tidewater.llm.simhash_dedup import near_duplicates
 from tidewater.llm.substring_dedup import substring_dedup
 from tidewater.llm.suffix_dedup import suffix_dedup
+from tidewater.llm.vector_dedup import near_vectors
 
 #: A-Z lowered, everything else left alone, in SQL.
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -114,6 +115,10 @@ SELECT * FROM ranked WHERE rank <= 50
 """
 
 
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -159,6 +164,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_lm_score": op10_lm_score,
     "op11_ranked_search": op11_ranked_search,
+    "op12_embedding_dedup": op12_embedding_dedup,
     "op13_source_divergence": op13_source_divergence,
 }
 
