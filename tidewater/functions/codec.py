@@ -10,16 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _TEXT = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u[0-9a-fA-F]{4})*"'
 _LITERAL = rf"{_TEXT}|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null"
-_MEMBER = rf"\s*({_TEXT})\s*:\s*({_LITERAL})\s*"
-_BARE = rf"\s*(?:{_TEXT})\s*:\s*(?:{_LITERAL})\s*"
-_OBJECT = rf"^\s*\{{(?:{_BARE}(?:,{_BARE})*|\s*)\}}\s*$"
-
+_MEMBER = rf"\s*{_TEXT}\s*:\s*(?:{_LITERAL})\s*"
+_NAME = rf"^\s*({_TEXT})\s*:\s*"
+_BLANKS = " \t\n\x0b\f\r"
 #: Kinds of fields, with the literals that they take. A trailing ? in a schema allows null.
 KINDS = {
     "integer": r"^-?(0|[1-9][0-9]{0,18})$",
@@ -29,14 +28,20 @@ KINDS = {
 _TYPES = {"integer": "bigint", "boolean": "boolean", "decimal": "string"}
 
 
-def is_flat_object(text: Column) -> Column:
-    return text.rlike(_OBJECT)
+def _pieces(text: Column) -> Column:
+    """The members of a flat object as text, with the white space around them."""
+    return F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(0))
+
+
+def _named(pieces: Column) -> Column:
+    """(name, literal) of members."""
+    literal = lambda m: F.rtrim(F.regexp_replace(m, _NAME, ""), F.lit(_BLANKS))
+    return F.transform(pieces, lambda m: F.struct(F.regexp_replace(F.regexp_extract(m, _NAME, 1), '^"|"$', "").alias("name"), literal(m).alias("literal")))
 
 
 def members(text: Column) -> Column:
     """(name, literal) of a flat object's members in order, repeated ones too; names without quotes."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(1)), lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
-    return F.arrays_zip(names.alias("name"), F.regexp_extract_all(text, F.lit(_MEMBER), F.lit(2)).alias("literal"))
+    return _named(_pieces(text))
 
 
 def field_difference(names: Column, expected: Sequence[str]) -> tuple[Column, Column]:
@@ -45,27 +50,25 @@ def field_difference(names: Column, expected: Sequence[str]) -> tuple[Column, Co
     return F.sort_array(F.array_except(wanted, names)), F.sort_array(F.array_except(names, wanted))
 
 
-def _named(found: Column, name: str) -> Column:
-    return F.filter(found, lambda m: m["name"] == name)
+def _flat(text: Column, pieces: Column) -> Column:
+    """Whether a text is its members with commas between them and braces round them."""
+    joined = F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}"))
+    return F.when(F.size(pieces) > 0, F.btrim(text, F.lit(_BLANKS)) == joined).otherwise(text.rlike(r"^\s*\{\s*\}\s*$"))
 
 
-def decoded(text: Column, schema: Mapping[str, str], exact: bool = True) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Columns of a flat object, and the rules it has to meet, in the order they are tried.
+def _literal(found: Column, name: str) -> Column:
+    own = F.filter(found, lambda m: m["name"] == name)
+    return F.coalesce(F.try_element_at(own, F.lit(-1))["literal"], F.lit("null"))
 
-    ``schema`` has a kind for each field. With ``exact`` there may be no other field.
-    Columns are null where the literal isn't of its kind. Decimals stay text.
-    """
-    found = members(text)
-    names = F.transform(found, lambda m: m["name"])
+
+def _checked(flat: Column, names: Column, literals: Mapping[str, Column], schema: Mapping[str, str], exact: bool) -> tuple[dict[str, Column], dict[str, Column]]:
     missing, unknown = field_difference(names, list(schema))
-    rules = {"not_a_flat_object": is_flat_object(text), "repeated_field": F.size(F.array_distinct(names)) == F.size(names)}
+    rules = {"not_a_flat_object": flat, "repeated_field": F.size(F.array_distinct(names)) == F.size(names)}
     if exact:
         rules |= {"missing_field": F.size(missing) == 0, "unknown_field": F.size(unknown) == 0}
     columns = {}
     for name, kind in schema.items():
-        bare = kind.rstrip("?")
-        own = _named(found, name)
-        literal = F.when(F.size(own) > 0, F.element_at(own, -1)["literal"]).otherwise("null")
+        bare, literal = kind.rstrip("?"), literals[name]
         good = literal.rlike(KINDS[bare])
         value = F.when(good, F.regexp_replace(literal, '^"|"$', "").try_cast(_TYPES[bare]))
         if bare == "integer":
@@ -75,6 +78,31 @@ def decoded(text: Column, schema: Mapping[str, str], exact: bool = True) -> tupl
     return columns, rules
 
 
+def decoded(text: Column, schema: Mapping[str, str], exact: bool = True) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Columns of a flat object, and the rules it has to meet, in the order they are tried.
+
+    ``schema`` has a kind for each field. With ``exact`` there may be no other field.
+    Columns are null where the literal isn't of its kind. Decimals stay text. Every column
+    reads the text anew; over a table use ``decoded_rows``.
+    """
+    found = members(text)
+    names = F.transform(found, lambda m: m["name"])
+    return _checked(_flat(text, _pieces(text)), names, {c: _literal(found, c) for c in schema}, schema, exact)
+
+
+def decoded_rows(df: DataFrame, text: str, schema: Mapping[str, str], exact: bool = True) -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """``decoded`` of a text column: rows to take the columns and rules from.
+
+    One pass of one pattern takes a row's members apart, in columns of their own, from which
+    the rest follows; the optimizer keeps such columns apart rather than copy what they cost.
+    """
+    rows = df.withColumn("_pieces", _pieces(F.col(text))).withColumns({"_flat": _flat(F.col(text), F.col("_pieces")), "_members": _named(F.col("_pieces"))})
+    literals = {f"_literal_{c}": _literal(F.col("_members"), c) for c in schema}
+    rows = rows.withColumns({"_names": F.transform("_members", lambda m: m["name"]), **literals}).drop("_pieces", "_members")
+    columns, rules = _checked(F.col("_flat"), F.col("_names"), {c: F.col(f"_literal_{c}") for c in schema}, schema, exact)
+    return rows, columns, rules
+
+
 def encoded(fields: Mapping[str, Column], schema: Mapping[str, str]) -> Column:
     """A flat object's text, fields in the order of ``schema``; decimals as text, null spelt out."""
     parts = []

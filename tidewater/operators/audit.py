@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewater.operators.scan import Running, scanned
 from tidewater.operators.series import in_period, with_gaps
 
 
@@ -38,12 +39,24 @@ def period_coverage(df: DataFrame, periods: DataFrame, datasets: DataFrame, data
 
 
 def missing(df: DataFrame, buckets: DataFrame, time: str) -> DataFrame:
-    """One row: missing (how many), and their times as sorted text."""
+    """One row: missing (how many), and their times as sorted text; for a grid of known, short length (else ``missing_runs``)."""
     absent = buckets.join(df.select(time).distinct(), time, "left_anti")
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(time)), lambda x: x.cast("string")), ",")
     return absent.agg(F.count("*").alias("missing"), F.min(time).alias("first_missing"), F.max(time).alias("last_missing"), listed.alias("missing_list"))
 
 
+def missing_runs(df: DataFrame, by: Sequence[str], time: str, step: int) -> DataFrame:
+    """A row for each run of empty buckets between two that have rows: start, end (inclusive) and how many.
+
+    Buckets that have rows are compared with the one before, so the grid itself isn't made.
+    """
+    there = df.select(*by, time).distinct()
+    rows = scanned(there, by, [time], {"_before": Running("last", F.col(time), False)}, step << 16)
+    start, end = F.col("_before") + step, F.col(time) - step
+    runs = rows.filter(end >= start).select(*by, start.alias(f"first_{time}"), end.alias(f"last_{time}"))
+    return runs.withColumn("missing", F.expr(f"(last_{time} - first_{time}) div {step} + 1"))
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with ``n``."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
@@ -67,9 +80,9 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
 
 def regressions(df: DataFrame, by: Sequence[str], order: str, clock: str) -> DataFrame:
     """rows, sequence gaps, missing numbers and clock regressions of each key, in sequence order."""
-    w = Window.partitionBy(*by).orderBy(order)
-    step, back = F.col(order) - F.lag(order).over(w), F.col(clock) - F.lag(clock).over(w)
-    rows = df.withColumn("_step", step).withColumn("_back", back)
+    last = Running("last", F.struct(F.col(order).alias("order"), F.col(clock).alias("clock")), False)
+    rows = scanned(df.select(*by, *dict.fromkeys([order, clock])), by, [order], {"_last": last})
+    rows = rows.withColumns({"_step": F.col(order) - F.col("_last.order"), "_back": F.col(clock) - F.col("_last.clock")})
     return rows.groupBy(*by).agg(
         F.count("*").alias("rows"),
         F.count_if(F.col("_step") > 1).alias("sequence_gaps"),

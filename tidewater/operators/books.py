@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.numeric import ratio
+from tidewater.operators.scan import Running, scanned
 
 LEVEL = "array<struct<price:decimal(18,8),quantity:decimal(18,8)>>"
 
@@ -59,8 +60,9 @@ def order_flow(books: DataFrame, by: Sequence[str], order: Sequence[str]) -> Dat
 
     Add the connection epoch to ``by``: a comparison never reaches over a reconnect.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    old = {c: F.lag(c).over(w) for c in ("bid", "bid_size", "ask", "ask_size")}
+    sides = ("bid", "bid_size", "ask", "ask_size")
+    rows = scanned(books, by, order, {"_old": Running("last", F.struct(*sides), False)})
+    old = {c: F.col("_old")[c] for c in sides}
     zero = F.lit(0).cast("decimal(18,8)")
     term = lambda when, value: F.when(when, value.cast("decimal(18,8)")).otherwise(zero)
     ofi = (
@@ -69,10 +71,9 @@ def order_flow(books: DataFrame, by: Sequence[str], order: Sequence[str]) -> Dat
         - term(F.col("ask") <= old["ask"], F.col("ask_size"))
         + term(F.col("ask") >= old["ask"], old["ask_size"])
     )
-    return books.withColumn("ofi", F.when(old["bid"].isNull(), zero).otherwise(ofi).cast("decimal(20,8)"))
+    return rows.withColumn("ofi", F.when(old["bid"].isNull(), zero).otherwise(ofi).cast("decimal(20,8)")).drop("_old")
 
 
 def epochs(events: DataFrame, by: Sequence[str], order: Sequence[str], opens: Column) -> DataFrame:
     """``epoch``: how often the key's connection was opened up to each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("epoch", F.sum(opens.cast("int")).over(w))
+    return scanned(events, by, order, {"epoch": Running("sum", opens.cast("int"))})

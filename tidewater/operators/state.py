@@ -1,7 +1,8 @@
 """Stateful stream behaviour in batch form: dedup flags, held values, top of book, cool-downs.
 
-Each keeps rows of one key in one ordered window, so state never crosses keys; keys are
-connections, markets or venues, of which there are many.
+State never crosses keys, which are connections, markets or venues. A key may have very many
+rows, so running values are worked out by segments of their order (``scan``); the order's
+first column has to be a number or a time.
 """
 
 from __future__ import annotations
@@ -11,9 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _upto(by: Sequence[str], order: Sequence[str], last: int = 0) -> Window:
-    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
+from tidewater.operators.scan import WIDTH, Running, scanned
 
 
 def sequence_flags(trades: DataFrame, by: Sequence[str], order: Sequence[str], id: str, time: str) -> DataFrame:
@@ -23,8 +22,7 @@ def sequence_flags(trades: DataFrame, by: Sequence[str], order: Sequence[str], i
     accepted one is a regression; either leaves the state as it was. Ids skipped by an
     accepted row are a gap of that many missing ids.
     """
-    top_id, top_time = F.max(id).over(_upto(by, order, -1)), F.max(time).over(_upto(by, order, -1))
-    rows = trades.withColumn("_id", top_id).withColumn("_time", top_time)
+    rows = scanned(trades, by, order, {"_id": Running("max", F.col(id), False), "_time": Running("max", F.col(time), False)})
     duplicate = F.coalesce(F.col(id) == F.col("_id"), F.lit(False))
     regression = ~duplicate & F.coalesce((F.col(id) < F.col("_id")) | (F.col(time) < F.col("_time")), F.lit(False))
     jump = F.when(~duplicate & ~regression, F.col(id) - F.col("_id") - 1)
@@ -52,10 +50,9 @@ def settled(df: DataFrame, by: Sequence[str], second: str, order: Sequence[str],
     return newest.withColumn("_ready", ready).filter("_ready").drop("_ready")
 
 
-def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column]) -> DataFrame:
+def carried(df: DataFrame, by: Sequence[str], order: Sequence[str], values: dict[str, Column], width: int = WIDTH) -> DataFrame:
     """Last known value up to each row; give a struct to carry fields as a complete set."""
-    w = _upto(by, order)
-    return df.withColumns({name: F.last(value, ignorenulls=True).over(w) for name, value in values.items()})
+    return scanned(df, by, order, {name: Running("last", value) for name, value in values.items()}, width)
 
 
 def top_state(messages: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -93,14 +90,9 @@ def cool_down(markers: DataFrame, by: Sequence[str], order: Sequence[str], time:
 
     ``markers``: event (open, close or anything else). Every close adds one error.
     """
-    w = _upto(by, order)
     mark = F.col("event").isin("open", "close")
-    return markers.withColumns(
-        {
-            "unhealthy_until_ms": F.coalesce(F.max(F.when(mark, F.col(time) + cool_ms)).over(w), F.lit(0)),
-            "connection_errors": F.sum((F.col("event") == "close").cast("long")).over(w),
-        }
-    )
+    running = {"unhealthy_until_ms": Running("max", F.when(mark, F.col(time) + cool_ms)), "connection_errors": Running("sum", (F.col("event") == "close").cast("long"))}
+    return scanned(markers, by, order, running).withColumn("unhealthy_until_ms", F.coalesce("unhealthy_until_ms", F.lit(0)))
 
 
 def paused(sizes: DataFrame, by: Sequence[str], order: Sequence[str], size: str, warn: int, most: int) -> DataFrame:

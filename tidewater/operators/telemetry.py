@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions.clock import HOUR_MS, MARKET_MS, floor_to, whole
 from tidewater.functions.numeric import retry_delay_seconds, size_text
 from tidewater.operators.merge import RESOLUTION_RULES, due, merge
+from tidewater.operators.scan import Running, scanned
 
 
 def fold(rows: DataFrame, by: Sequence[str], order: Sequence[str], most: Sequence[str] = (), least: Sequence[str] = (), mean: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
@@ -48,9 +49,7 @@ def with_loss_markers(offers: DataFrame, by: Sequence[str], order: str, accepted
     A marker carries the time of the first event lost in its run. A run of losses that no
     accepted event follows has no marker yet. ``position`` orders a key's rows.
     """
-    w = Window.partitionBy(*by).orderBy(order)
-    run = F.sum(F.col(accepted).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = offers.withColumn("_run", F.coalesce(run, F.lit(0)))
+    rows = scanned(offers, by, [order], {"_run": Running("sum", F.col(accepted).cast("long"), False)}).na.fill(0, ["_run"])
     lost = rows.filter(~F.col(accepted)).groupBy(*by, "_run").agg(F.min_by(time, order).alias("_lost"))
     kept = rows.filter(accepted).join(lost, [*by, "_run"], "left")
     own = F.struct((F.col(order) * 2 + 1).alias("position"), F.col(kind).alias("kind"), F.col(time).alias(time))

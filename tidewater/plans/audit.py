@@ -56,6 +56,15 @@ def missing_buckets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing(rows, spanned_grid(rows, [], "minute_ms", MINUTE_MS), "minute_ms")
 
 
+@query(f"""WITH {EV}, b AS (SELECT DISTINCT event_type, ms - ms % 60000 AS minute_ms FROM ev),
+r AS (SELECT event_type, lag(minute_ms) OVER (PARTITION BY event_type ORDER BY minute_ms) + 60000 AS a, minute_ms - 60000 AS z FROM b)
+SELECT event_type, a AS first_minute_ms, z AS last_minute_ms, (z - a) // 60000 + 1 AS missing FROM r WHERE z >= a""")
+def missing_minute_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of minutes without an event of a source, a row each."""
+    rows = ticks(spark, sf_dir).select("event_type", floor_to("ms", MINUTE_MS).alias("minute_ms"))
+    return audit.missing_runs(rows, ["event_type"], "minute_ms", MINUTE_MS)
+
+
 @query("""SELECT count(*) AS groups, coalesce(max(n), 0) AS largest, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows
 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)""")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

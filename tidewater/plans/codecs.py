@@ -46,8 +46,7 @@ def snapshot_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 8, F.substring(good, F.lit(1), F.length(good) - 3))
         .otherwise(good)
     )
-    rows = ticks(spark, sf_dir).select("event_id", text.alias("text"))
-    columns, rules = codec.decoded(F.col("text"), SNAPSHOT)
+    rows, columns, rules = codec.decoded_rows(ticks(spark, sf_dir).select("event_id", text.alias("text")), "text", SNAPSHOT)
     rules |= {"unsupported_version": columns["schema_version"] == 1, "unaligned_second": F.pmod(columns["sample_second_ms"], F.lit(1000)) == 0}
     out = checked(rows, rules)
     valid = F.col("reject_reason").isNull()
@@ -68,8 +67,8 @@ def live_price_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(way == 4, F.regexp_replace(good, r"\}$", ', "venue" : "x\\\\"y" }'))
         .otherwise(good)
     )
-    columns, rules = codec.decoded(F.col("text"), LIVE_PRICE, exact=False)
-    out = checked(ticks(spark, sf_dir).select("event_id", text.alias("text")), rules)
+    rows, columns, rules = codec.decoded_rows(ticks(spark, sf_dir).select("event_id", text.alias("text")), "text", LIVE_PRICE, exact=False)
+    out = checked(rows, rules)
     valid = F.col("reject_reason").isNull()
     return out.select("event_id", *(F.when(valid, columns[c]).alias(c) for c in LIVE_PRICE), "reject_reason")
 
