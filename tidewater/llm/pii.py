@@ -428,6 +428,33 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(labelled_rows(), "text string, spans string")
 
 
+def _by_length(data: list[tuple[np.ndarray, list[int]]]) -> Iterator[list[tuple[np.ndarray, list[int]]]]:
+    """Runs in groups of like length, so that padding stays under a third."""
+    some: list[tuple[np.ndarray, list[int]]] = []
+    for run in sorted(data, key=lambda x: len(x[1])):
+        if some and len(run[1]) > len(some[0][1]) * 4 // 3 + 1:
+            yield some
+            some = []
+        some.append(run)
+    yield some
+
+
+def _padded(data: list[tuple[np.ndarray, list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, tags and which places are real, of runs padded to one length."""
+    longest = max(len(t) for _, t in data)
+    feats = np.zeros((len(data), longest, N_FEATURES), dtype=np.int64)
+    tags, real = np.zeros((len(data), longest), dtype=np.int64), np.zeros((len(data), longest), dtype=bool)
+    for i, (f, t) in enumerate(data):
+        feats[i, : len(t)], tags[i, : len(t)], real[i, : len(t)] = f, t, True
+    return feats, tags, real
+
+
+@cache
+def fitted(rows: tuple[tuple[str, str], ...]) -> Field:
+    """``train``, kept by its rows: a second query of the process doesn't fit again."""
+    return train(list(rows))
+
+
 def train(rows: list[tuple[str, str]], epochs: int = 150, rate: float = 0.6, decay: float = 3e-5) -> Field:
     """Fit a field to labelled texts by Adagrad on the penalised likelihood."""
     data = []
@@ -448,14 +475,11 @@ def train(rows: list[tuple[str, str]], epochs: int = 150, rate: float = 0.6, dec
     field = Field()
     if not data:
         return field
-    longest = max(len(t) for _, t in data)
-    feats = np.zeros((len(data), longest, N_FEATURES), dtype=np.int64)
-    tags, real = np.zeros((len(data), longest), dtype=np.int64), np.zeros((len(data), longest), dtype=bool)
-    for i, (f, t) in enumerate(data):
-        feats[i, : len(t)], tags[i, : len(t)], real[i, : len(t)] = f, t, True
+    groups = [_padded(some) for some in _by_length(data)]
     squares = [np.full_like(field.emission, 1e-6), np.full_like(field.step, 1e-6)]
     for _ in range(epochs):
-        _, emission, moves = field.gradients(feats, tags, real)
+        each = [field.gradients(*group) for group in groups]
+        emission, moves = (sum(x[k] for x in each) for k in (1, 2))
         for weights, grad, square in ((field.emission, emission, squares[0]), (field.step, moves, squares[1])):
             grad = grad / len(data) - decay * weights
             square += grad * grad
@@ -551,7 +575,7 @@ def find_pii(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     must be small. By default the table that ``labelled_table`` makes.
     """
     rows = labelled_rows() if labelled is None else [(r["text"], r["spans"]) for r in labelled.select("text", "spans").collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(train(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(fitted(tuple(rows)))
     names = ["doc_id", *(f"n_{k}" for k in BASE_KINDS), "base_sha256", "spans", "n_account", "n_secret", "n_spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
