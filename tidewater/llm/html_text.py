@@ -25,8 +25,10 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -259,42 +261,61 @@ class Flow:
         self.apart = self.apart or apart
 
 
-def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
-    """Lines of a table, columns padded to the widest cell and two blanks apart.
+def _laid_out(rows: list[list[tuple[list[str], int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Cells of each row as (column, columns, lines): each at the first place that no cell from above covers.
 
-    Cells are (lines, columns, rows); a place that a cell from a row above covers stays empty.
+    What reaches down is held as disjoint intervals (first column, end, first row free again),
+    so a cell costs the same however many columns or rows it spans.
     """
-    placed, taken = [], {}  # taken: columns still covered from above, with the rows left
-    for row in rows:
-        at, cells, now = 0, [], {c: n - 1 for c, n in taken.items() if n > 1}
-        for lines, across, down in row:
-            while at in taken:
-                at += 1
+    placed, down = [], []
+    for y, row in enumerate(rows):
+        at, k, cells, new = 0, 0, [], []
+        for lines, across, deep in row:
+            while k < len(down) and down[k][0] <= at:
+                at, k = max(at, down[k][1]), k + 1
             cells.append((at, across, lines))
-            if down > 1:
-                now |= {c: down - 1 for c in range(at, at + across)}
+            if deep > 1:
+                new.append((at, at + across, y + deep))
             at += across
         placed.append(cells)
-        taken = now
-    widths: dict[int, int] = {}
+        left = [x for x in down if x[2] > y + 1]
+        down = _disjoint(sorted(left + new)) if new else left
+    return placed
+
+
+def _disjoint(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Intervals in order without overlaps: of two that meet, the later one is cut to what is beyond the first."""
+    out: list[tuple[int, int, int]] = []
+    for start, end, until in spans:
+        start = max(start, out[-1][1]) if out else start
+        if start < end:
+            out.append((start, end, until))
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Lines of a table, columns padded to the widest cell and two blanks apart.
+
+    Cells are (lines, columns, rows); a place that a cell from a row above covers stays empty.
+    Columns in which no cell begins take no room, however many a cell spans.
+    """
+    placed = _laid_out(rows)
+    columns = sorted({at for cells in placed for at, _, _ in cells})
+    widths = [0] * len(columns)
+    spread = [[(i := bisect_left(columns, at), bisect_left(columns, at + across, i), lines) for at, across, lines in cells] for cells in placed]
     for single in (True, False):
-        for cells in placed:
-            for at, across, lines in cells:
-                if (across == 1) == single:
-                    have = sum(widths.get(c, 0) for c in range(at, at + across)) + 2 * (across - 1)
-                    last = at + across - 1
-                    widths[last] = widths.get(last, 0) + max(max(map(len, lines), default=0) - have, 0)
-    n = max(widths, default=-1) + 1
-    starts = [0] * (n + 1)
-    for c in range(n):
-        starts[c + 1] = starts[c] + widths.get(c, 0) + 2
+        for cells in spread:
+            for i, j, lines in cells:
+                if (j - i == 1) == single:
+                    widths[j - 1] += max(max(map(len, lines), default=0) - sum(widths[i:j]) - 2 * (j - i - 1), 0)
+    starts = [0, *accumulate(w + 2 for w in widths)]
     out = []
-    for cells in placed:
+    for cells in spread:
         for k in range(max((len(lines) for _, _, lines in cells), default=0)):
             line = ""
-            for at, _, lines in cells:
+            for i, _, lines in cells:
                 if k < len(lines) and lines[k]:
-                    line = line.ljust(starts[at]) + lines[k]
+                    line = line.ljust(starts[i]) + lines[k]
             out.append(line.rstrip())
     return out
 
