@@ -50,42 +50,47 @@ def gap_filled(bars: DataFrame, key: str = "symbol", step_ms: int = 1_000, windo
     """Flow bars with zero bars for silent seconds, cumulative delta and rolling sums.
 
     ``bars``: key, sample_second_ms, buy_quote, sell_quote, each second once and in order
-    over micro-batches (a late one is dropped). State: the last second, the cumulative
-    delta and the deltas of the longest window. Money is decimal with eight places.
+    over micro-batches. One that comes after its second has been given out is in no sum; the
+    next bar tells in ``late`` how many there were. State: the last second, the cumulative
+    delta, the deltas of the longest window and that number. Money is decimal with eight places.
     """
     longest = max(windows)
+    names = [key, "sample_second_ms", "buy_quote", "sell_quote", "delta_quote", "cvd_quote", *(f"cvd_{w}s_quote" for w in windows), "late"]
 
     def run(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         zero = Decimal("0.00000000")
-        last, cvd, recent = state.get if state.exists else (-1, zero, [])
+        last, cvd, recent, late = state.get if state.exists else (-1, zero, [], 0)
         recent, out = list(recent), []
         for r in _batch(frames, ["sample_second_ms"]).itertuples():
             if last >= 0 and r.sample_second_ms <= last:
+                late += 1
                 continue
             second = last + step_ms if last >= 0 else r.sample_second_ms
             while second <= r.sample_second_ms:
                 buy, sell = (r.buy_quote, r.sell_quote) if second == r.sample_second_ms else (zero, zero)
                 cvd += buy - sell
                 recent = [*recent, buy - sell][-longest:]
-                out.append((group[0], second, buy, sell, buy - sell, cvd, *(sum(recent[-w:], zero) for w in windows)))
-                second += step_ms
+                out.append((group[0], second, buy, sell, buy - sell, cvd, *(sum(recent[-w:], zero) for w in windows), late))
+                second, late = second + step_ms, 0
+                if len(out) == 10_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
             last = r.sample_second_ms
-        state.update((int(last), cvd, recent))
-        names = [key, "sample_second_ms", "buy_quote", "sell_quote", "delta_quote", "cvd_quote", *(f"cvd_{w}s_quote" for w in windows)]
+        state.update((int(last), cvd, recent, int(late)))
         yield pd.DataFrame(out, columns=names)
 
     money = "decimal(38,8)"
     sums = ", ".join(f"cvd_{w}s_quote {money}" for w in windows)
-    schema = f"{key} string, sample_second_ms long, buy_quote {money}, sell_quote {money}, delta_quote {money}, cvd_quote {money}, {sums}"
+    schema = f"{key} string, sample_second_ms long, buy_quote {money}, sell_quote {money}, delta_quote {money}, cvd_quote {money}, {sums}, late long"
     rows = bars.selectExpr(key, "sample_second_ms", f"cast(buy_quote as {money}) buy_quote", f"cast(sell_quote as {money}) sell_quote")
-    return rows.groupBy(key).applyInPandasWithState(run, schema, f"last long, cvd {money}, recent array<{money}>", "append", NONE)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, f"last long, cvd {money}, recent array<{money}>, late long", "append", NONE)
 
 
-def settled_ticks(ticks: DataFrame, key: str = "symbol", settle_ms: int = 1_000, capacity: int = 5_000) -> DataFrame:
+def settled_ticks(ticks: DataFrame, key: str = "symbol", settle_ms: int = 1_000) -> DataFrame:
     """Newest version of each provider second once a newer second is pending or it has settled.
 
-    ``ticks``: key, second_ms, sequence, price (text), received_ms. At most ``capacity``
-    seconds are pending per key; beyond that the oldest is given up, as the bound asks for.
+    ``ticks``: key, second_ms, sequence, price (text), received_ms. Seconds before the newest
+    are given out at once, so only the newest one waits and none is ever given up.
     """
 
     def run(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,8 +104,6 @@ def settled_ticks(ticks: DataFrame, key: str = "symbol", settle_ms: int = 1_000,
                     pending[r.second_ms] = (int(r.sequence), r.price, int(r.received_ms))
         if state.hasTimedOut:
             now = state.getCurrentProcessingTimeMs()
-        for second in sorted(pending)[:-capacity]:
-            del pending[second]
         newest, out = max(pending, default=0), []
         for second in sorted(pending):
             sequence, price, at = pending[second]
