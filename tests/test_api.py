@@ -8,7 +8,7 @@ import pytest
 
 from tidewater.plans import api
 
-M = 5_944_865
+M = 5_660_417
 T0 = M * 300_000
 
 
@@ -16,7 +16,7 @@ T0 = M * 300_000
 def t(spark):
     make = spark.createDataFrame
     price = "instrument_id long, market_id long, sample_second_ms long, price decimal(38,18), provider_event_ms long, received_ms long"
-    samples = [(1, M, T0, D("123000.004"), T0 - 300, T0 + 650), (1, M, T0 + 1_000, D("123001"), None, T0 + 1_600), (2, M, T0, D("122998.125"), T0 - 250, T0 - 200), (1, M - 1, T0 - 1_000, D(5), None, T0), (3, M - 2, T0 - 600_000, D(7), None, T0)]
+    samples = [(1, M, T0, D("64250.004"), T0 - 300, T0 + 650), (1, M, T0 + 1_000, D("64251"), None, T0 + 1_600), (2, M, T0, D("64247.375"), T0 - 250, T0 - 200), (1, M - 1, T0 - 1_000, D(5), None, T0), (3, M - 2, T0 - 600_000, D(7), None, T0)]
     snapshot = "symbol string, market_id long, sample_second_ms long, last_price decimal(18,8), mark_price decimal(18,8), index_price decimal(18,8), premium_bps decimal(20,8), open_interest decimal(18,8), open_interest_notional decimal(38,8)"
     shot = lambda s, oi: ("BTC", s // 300_000, s, D(1), D(2), D(3), D(4), D(oi), D(5))
     return {
@@ -57,7 +57,7 @@ def test_index_pages(t):
 
 def test_summary_and_sources(t):
     row = api.market_summary(t, M, "binance", "BTCUSDT").first()
-    assert (row["open"], row["close"], row["n"]) == (D("123000.004"), 123001, 2)
+    assert (row["open"], row["close"], row["n"]) == (D("64250.004"), 64251, 2)
     rows = api.market_sources(t, M, [("chainlink", "BTCUSD"), ("binance", "BTCUSDT")]).collect()
     assert [r["provider"] for r in rows] == ["chainlink", "binance"] and rows[1]["newest"]["received_ms"] == T0 + 1_600
 
@@ -66,10 +66,10 @@ def test_series(t):
     rows = api.series_items(api.market_series(t, M, carry_ms=2_000)).collect()
     assert len(rows) == 300 and [r["t"] for r in rows[:2]] == [0, 1]
     first, second, third, fourth = rows[:4]
-    assert (first["prices"]["spot"], first["prices"]["oracle"]) == ("123000.00", "122998.13")
+    assert (first["prices"]["spot"], first["prices"]["oracle"]) == ("64250.00", "64247.38")
     assert (first["freshness"]["spot_age_ms"], first["freshness"]["oracle_lag_ms"], first["freshness"]["oracle_carried_forward"]) == (350, 50, False)
     assert second["freshness"]["oracle_carried_forward"] and second["freshness"]["oracle_source_age_ms"] == 2_250
-    assert third["prices"]["oracle"] == "122998.13" and fourth["prices"]["oracle"] is None
+    assert third["prices"]["oracle"] == "64247.38" and fourth["prices"]["oracle"] is None
     assert first["probabilities"]["up_ask"] == "0.49" and first["flow"]["delta_quote"] == "9" and first["book"]["bid"] is None
     assert (first["open_interest"]["delta_30s"], first["open_interest"]["delta_60s"], first["open_interest"]["delta_300s"]) == ("2.000", None, "10.000")
     assert rows[30]["open_interest"]["delta_30s"] == "3.000"
@@ -85,4 +85,21 @@ def test_microstructure_and_live(t):
     assert got == {"spot": ("1.6", 100), "oracle": (None, None)}
     assert tuple(api.live_microstructure(t, T0).select("market_id", "age_ms").first()) == (M, 0)
     row = api.current_snapshot(t, T0, ("binance", "BTCUSDT"), ("chainlink", "none")).first()
-    assert row["spot"]["price"] == 123001 and row["oracle"] is None and row["futures"]["sample_second_ms"] == T0 + 30_000
+    assert row["spot"]["price"] == 64251 and row["oracle"] is None and row["futures"]["sample_second_ms"] == T0 + 30_000
+
+
+def test_latest_reads_the_newest_partitions_first(spark, t, tmp_path):
+    from tidewater.sources import tables
+
+    six, path = 21_600_000, str(tmp_path / "samples")
+    schema = t["price_samples"].schema
+    rows = [(i, M, T0 - six * k, D(k), None, T0 - six * k + i) for k in range(12) for i in (1, 2) if i == 1 or k >= 7]
+    tables.append(spark.createDataFrame(rows, schema), path, "sample_second_ms")
+    own = {**t, "price_samples": spark.read.parquet(path)}
+    assert api.latest_price(own, "binance", "BTCUSDT").first()["sample_second_ms"] == T0
+    assert api.latest_price(own, "chainlink", "BTCUSD").first()["sample_second_ms"] == T0 - six * 7
+    assert api.latest_price(own, "binance", "ETHUSDT").count() == 0
+    plan = api.latest_price(own, "binance", "BTCUSDT")._jdf.queryExecution().executedPlan().toString()
+    newest = T0 - T0 % six
+    assert f">= {newest}" in plan[plan.index("PartitionFilters") :]
+    assert api.latest_market(own).first()["market_id"] == M

@@ -44,6 +44,23 @@ def test_decoding_is_strict(spark):
     assert read(spark, ['{"n":1,"price":"2","size":null,"ok":true,"more":{}}', good.replace("}", ',"more":"x"}')], exact=False)[1][0] is None
 
 
+def test_rows_and_expressions_decode_alike(spark):
+    texts = ['{"n":1,"price":"2","size":null,"ok":true}', ' {"n":2, "price":"3" ,"size":"1","ok":false,"n":4}\n', '{"n":"1","price":2}', "{ }", "{", '{"a":1,}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    for exact in (True, False):
+        found, columns, rules = codec.decoded_rows(rows, "text", SCHEMA, exact)
+        out = checked(found, rules).select("i", "reject_reason", *(c.alias(n) for n, c in columns.items()))
+        assert [tuple(r)[1:] for r in out.orderBy("i").collect()] == read(spark, texts, exact)
+
+
+@pytest.mark.parametrize("name", ["snapshot_codec", "live_price_codec"])
+def test_members_are_taken_apart_once(spark, name):
+    from tidewater import plans
+
+    plan = plans.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("regexp_extract(") == 1
+
+
 def test_encoding_round_trips(spark):
     rows = spark.createDataFrame([(1, Decimal("2.50"), None, True), (-7, Decimal("0.00"), Decimal("1.10"), False)], "n long, price decimal(10,2), size decimal(10,2), ok boolean")
     texts = [r[0] for r in rows.select(codec.encoded({c: F.col(c) for c in SCHEMA}, SCHEMA)).collect()]
@@ -144,18 +161,20 @@ def test_an_epoch_written_twice_counts_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 4 and seen == [2, 2, 2]
 
 
-def test_merging_rewrites_touched_buckets_only(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), "key string, received_ms long, v int"
-    write = sinks.merging(path, ["key"], ["received_ms"], buckets=8)
-    assert tables.read_buckets(spark, path) is None
-    write(spark.createDataFrame([(f"k{i}", 1, i) for i in range(40)], schema), 0)
-    news = spark.createDataFrame([("k3", 2, 300), ("k3", 3, 301), ("new", 1, 7)], schema)
-    for _ in range(2):
+def test_merging_rewrites_touched_partitions_only(spark, tmp_path):
+    path, schema, six = str(tmp_path / "t"), "key string, ms long, received_ms long, v int", 21_600_000
+    write = sinks.merging(path, "ms", ["key", "ms"], ["received_ms"])
+    write(spark.createDataFrame([("k", six * i + j, 1, i) for i in range(6) for j in range(3)], schema), 0)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t").glob("part_start_ms=*/*.parquet")}
+    news = spark.createDataFrame([("k", six * 2, 2, 300), ("k", six * 2, 3, 301), ("new", six * 2 + 5, 1, 7), ("k", six * 9, 1, 9)], schema)
+    for _ in range(2):  # a batch that runs again
         write(news, 1)
-    got = {r["key"]: r["v"] for r in tables.read_buckets(spark, path).collect()}
-    assert got == {f"k{i}": i for i in range(40)} | {"k3": 301, "new": 7}
-    assert len(list((tmp_path / "t/version=0").glob("bucket=*"))) > 2 >= len(list((tmp_path / "t/version=1").glob("bucket=*")))
-    assert {r["key"]: r["v"] for r in tables.read_buckets(spark, path, before=1).collect()}["k3"] == 3
+    got = {(r["key"], r["ms"]): r["v"] for r in spark.read.parquet(path).collect()}
+    assert got == {("k", six * i + j): i for i in range(6) for j in range(3)} | {("k", six * 2): 301, ("new", six * 2 + 5): 7, ("k", six * 9): 9}
+    kept = {f for f, at in before.items() if f.exists() and f.stat().st_mtime_ns == at}
+    assert {f.parent.name for f in before.keys() - kept} == {f"part_start_ms={six * 2}"}
+    with pytest.raises(ValueError, match="part of the key"):
+        tables.merge_partitions(news, path, "ms", ["key"], ["received_ms"])
 
 
 def test_latest_values_and_order_books(spark):

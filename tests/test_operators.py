@@ -12,7 +12,7 @@ from tidewater.functions import clock, numeric, text
 from tidewater.operators import bars, books, merge, micro, rules, series, state
 from tidewater.sources import messages, tables
 
-T0 = 1_783_459_500_000
+T0 = 1_698_125_100_000
 
 
 def one(spark, column, **values):
@@ -33,22 +33,22 @@ def test_alignment_is_an_error(spark):
 
 @pytest.mark.parametrize(
     "value,ms",
-    [("1783459500", T0), ("1783459500000", T0), ("2026-07-07T21:25:00Z", T0), ("2026-07-07 21:25:17+00", T0 + 17_000), ("2026-07-07T23:25:00+02:00", T0),
-     ("2026-07-07T21:25:00", T0), ("2026-07-07T21:25:00.250Z", T0 + 250), ("junk", None), ("", None), (None, None)],
+    [("1698125100", T0), ("1698125100000", T0), ("2023-10-24T05:25:00Z", T0), ("2023-10-24 05:25:17+00", T0 + 17_000), ("2023-10-24T07:25:00+02:00", T0),
+     ("2023-10-24T05:25:00", T0), ("2023-10-24T05:25:00.250Z", T0 + 250), ("junk", None), ("", None), (None, None)],
 )
 def test_epoch_or_iso(spark, value, ms):
     assert one(spark, clock.epoch_or_iso_ms(F.lit(value).cast("string"))) == ms
 
 
 def test_iso_text(spark):
-    assert one(spark, clock.iso_text(F.lit(T0))) == "2026-07-07T21:25:00Z"
-    assert one(spark, clock.iso_text(F.lit(T0 + 250))) == "2026-07-07T21:25:00.250000Z"
+    assert one(spark, clock.iso_text(F.lit(T0))) == "2023-10-24T05:25:00Z"
+    assert one(spark, clock.iso_text(F.lit(T0 + 250))) == "2023-10-24T05:25:00.250000Z"
     assert one(spark, clock.iso_text(F.lit(-1))) == "1969-12-31T23:59:59.999000Z"
 
 
 def test_rounding_and_rendering(spark):
     price = lambda v, n: one(spark, numeric.fixed_text(F.lit(D(v)), n))
-    assert [price("123000.004", 2), price("122998.125", 2), price("0.485", 2), price("-0.125", 2)] == ["123000.00", "122998.13", "0.49", "-0.13"]
+    assert [price("64250.004", 2), price("64247.375", 2), price("0.485", 2), price("-0.125", 2)] == ["64250.00", "64247.38", "0.49", "-0.13"]
     assert [one(spark, numeric.compact_text(F.lit(x))) for x in ("1.500", "100", "2.000", "0.0001")] == ["1.5", "100", "2", "0.0001"]
     assert [one(spark, numeric.retry_delay_seconds(F.lit(n))) for n in (0, 1, 2, 5, 40)] == [30, 30, 60, 480, 3600]
     assert one(spark, numeric.clamped_age(F.lit(5), F.lit(None).cast("int"))) is None
@@ -122,10 +122,10 @@ def test_oracle_context_and_history(spark):
 
 
 def test_markets_and_resolutions(spark):
-    event = {"id": "e", "markets": [{"id": "m", "slug": "s", "outcomes": '["Up", "Down"]', "clobTokenIds": '["1", "2"]', "active": True, "closed": False, "endDate": "2026-07-07T21:25:00Z"}]}
+    event = {"id": "e", "markets": [{"id": "m", "slug": "s", "outcomes": '["Up", "Down"]', "clobTokenIds": '["1", "2"]', "active": True, "closed": False, "endDate": "2023-10-24T05:25:00Z"}]}
     row = messages.market_tokens(raw(spark, event)).first()
     assert (row["up_token"], row["down_token"], row["active"], row["end_ms"]) == ("1", "2", True, T0)
-    gamma = spark.createDataFrame([(i, json.dumps({"umaResolutionStatus": s, "outcomePrices": p, "closedTime": "2026-07-07 21:25:17+00"})) for i, s, p in
+    gamma = spark.createDataFrame([(i, json.dumps({"umaResolutionStatus": s, "outcomePrices": p, "closedTime": "2023-10-24 05:25:17+00"})) for i, s, p in
         [(1, "resolved", '["0","1"]'), (2, "resolved", '["0.5","0.5"]'), (3, "proposed", '["1","0"]'), (4, "resolved", '["1","0"]')]], "market_id long, value string")
     clob = spark.createDataFrame([(1, "u", "d", json.dumps({"closed": True, "tokens": [{"token_id": "u", "winner": False}, {"token_id": "d", "winner": True}]})),
         (4, "u", "d", json.dumps({"closed": True, "tokens": [{"token_id": "d", "winner": True}]}))], "market_id long, up_token string, down_token string, value string")

@@ -78,6 +78,20 @@ def test_top_of_book(drive):
     assert [(r["sequence"], r["best_bid"], r["best_ask"]) for r in rows] == [(1, 0.4, 0.6), (2, 0.4, 0.55), (3, 0.5, None)]
 
 
+def test_top_of_book_keeps_decimals(drive):
+    from decimal import Decimal as D
+
+    schema = "asset_id string, sequence long, kind string, bid decimal(18,8), ask decimal(18,8)"
+    rows = drive([[("u", 1, "book", D("0.1"), D("0.3"))], [("u", 2, "price_change", None, D("0.29"))]], schema, stateful.top_of_book)
+    assert [(r["best_bid"], r["best_ask"]) for r in rows] == [(D("0.1"), D("0.3")), (D("0.1"), D("0.29"))]
+
+
+def test_late_bars_are_counted(drive):
+    schema = "symbol string, sample_second_ms long, buy_quote double, sell_quote double"
+    rows = drive([[("BTC", 5_000, 1.0, 0.0)], [("BTC", 0, 9.0, 9.0), ("BTC", 1_000, 9.0, 9.0)], [("BTC", 7_000, 0.0, 1.0)]], schema, stateful.gap_filled)
+    assert [(r["sample_second_ms"], r["late"]) for r in rows] == [(5_000, 0), (6_000, 2), (7_000, 0)]
+
+
 def test_traces_and_books(drive):
     schema = "connection_id string, received_ms long, monotonic_ns long, sequence long, price double, trade_id long"
     rows = drive([[("c", 1, 1, 1, 100.0, 10), ("c", 25, 2, 2, 105.0, 11), ("c", 99, 3, 3, 95.0, 12)], [("c", 100, 4, 4, 96.0, 13)], [("c", 900, 5, 5, 97.0, 14)]], schema, bars.trace_stream)

@@ -8,6 +8,7 @@ not joined. Clocks are passed in, never read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,6 +27,27 @@ SECOND = "sample_second_ms"
 LAGS = {"delta_30s": 30_000, "delta_60s": 60_000, "delta_300s": 300_000}
 
 
+def _starts(df: DataFrame) -> list[int]:
+    """Starts of the six-hour partitions that a table has files in, from the files' names."""
+    return sorted({int(m[1]) for m in (re.search(rf"/{PART}=([0-9]+)/", f) for f in df.inputFiles()) if m})
+
+
+def newest_part(df: DataFrame, wanted: Column | None = None) -> DataFrame:
+    """``df`` from the newest six-hour partitions that have a wanted row; all of a table that isn't partitioned.
+
+    The newest partition is asked first, then the newest 4, 16, ... of them, so a value that
+    is fresh costs one partition however long the history is.
+    """
+    rows = df if wanted is None else df.filter(wanted)
+    starts, n = _starts(df) if PART in df.columns else [], 1
+    while n < len(starts):
+        some = rows.filter(F.col(PART) >= starts[-n])
+        if some.limit(1).count():
+            return some
+        n *= 4
+    return rows
+
+
 def health_probe(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(1).alias("ok"))
 
@@ -44,14 +66,21 @@ def instrument_id(t: Tables, provider: str, symbol: str) -> DataFrame:
     return one.select(F.coalesce("instrument_id", missing.cast("long")).alias("instrument_id"))
 
 
+def _of_source(t: Tables, provider: str, symbol: str) -> DataFrame:
+    """Samples of one source, of the newest partitions that have some; the dimensions hold a few rows."""
+    ids = t["instruments"].join(t["providers"], "provider_id").filter((F.col("provider") == provider) & (F.col("symbol") == symbol))
+    known = [r[0] for r in ids.select("instrument_id").collect()]
+    return named_samples({**t, "price_samples": newest_part(t["price_samples"], F.col("instrument_id").isin(known))})
+
+
 def latest_price(t: Tables, provider: str, symbol: str) -> DataFrame:
-    rows = named_samples(t).filter((F.col("provider") == provider) & (F.col("symbol") == symbol))
-    top = rows.orderBy(F.col(SECOND).desc(), F.col("received_ms").desc()).limit(1)
+    top = _of_source(t, provider, symbol).orderBy(F.col(SECOND).desc(), F.col("received_ms").desc()).limit(1)
     return top.select("provider", "symbol", SECOND, F.col("price").cast("string").alias("price"), "provider_event_ms", "received_ms")
 
 
 def latest_market(t: Tables) -> DataFrame:
-    return t["price_samples"].agg(F.max("market_id").alias("market_id"))
+    """Markets and partitions are both by time, so the newest partition has the newest market."""
+    return newest_part(t["price_samples"]).agg(F.max("market_id").alias("market_id"))
 
 
 def _observed(t: Tables) -> DataFrame:
@@ -171,6 +200,9 @@ def market_series(
 def _futures(t: Tables, start: int) -> DataFrame:
     """Snapshots of the market with open-interest deltas; only 300 seconds before it are read."""
     near = t["snapshots"].filter(F.col(SECOND).between(start - 300_000, start + MARKET_MS - 1))
+    if PART in near.columns:
+        first = start - 300_000
+        near = near.filter(F.col(PART).between(first - first % PARTITION_MS, start - start % PARTITION_MS))
     rows = lagged(near, ["symbol"], SECOND, "open_interest", LAGS).filter(F.col(SECOND) >= start)
     return rows.select(SECOND, "last_price", "mark_price", "index_price", "premium_bps", "open_interest", "open_interest_notional", *LAGS)
 
@@ -224,18 +256,17 @@ def live_microstructure(t: Tables, now_ms: int) -> DataFrame:
 
 def current_snapshot(t: Tables, now_ms: int, spot: tuple[str, str], oracle: tuple[str, str]) -> DataFrame:
     """One row: newest spot and oracle price, futures snapshot and probabilities, null where missing."""
-    rows = named_samples(t)
-    one = rows.sparkSession.range(1).select(F.lit(1).alias("one"), F.lit(now_ms).alias("now_ms"))
+    one = t["price_samples"].sparkSession.range(1).select(F.lit(1).alias("one"), F.lit(now_ms).alias("now_ms"))
 
     def add(out: DataFrame, df: DataFrame, name: str, clock: Column) -> DataFrame:
         top = df.orderBy(clock.desc()).limit(1).select(F.lit(1).alias("one"), F.struct(*df.columns).alias(name))
         return out.join(top, "one", "left")
 
     for name, (provider, symbol) in (("spot", spot), ("oracle", oracle)):
-        one = add(one, rows.filter((F.col("provider") == provider) & (F.col("symbol") == symbol)), name, F.coalesce("provider_event_ms", "received_ms"))
+        one = add(one, _of_source(t, provider, symbol), name, F.coalesce("provider_event_ms", "received_ms"))
     known = F.coalesce("last_price", "mark_price", "index_price").isNotNull()
-    one = add(one, t["snapshots"].filter(known), "futures", F.col(SECOND))
-    return add(one, t["probabilities"], "probability", F.col(SECOND)).drop("one")
+    one = add(one, newest_part(t["snapshots"], known), "futures", F.col(SECOND))
+    return add(one, newest_part(t["probabilities"]), "probability", F.col(SECOND)).drop("one")
 
 
 def latest_resolutions(t: Tables, limit: int = 10) -> DataFrame:

@@ -74,42 +74,32 @@ def merged_version(
     write_version(merge(target, newest.select(*target.columns), keys, rules or {}), path, version)
 
 
-def _newest_buckets(spark: SparkSession, path: str, before: int | None) -> list[tuple[int, int]]:
-    """(version, bucket) of each bucket's newest version, by file names alone: one pair a bucket."""
-    try:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    except AnalysisException:  # nothing written yet
-        return []
-    part = lambda name: F.regexp_extract("path", rf"/{name}=([0-9]+)/", 1).try_cast("bigint")
-    pairs = found.select(part("version").alias("version"), part("bucket").alias("bucket")).filter("version is not null and bucket is not null")
-    if before is not None:
-        pairs = pairs.filter(F.col("version") < before)
-    return [(r["version"], r["bucket"]) for r in pairs.groupBy("bucket").agg(F.max("version").alias("version")).collect()]
-
-
-def read_buckets(spark: SparkSession, path: str, before: int | None = None, only: Sequence[int] | None = None) -> DataFrame | None:
-    """A table of ``merge_buckets`` as its newest versions (below ``before``) have it; None if there is nothing."""
-    pairs = [(v, b) for v, b in _newest_buckets(spark, path, before) if only is None or b in only]
-    if not pairs:
-        return None
-    return spark.read.parquet(*(f"{path}/version={v}/bucket={b}" for v, b in sorted(pairs)))
-
-
-def merge_buckets(
-    spark: SparkSession, path: str, version: int, rows: DataFrame, keys: Sequence[str], order: Sequence[str],
-    rules: Mapping[str, Rule] | None = None, buckets: int = 64,
-) -> None:
-    """Merge the newest of ``rows`` per key into a table kept in ``buckets`` by key.
-
-    Only buckets that ``rows`` touch are read and written again, as ``version``; the others
-    stay where they are. Running a version again gives the same files.
+def merge_partitions(rows: DataFrame, path: str, time: str, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, Rule] | None = None, spread: int = 8) -> None:
+    """Merge the newest of ``rows`` per key into a table in six-hour partitions of ``time``, a column of the key.
+
+    Only partitions that ``rows`` touch are read and written again, by Spark's own dynamic
+    overwrite; as each holds six hours, what a batch costs follows from its rows' times and
+    not from the table. A partition is written by ``spread`` tasks. The merged partitions are
+    written beside the table first, since what is read can't be overwritten. A batch that
+    fails and runs again merges the same rows once more, which changes nothing for rules
+    that keep the newest.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    if time not in keys:
+        raise ValueError(f"{time} has to be part of the key")
+    spark = rows.sparkSession
     newest = latest(rows, keys, order)
-    touched = {r["bucket"] for r in newest.select(bucket).distinct().collect()}  # ``buckets`` rows at most
-    target = read_buckets(spark, path, version, touched)
-    merged = merge(newest.limit(0) if target is None else target, newest, keys, rules or {})
-    merged.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/version={version}")
+    part = floor_to(time, PARTITION_MS)
+    touched = [r[0] for r in newest.select(part.alias(PART)).distinct().collect()]  # one number for every six hours of a batch
+    try:
+        target = spark.read.parquet(path).filter(F.col(PART).isin(touched)).drop(PART)
+    except AnalysisException:  # nothing written yet
+        target = newest.limit(0)
+    merged = merge(target, newest.select(*target.columns), keys, rules or {}).withColumn(PART, part)
+    beside = f"{path.rstrip('/')}.merging"
+    salt = F.pmod(F.xxhash64(*keys), F.lit(spread))
+    merged.repartition(PART, salt).write.mode("overwrite").partitionBy(PART).parquet(beside)
+    done = spark.read.schema(merged.schema).parquet(beside)
+    done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(path)
 
 
 def latest_values(df: DataFrame, key: str, keys: Sequence[str] | None = None, order: Sequence[str] = ("received_ms",)) -> DataFrame:

@@ -21,11 +21,11 @@ def upserting(path: str, keys: Sequence[str], order: Sequence[str], rules: Mappi
     return write
 
 
-def merging(path: str, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, Rule] | None = None, buckets: int = 64) -> Sink:
-    """Merge each batch into a table kept in buckets by key; only buckets with rows in the batch are written again."""
+def merging(path: str, time: str, keys: Sequence[str], order: Sequence[str], rules: Mapping[str, Rule] | None = None) -> Sink:
+    """Merge each batch into a table in six-hour partitions; only partitions with rows in the batch are written again."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        tables.merge_buckets(batch.sparkSession, path, epoch, batch, keys, order, rules, buckets)
+        tables.merge_partitions(batch, path, time, keys, order, rules)
 
     return write
 

@@ -128,14 +128,14 @@ def settled_ticks(ticks: DataFrame, key: str = "symbol", settle_ms: int = 1_000)
 def top_of_book(messages: DataFrame, key: str = "asset_id") -> DataFrame:
     """Best bid and ask of a token after each message; a resolved market gives out no more.
 
-    ``messages``: key, sequence, kind, bid, ask (doubles or null).
+    ``messages``: key, sequence, kind, bid, ask (null, or numbers of any type, which they keep).
     """
 
     def run(group: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         bid, ask, resolved = state.get if state.exists else (None, None, False)
         out = []
         for r in _batch(frames, ["sequence"]).itertuples():
-            given = [None if pd.isna(x) else float(x) for x in (r.bid, r.ask)]
+            given = [None if pd.isna(x) else x for x in (r.bid, r.ask)]
             if r.kind == "market_resolved":
                 resolved = True
             elif r.kind in ("book", "best_bid_ask"):
@@ -149,6 +149,7 @@ def top_of_book(messages: DataFrame, key: str = "asset_id") -> DataFrame:
         state.update((bid, ask, resolved))
         yield pd.DataFrame(out, columns=[key, "sequence", "best_bid", "best_ask"])
 
-    schema = f"{key} string, sequence long, best_bid double, best_ask double"
+    bid, ask = (messages.schema[c].dataType.simpleString() for c in ("bid", "ask"))
+    schema = f"{key} string, sequence long, best_bid {bid}, best_ask {ask}"
     rows = messages.select(key, "sequence", "kind", "bid", "ask")
-    return rows.groupBy(key).applyInPandasWithState(run, schema, "bid double, ask double, resolved boolean", "append", NONE)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, f"bid {bid}, ask {ask}, resolved boolean", "append", NONE)
