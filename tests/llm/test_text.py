@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from html.parser import HTMLParser
@@ -725,3 +726,41 @@ def test_operators_on_awkward_rows(spark, docs, awkward):
     assert Counter(r["page_id"] for r in extract_text(pages).collect()) == ids
     long = {r["doc_id"]: r for r in contamination(docs, spark.createDataFrame([(1, awkward[9][1])], "item_id long, text string")).collect()}[10]
     assert long["n_hit"] == long["n_words"] == 60_000
+
+
+def test_spans_cost_what_their_page_is_long():
+    """Many cells that span very many columns and rows, and rows below them."""
+    wide = "".join("<td colspan=1000 rowspan=65534>x" for _ in range(300))
+    page = f"<table><tr>{wide}</tr>{'<tr><td>y</td></tr>' * 300}</table>"
+    began = time.perf_counter()
+    lines = visible_text(page).split("\n")
+    assert time.perf_counter() - began < 5  # half a minute when every column was looked at
+    assert lines[0].split() == ["x"] * 300 and len(lines) == 301 and len({line.index("y") for line in lines[1:]}) == 1
+    assert max(map(len, lines)) < 2_000
+
+
+def test_cells_below_spans():
+    page = "<table><tr><td rowspan=3>a<td>b<td>c</tr><tr><td colspan=2>long cell</tr><tr><td>d<td>e</tr><tr><td>f<td>g</table>"
+    assert visible_text(page) == "a  b  c\n   long cell\n   d  e\nf  g"
+
+
+def test_field_is_fitted_once(spark, monkeypatch):
+    calls = []
+    fit = pii.train
+    monkeypatch.setattr(pii, "train", lambda rows, *a: calls.append(len(rows)) or fit(rows, epochs=2))
+    pii.fitted.cache_clear()
+    docs = spark.createDataFrame([(1, "write to a@b.org")], "doc_id long, text string")
+    labelled = spark.createDataFrame([("key AKIA1234567890 here", "secret:4:18")] * 2, "text string, spans string")
+    for _ in range(3):
+        assert pii.find_pii(docs, labelled).first()["n_email"] == 1
+    assert calls == [2]
+    pii.fitted.cache_clear()
+
+
+def test_groups_of_like_length_lose_no_run():
+    rng = random.Random(4)
+    data = [(np.full((n, pii.N_FEATURES), n), [0] * n) for n in (rng.randint(1, 60) for _ in range(200))]
+    groups = [pii._padded(g) for g in pii._by_length(data)]
+    sizes = sorted(int(n) for _, _, real in groups for n in real.sum(1))
+    assert sizes == sorted(len(t) for _, t in data)
+    assert all(real.shape[1] <= real.sum(1).min() * 4 // 3 + 1 for _, _, real in groups)
