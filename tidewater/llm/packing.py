@@ -197,7 +197,7 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) ->
             whole = total - total % window
             for start in range(0, whole, window):
                 lay([(doc, start, window, ids[start : start + window], total)])
-            if whole < total and (full := levels.place((doc, whole, total - whole, ids[whole:], total))):
+            if whole < total and (full := levels.place((doc, whole, total - whole, ids[whole:].copy(), total))):
                 lay(full)
             if len(rows) >= _ROWS:
                 yield given()
