@@ -4,9 +4,10 @@ Two generative models of hashed unigrams and bigrams are counted: the raw one ov
 document, the target one over the labelled documents of good quality that aren't toxic. The
 importance of a document is the ratio of its chances under the two; ``log_weight`` is that
 ratio's log, the sum over all its grams of log(target chance / raw chance). The target's
-chances are smoothed towards the raw ones by pseudo-counts (``priors``), so a gram that
-says little weighs little. As all grams count, a long text of common words outweighs a few
-bad ones: few toxic words in a long clean text are not caught.
+chances are smoothed towards the raw ones, by pseudo-counts (``priors``) and then by
+``doubt`` standard errors of the log ratio: what counting a sample can make by chance is
+taken off, so the common words of a long text don't drown its few bad ones. Grams too rare
+to tell weigh nothing; a table with few labelled rows has many of these.
 
 Resampling is Gumbel top-k: the keys are ``log_weight`` plus standard Gumbel noise drawn
 from the document, and the ``k`` largest keys are selected, which draws k documents without
@@ -47,7 +48,9 @@ from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, row_key, staged, sum
 from tidewater.llm.tokens import Tokens, mixed, per_text, tokens_of
 
 #: Bits of the hash, and pseudo-counts that hold the target near the raw model, of unigrams and bigrams.
-BITS, PRIORS = (20, 18), (2.0, 300.0)
+BITS, PRIORS = (20, 18), (1.0, 1.0)
+#: Standard errors of a log ratio that are put down to chance.
+DOUBT = 4.0
 STARTS = np.cumsum([0, *(1 << b for b in BITS)]).tolist()
 BUCKETS = STARTS[-1]
 MAX_LABELLED = 50_000
@@ -102,8 +105,8 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
     return counts.reshape(2, -1)[:, :BUCKETS]
 
 
-def gram_weights(docs: DataFrame, sample: DataFrame, priors: Sequence[float] = PRIORS) -> np.ndarray:
-    """Log ratio of target to raw chance per bucket; zeros if there is no target text."""
+def gram_weights(docs: DataFrame, sample: DataFrame, priors: Sequence[float] = PRIORS, doubt: float = DOUBT) -> np.ndarray:
+    """Log ratio of smoothed target to raw chance per bucket; zeros if there is no target text."""
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), docs["doc_id"].cast("long") == F.col("label_id"), "left")
     target = (F.col("good") * (~F.col("held")).cast("int")).alias("good")
     raw, target = gram_counts(marked.select("text", target))
@@ -111,7 +114,10 @@ def gram_weights(docs: DataFrame, sample: DataFrame, priors: Sequence[float] = P
     for a, b, prior in zip(STARTS, STARTS[1:], priors):
         if target[a:b].sum():
             rate = target[a:b].sum() / raw[a:b].sum()
-            weights[a:b] = np.log((target[a:b] + prior) / (raw[a:b] * rate + prior))
+            expected = raw[a:b] * rate + prior
+            ratio = np.log((target[a:b] + prior) / expected)
+            chance = doubt * np.sqrt((1 - rate) / expected)
+            weights[a:b] = np.sign(ratio) * np.maximum(np.abs(ratio) - chance, 0)
     return weights
 
 
@@ -189,12 +195,13 @@ def quality_rows(
     labels: DataFrame,
     k: int | None = None,
     priors: Sequence[float] = PRIORS,
+    doubt: float = DOUBT,
     max_labelled: int = MAX_LABELLED,
     seed: int = 7,
 ) -> DataFrame:
     """``quality_verdicts`` with ``row_key``, the hash of a row's columns."""
     sample = staged(labelled_sample(labels, max_labelled), "labelled")
-    scored = log_weights(docs, gram_weights(docs, sample, priors))
+    scored = log_weights(docs, gram_weights(docs, sample, priors, doubt))
     place = F.monotonically_increasing_id().alias("place")
     keyed = staged(scored.select("*", (F.col("log_weight") + _gumbel(seed)).alias("gumbel_key"), place), "keys")
     if k is None:
