@@ -9,7 +9,8 @@ sum of the squared counts is least afterwards, ties to the fuller level.
 When a partition ends, the emptiest open windows are poured into the gaps of the fullest
 ones, cutting pieces where a gap ends, and what is left of the last one is laid out in
 sequences whose lengths are powers of two, which need no padding. A task holds only its
-open windows (at most one per level and surplus item) in memory.
+open windows (at most one per level and surplus item) in memory, and its table of pieces,
+which it lets go at its end: a worker that goes on to other work holds nothing of it.
 
 Defined results:
 * a null or empty text is one id, the end id; ids are those of the ``tokenizers`` library
@@ -89,6 +90,11 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        """Let all pieces go."""
+        self.clear()
+        self.older = {}
+
     def __call__(self, text: str) -> np.ndarray:
         if self.odd(text) or any(t in text for t in self.added):
             return np.array(self.whole(text), dtype="<u4")
@@ -190,21 +196,24 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int, vocabulary: str) ->
         rows.clear()
         return pa.record_batch(columns, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    for batch in text_chunks(batches):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            ids = np.append(encode(text or ""), np.uint32(END_ID))
-            total = len(ids)
-            whole = total - total % window
-            for start in range(0, whole, window):
-                lay([(doc, start, window, ids[start : start + window], total)])
-            if whole < total and (full := levels.place((doc, whole, total - whole, ids[whole:].copy(), total))):
-                lay(full)
-            if len(rows) >= _ROWS:
-                yield given()
-    for pieces in levels.drained():
-        lay(pieces)
-    if rows:
-        yield given()
+    try:
+        for batch in text_chunks(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                ids = np.append(encode(text or ""), np.uint32(END_ID))
+                total = len(ids)
+                whole = total - total % window
+                for start in range(0, whole, window):
+                    lay([(doc, start, window, ids[start : start + window], total)])
+                if whole < total and (full := levels.place((doc, whole, total - whole, ids[whole:].copy(), total))):
+                    lay(full)
+                if len(rows) >= _ROWS:
+                    yield given()
+        for pieces in levels.drained():
+            lay(pieces)
+        if rows:
+            yield given()
+    finally:
+        encode.forget()
 
 
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str | None = None) -> DataFrame:
