@@ -103,3 +103,59 @@ def test_latest_reads_the_newest_partitions_first(spark, t, tmp_path):
     newest = T0 - T0 % six
     assert f">= {newest}" in plan[plan.index("PartitionFilters") :]
     assert api.latest_market(own).first()["market_id"] == M
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [part.split("]")[0] for part in plan.split("PartitionFilters: ")[1:]]
+
+
+def test_index_reads_the_newest_partitions_first(spark, t, tmp_path):
+    """Pages of a long history with holes equal those of the same tables without partitions."""
+    from tidewater.sources import tables
+
+    six = 21_600_000
+    top = T0 - T0 % six
+    starts = [top - six * k + 300_000 * j for k in (0, 1, 6, 7, 40) for j in (0, 71) if top - six * k + 300_000 * j <= T0]
+    make = spark.createDataFrame
+    plain = {
+        "windows": make([(s // 300_000, s, s + 300_000) for s in starts], "market_id long, window_start_ms long, window_end_ms long"),
+        "price_samples": make([(s // 300_000, s + 1_000 * i) for n, s in enumerate(starts) if n % 4 for i in range(n)], "market_id long, sample_second_ms long"),
+        "probabilities": make([(s // 300_000, s, D(1) if n % 3 else None, D(1)) for n, s in enumerate(starts)], "market_id long, sample_second_ms long, up_ask decimal(18,8), down_ask decimal(18,8)"),
+        "book": make([(s // 300_000, s + 7_000) for n, s in enumerate(starts) if n % 5 == 0], "market_id long, sample_second_ms long"),
+    }
+    stored = dict(plain)
+    for name in ("price_samples", "probabilities"):  # the book stays unpartitioned
+        tables.append(plain[name], str(tmp_path / name), "sample_second_ms")
+        stored[name] = spark.read.parquet(str(tmp_path / name))
+    now, before = T0 + 600_000, None
+    pages = 0
+    while pages == 0 or before is not None:
+        want, got = (api.market_index(x, now, 2, before).collect() for x in (plain, stored))
+        assert want == got and want
+        before, pages = got[0]["next_cursor"], pages + 1
+    assert pages > 3
+    assert api.market_index(stored, now, 2, before=min(starts) // 300_000).count() == 0
+    first = api.market_index(stored, now, 2)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    low = top - six * 7  # the newest partition has one market, the newest four have three
+    assert plan.count(f">= {low}") >= 2 and first.collect()
+    assert all(r["market_id"] >= low // 300_000 for r in first.collect())
+
+
+def test_newest_bars_read_the_newest_partitions_first(spark, tmp_path):
+    from tidewater.sources import tables
+
+    six = 21_600_000
+    top = T0 - T0 % six
+    bars = [("BTC", top - six * k + 1_000 * i, k) for k in range(12) for i in (0, 1)] + [("ETH", top - six * 9, 5), ("ETH", top - six * 10, 4)]
+    micro = spark.createDataFrame(bars, "symbol string, sample_second_ms long, spot_mid int")
+    tables.append(micro, str(tmp_path / "micro"), "sample_second_ms")
+    stored = {"micro": spark.read.parquet(str(tmp_path / "micro"))}
+    rows = lambda df: sorted(df.select("symbol", "sample_second_ms", "spot_mid", "market_id", "age_ms").collect())
+    want = rows(api.live_microstructure({"micro": micro}, T0))
+    assert [(r["symbol"], r["sample_second_ms"]) for r in want] == [("BTC", top + 1_000), ("ETH", top - six * 9)]
+    assert rows(api.live_microstructure(stored, T0)) == want
+    assert rows(api.live_microstructure(stored, T0, ["ETH", "BTC", "none"])) == want
+    filters = partition_filters(api.live_microstructure(stored, T0, ["BTC"]))
+    assert filters and all(f">= {top}" in f for f in filters)

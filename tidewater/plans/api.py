@@ -83,19 +83,32 @@ def latest_market(t: Tables) -> DataFrame:
     return newest_part(t["price_samples"]).agg(F.max("market_id").alias("market_id"))
 
 
-def _observed(t: Tables) -> DataFrame:
-    """(market_id, dataset) of every market with at least one observation."""
-    kinds = {
-        "price_samples": F.lit(True),
-        "snapshots": F.coalesce("last_price", "mark_price", "index_price", "open_interest").isNotNull(),
-        "flow": F.lit(True),
-        "book": F.lit(True),
-        "probabilities": F.col("up_ask").isNotNull() & F.col("down_ask").isNotNull(),
-    }
+#: Datasets of the market index, and which of their rows count as observed.
+OBSERVED = {
+    "price_samples": "true",
+    "snapshots": "coalesce(last_price, mark_price, index_price, open_interest) is not null",
+    "flow": "true",
+    "book": "true",
+    "probabilities": "up_ask is not null and down_ask is not null",
+}
+
+
+def _observed(t: Tables, first_ms: int | None, last_ms: int) -> DataFrame:
+    """(market_id, dataset) of every observation of the markets that start in [first_ms, last_ms].
+
+    ``first_ms`` is the start of a six-hour partition, or None for all history. A market's
+    rows lie in the partition that holds its five minutes.
+    """
     out = None
-    for name, ok in kinds.items():
+    for name, ok in OBSERVED.items():
         if name in t:
-            one = t[name].filter(ok).select("market_id", F.lit(name).alias("dataset"))
+            rows = t[name].filter(ok).filter(F.col("market_id") <= last_ms // MARKET_MS)
+            if PART in rows.columns:
+                rows = rows.filter(F.col(PART) <= last_ms)
+            if first_ms is not None:
+                rows = rows.filter(F.col("market_id") >= first_ms // MARKET_MS)
+                rows = rows.filter(F.col(PART) >= first_ms) if PART in rows.columns else rows
+            one = rows.select("market_id", F.lit(name).alias("dataset"))
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -103,16 +116,31 @@ def _observed(t: Tables) -> DataFrame:
 def market_index(t: Tables, now_ms: int, limit: int = 3, before: int | None = None, include_current: bool = False) -> DataFrame:
     """A page of the newest observed markets with row counts by dataset.
 
-    The page is cut first (a semi-join and a top-k); only its markets are counted.
+    The page is cut first (a semi-join and a top-k); only its markets are counted. The newest
+    partition before the page's end is asked first, then the newest 4, 16, ... of them, until
+    the page and the market after it are found, so a page costs the same however long the
+    history is.
     """
+    limit = max(1, limit)
     windows = t["windows"].filter(F.col("window_start_ms") <= now_ms)
     if not include_current:
         windows = windows.filter(F.col("window_end_ms") <= now_ms)
-    seen = _observed(t)
-    candidates = windows.join(seen.select("market_id").distinct(), "market_id", "left_semi")
-    chosen = page(candidates.select("market_id", "window_start_ms", "window_end_ms"), "market_id", max(1, limit), before)
+    if before is not None:
+        windows = windows.filter(F.col("market_id") < before)
+    last = now_ms if before is None else min(now_ms, before * MARKET_MS - 1)
+    parted = [t[name] for name in OBSERVED if name in t and PART in t[name].columns]
+    starts = sorted({s for df in parted for s in _starts(df) if s <= last})
+    n = 1
+    while True:
+        first = starts[-n] if n < len(starts) else None
+        seen = _observed(t, first, last)
+        candidates = windows.join(seen.select("market_id").distinct(), "market_id", "left_semi")
+        if first is None or candidates.limit(limit + 1).count() > limit:
+            break
+        n *= 4
+    chosen = page(candidates.select("market_id", "window_start_ms", "window_end_ms"), "market_id", limit, before)
     counts = seen.join(chosen.select("market_id"), "market_id", "left_semi").groupBy("market_id").agg(
-        *(F.count_if(F.col("dataset") == d).alias(f"{d}_rows") for d in ("price_samples", "snapshots", "flow", "book", "probabilities"))
+        *(F.count_if(F.col("dataset") == d).alias(f"{d}_rows") for d in OBSERVED)
     )
     return chosen.join(counts, "market_id").orderBy(F.desc("market_id"))
 
@@ -248,9 +276,24 @@ def live_prices(t: Tables, sources: Sequence[str], now_ms: int) -> DataFrame:
     return wanted.join(newest, "source", "left").withColumn("age_ms", clamped_age(F.lit(now_ms), F.col("received_ms")))
 
 
-def live_microstructure(t: Tables, now_ms: int) -> DataFrame:
-    """The newest bar of each symbol; its market is that of the bar, not of the clock."""
-    newest = latest(t["micro"], ["symbol"], [SECOND])
+def live_microstructure(t: Tables, now_ms: int, symbols: Sequence[str] | None = None) -> DataFrame:
+    """The newest bar of each symbol; its market is that of the bar, not of the clock.
+
+    Given ``symbols``, each is looked for in the newest partitions first. Without them one
+    pass over the symbol column tells which partition holds each symbol's newest bar; the
+    other columns are read of these partitions only.
+    """
+    micro = t["micro"]
+    if symbols is not None:
+        rows = micro.limit(0)
+        for symbol in dict.fromkeys(symbols):
+            rows = rows.unionByName(newest_part(micro, F.col("symbol") == symbol))
+    elif PART in micro.columns:
+        tops = micro.groupBy("symbol").agg(F.max(PART).alias("top")).select("top").distinct()
+        rows = micro.filter(F.col(PART).isin([r[0] for r in tops.collect()]))  # at most one number a symbol
+    else:
+        rows = micro
+    newest = latest(rows, ["symbol"], [SECOND])
     return newest.withColumns({"market_id": whole(F.col(SECOND), MARKET_MS), "age_ms": clamped_age(F.lit(now_ms), F.col(SECOND) + 1_000)})
 
 
