@@ -24,6 +24,7 @@ Defined results:
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -46,6 +47,15 @@ SCHEMA = (
 _ROWS = 20_000
 
 
+def _byte_characters() -> dict[int, int]:
+    """The character for each byte in a byte-level vocabulary: itself if it can be seen, else one from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
+
+
+_BYTES = _byte_characters()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -58,7 +68,9 @@ class Encoder(dict):
     A byte-level vocabulary with the usual pattern never joins bytes over the ends of a
     piece, so the ids of a text are those of its pieces. That way is taken for texts of the
     characters below, for which the pattern is spelt out; texts with others, or with an
-    added token, go to the library whole. The dictionary maps pieces to the bytes of their ids.
+    added token, go to the library whole. A piece not met before goes straight to the
+    library's merges, each byte as the character that stands for it there. The dictionary
+    maps pieces to the bytes of their ids.
     """
 
     #: Pieces that are kept before those not met again lately are let go, and the longest such piece.
@@ -75,6 +87,7 @@ class Encoder(dict):
         usual = isinstance(kind, tokenizers.pre_tokenizers.ByteLevel) and kind.use_regex and not kind.add_prefix_space
         usual = usual and self.library.normalizer is None and self.library.truncation is None
         self.older: dict[str, bytes] = {}
+        self.merged = self.library.model.tokenize
         self.pieces = re.compile(self.PATTERN).findall
         self.odd = re.compile(f"[^{self.KNOWN}]" if usual else "(?s:.)").search
 
@@ -82,7 +95,10 @@ class Encoder(dict):
         return self.library.encode(text, add_special_tokens=False).ids
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.older.get(piece) or np.array(self.whole(piece), dtype="<u4").tobytes()
+        ids = self.older.get(piece)
+        if ids is None:
+            found = [t.id for t in self.merged(piece.encode().decode("latin-1").translate(_BYTES))]
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= self.LONGEST:
             if len(self) >= self.KEPT:
                 self.older = dict(self)
