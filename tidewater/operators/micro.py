@@ -7,7 +7,7 @@ s covers receive times [s, s + 1000).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,11 +40,8 @@ def _second(df: DataFrame) -> DataFrame:
     return df.withColumn(SECOND, floor_to("received_ms", SECOND_MS))
 
 
-def book_seconds(books: DataFrame, prefix: str) -> DataFrame:
-    """Last snapshot, count and summed order flow of each second.
-
-    ``books``: symbol, epoch, received_ms, sequence, event_ms, bids, asks (sorted levels).
-    """
+def book_flow(books: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Snapshots with both sides and the order flow of each against the one before it of the same ``by``."""
     top = books.filter((F.size("bids") > 0) & (F.size("asks") > 0)).withColumns(
         {
             "bid": F.col("bids")[0]["price"],
@@ -53,13 +50,24 @@ def book_seconds(books: DataFrame, prefix: str) -> DataFrame:
             "ask_size": F.col("asks")[0]["quantity"],
         }
     )
-    flow = _second(order_flow(top, ["symbol", "epoch"], ["received_ms", "sequence"]))
+    return order_flow(top, by, ["received_ms", "sequence"])
+
+
+def book_totals(flow: DataFrame, prefix: str) -> DataFrame:
     last = F.max_by(F.struct("bids", "asks", "received_ms", "event_ms"), F.struct("received_ms", "sequence"))
     return flow.groupBy("symbol", SECOND).agg(
         last.alias(f"{prefix}_book"), F.count("*").alias(f"{prefix}_book_snapshot_count"), F.sum("ofi").alias(f"{prefix}_ofi")
     )
 
 
+def book_seconds(books: DataFrame, prefix: str) -> DataFrame:
+    """Last snapshot, count and summed order flow of each second.
+
+    ``books``: symbol, epoch, received_ms, sequence, event_ms, bids, asks (sorted levels).
+    """
+    return book_totals(_second(book_flow(books, ["symbol", "epoch"])), prefix)
+
+
 def trade_seconds(trades: DataFrame, prefix: str) -> DataFrame:
     totals = trade_totals(_second(trades), ["symbol", SECOND], ["received_ms", "sequence"])
     names = {
@@ -69,6 +77,18 @@ def trade_seconds(trades: DataFrame, prefix: str) -> DataFrame:
     return totals.select("symbol", SECOND, *(F.col(c).alias(f"{prefix}_{names.get(c, c)}") for c in totals.columns[2:]))
 
 
+def pair_of(get: Callable[[str], Column]) -> Column:
+    return F.struct(get("mark_price").alias("mark_price"), get("index_price").alias("index_price"), get("received_ms").alias("received_ms"), get("premium_index_time_ms").alias("event_ms"))
+
+
+def interest_of(get: Callable[[str], Column]) -> Column:
+    return F.struct(get("open_interest").alias("open_interest"), get("received_ms").alias("received_ms"), get("open_interest_time_ms").alias("event_ms"), get("request_started_ms").alias("request_started_ms"))
+
+
+def funding_of(get: Callable[[str], Column]) -> Column:
+    return F.struct(*(get(c).alias(c) for c in ("last_funding_rate", "next_funding_time_ms")))
+
+
 def context_seconds(context: DataFrame) -> DataFrame:
     """Last complete mark/index pair, open interest and funding of each second.
 
@@ -77,15 +97,12 @@ def context_seconds(context: DataFrame) -> DataFrame:
     open_interest_time_ms.
     """
     at = "received_ms"
-    pair = F.struct("mark_price", "index_price", F.col(at).alias("received_ms"), F.col("premium_index_time_ms").alias("event_ms"))
-    interest = F.struct("open_interest", F.col(at).alias("received_ms"), F.col("open_interest_time_ms").alias("event_ms"), "request_started_ms")
-    funding = F.struct("last_funding_rate", "next_funding_time_ms")
     both = F.col("mark_price").isNotNull() & F.col("index_price").isNotNull()
     held = F.col("open_interest").isNotNull()
     return _second(context).groupBy("symbol", SECOND).agg(
-        F.max_by(pair, F.when(both, F.col(at))).alias("pair"),
-        F.max_by(interest, F.when(held, F.col(at))).alias("interest"),
-        F.max_by(funding, at).alias("funding"),
+        F.max_by(pair_of(F.col), F.when(both, F.col(at))).alias("pair"),
+        F.max_by(interest_of(F.col), F.when(held, F.col(at))).alias("interest"),
+        F.max_by(funding_of(F.col), at).alias("funding"),
     )
 
 
@@ -138,6 +155,11 @@ def micro_bars(
             "sample_span_ms": F.col(SECOND) - F.lag(SECOND).over(Window.partitionBy("symbol").orderBy(SECOND)),
         }
     )
+    return finished(bars, jitter_ms)
+
+
+def finished(bars: DataFrame, jitter_ms: int) -> DataFrame:
+    """All columns of bars, from the sums of their second and what they hold."""
     now = F.col(SECOND) + SECOND_MS
     bars = bars.withColumns({"now_ms": now, "schema_version": F.lit(SCHEMA_VERSION), "sample_jitter_ms": F.lit(jitter_ms)})
     for prefix in ("spot", "fut"):

@@ -17,7 +17,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -33,16 +33,18 @@ def with_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
 
 
-def tagged(feeds: Mapping[str, DataFrame], key: str, time: str, order: str = "sequence", lateness: str | None = None) -> DataFrame:
+def tagged(feeds: Mapping[str, DataFrame], key: str, time: str, order: str = "sequence", lateness: str | None = None, named: Mapping[str, Column] | None = None) -> DataFrame:
     """Feeds as one stream (feed, key, ms, sequence, ts, body): ``body`` is a row's other columns as JSON, ``ts`` its time.
 
-    With ``lateness`` the stream has a watermark that far behind its newest row.
+    With ``lateness`` the stream has a watermark that far behind its newest row. A feed in
+    ``named`` has its rows once under each of the names in that array instead of its own.
     """
     out = None
     for name, df in feeds.items():
         body = F.to_json(F.struct(*(c for c in df.columns if c != key)))
         at = F.col(time).cast("long")
-        one = df.select(F.lit(name).alias("feed"), F.col(key).cast("string").alias("key"), at.alias("ms"), F.col(order).cast("long").alias("sequence"), F.timestamp_millis(at).alias("ts"), body.alias("body"))
+        feed = F.explode(named[name]) if named and name in named else F.lit(name)
+        one = df.select(feed.alias("feed"), F.col(key).cast("string").alias("key"), at.alias("ms"), F.col(order).cast("long").alias("sequence"), F.timestamp_millis(at).alias("ts"), body.alias("body"))
         out = one if out is None else out.unionByName(one)
     return out.withWatermark("ts", lateness) if lateness else out
 
@@ -69,7 +71,7 @@ class CausalBars(StatefulProcessor):
 
     def __init__(self, feeds: Sequence[str], delay_ms: int, grace_ms: int, step_ms: int = SECOND_MS) -> None:
         self.feeds, self.step, self.after = list(feeds), step_ms, step_ms + delay_ms - grace_ms
-        self.fields = ["key", "sample_second_ms", "late", *(f"{f}_{x}" for f in feeds for x in ("rows", "last", "age_ms"))]
+        self.fields = ["key", "sample_second_ms", "late", *(f"{f}_{x}" for f in feeds for x in ("rows", "last", "age_ms", "before", "total"))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -77,7 +79,7 @@ class CausalBars(StatefulProcessor):
         self.kept = handle.getValueState("kept", T.StructType([T.StructField("json", T.StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = json.loads(self.kept.get()[0]) if self.kept.exists() else {"done": None, "late": 0, "last": {}}
+        kept = json.loads(self.kept.get()[0]) if self.kept.exists() else {"done": None, "late": 0, "last": {}, "total": {}}
         fresh: dict[int, list] = {}
         for row in _rows(rows):
             second = row[0] - row[0] % self.step
@@ -110,32 +112,37 @@ class CausalBars(StatefulProcessor):
 
     def bar(self, key: str, second: int, rows: list, kept: dict) -> tuple:
         bodies: dict[str, list[str]] = {f: [] for f in self.feeds}
+        before = {f: body for f, (_, body) in kept["last"].items()}
         for ms, _, feed, body in rows:
             bodies[feed].append(body)
             kept["last"][feed] = [ms, body]
+            kept["total"][feed] = kept["total"].get(feed, 0) + 1
         out: list = [key, second, kept["late"]]
         kept["late"] = 0
         for f in self.feeds:
             ms, body = kept["last"].get(f, (None, None))
-            out += [bodies[f], body, None if ms is None else second + self.step - ms]
+            out += [bodies[f], body, None if ms is None else second + self.step - ms, before.get(f), kept["total"].get(f, 0)]
         return tuple(out)
 
     def close(self) -> None:
         pass
 
 
-def causal_bars(feeds: Mapping[str, DataFrame], key: str = "symbol", time: str = "received_ms", delay_ms: int = DELAY_MS, grace_ms: int = 60_000) -> DataFrame:
+def causal_bars(feeds: Mapping[str, DataFrame], key: str = "symbol", time: str = "received_ms", delay_ms: int = DELAY_MS, grace_ms: int = 60_000, names: Sequence[str] | None = None, named: Mapping[str, Column] | None = None) -> DataFrame:
     """A bar for every second of every key from its first row on: each once, in order, silent ones too.
 
     For each feed: the second's rows (bodies as JSON, in order of time and sequence), the last
-    body so far and its age at the second's end. ``late``: rows that came since the bar before
+    body so far and its age at the second's end, the last body before the second, and how many
+    rows there were so far. ``names`` and ``named`` (see ``tagged``): a feed under several names,
+    each with columns of its own. ``late``: rows that came since the bar before
     for a second that was closed already; they are in no bar. Rows more than ``grace_ms``
     behind the newest are dropped by Spark, which counts them in the query's progress.
     """
-    parts = ", ".join(f"{f}_rows array<string>, {f}_last string, {f}_age_ms long" for f in feeds)
-    stream = tagged(feeds, key, time, lateness=f"{grace_ms} milliseconds").groupBy("key")
+    names = list(names or feeds)
+    parts = ", ".join(f"{f}_rows array<string>, {f}_last string, {f}_age_ms long, {f}_before string, {f}_total long" for f in names)
+    stream = tagged(feeds, key, time, lateness=f"{grace_ms} milliseconds", named=named).groupBy("key")
     return stream.transformWithStateInPandas(
-        statefulProcessor=CausalBars(list(feeds), delay_ms, grace_ms), outputStructType=f"key string, sample_second_ms long, late long, {parts}", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=CausalBars(names, delay_ms, grace_ms), outputStructType=f"key string, sample_second_ms long, late long, {parts}", outputMode="Append", timeMode="EventTime"
     )
 
 
