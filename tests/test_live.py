@@ -79,9 +79,21 @@ def test_late_rows_are_counted(replay):
     batches = [[("a", T0, 1, "x", 1), ("a", T0 + 5_000, 2, "x", 2)], [("a", T0 + 5_500, 5, "x", 5)], [("a", T0 + 100, 3, "x", 3)], [("a", T0 + 9_000, 4, "x", 4)], [far(T0 + 500_000)]]
     out = [r for r in replay({"only": batches}, lambda only: live.causal_bars({"only": only}, "key", "ms")) if r["key"] == "a"]
     assert [(r["sample_second_ms"] - T0) // 1_000 for r in out] == list(range(10))
+    told = next(i for i, r in enumerate(out) if r["late"])
+    assert [r["gap_ms"] for r in out] == [None] * told + [T0 + (told + 1) * 1_000] * (10 - told)
     assert sum(r["late"] for r in out) == 1 and [len(r["only_rows"]) for r in out] == [1, 0, 0, 0, 0, 2, 0, 0, 0, 1]
 
 
+def test_late_rows_under_lasting_names():
+    bars, kept = live.CausalBars(["mark", "trade"], 250, 60_000, lasting=["mark"]), {"late": 2, "gap": None, "last": {"mark": [T0 + 100, "old"]}, "total": {"mark": 1}}
+    bars.take((T0 + 200, 5, "mark", "late"), kept)
+    bars.take((T0 + 50, 4, "mark", "older"), kept)
+    row = dict(zip(bars.fields, bars.bar("a", T0 + 1_000, [(T0 + 1_500, 6, "trade", "t")], kept)))
+    assert (row["late"], row["gap_ms"], row["mark_last"], row["mark_total"], row["mark_rows"], row["trade_before"]) == (2, T0 + 2_000, "late", 3, [], None)
+    later = dict(zip(bars.fields, bars.bar("a", T0 + 2_000, [], kept)))
+    assert (later["late"], later["gap_ms"], later["trade_before"], later["trade_age_ms"]) == (0, T0 + 2_000, "t", 1_500)
+
+
 def test_asof_pairs(replay):
     rng = random.Random(8)
     left = [(rng.choice("ab"), T0 + rng.randrange(0, 20_000, 10), i, "l", i) for i in range(60)]

@@ -69,9 +69,10 @@ class CausalBars(StatefulProcessor):
     that rows which come too late still get here and are counted.
     """
 
-    def __init__(self, feeds: Sequence[str], delay_ms: int, grace_ms: int, step_ms: int = SECOND_MS) -> None:
+    def __init__(self, feeds: Sequence[str], delay_ms: int, grace_ms: int, step_ms: int = SECOND_MS, lasting: Sequence[str] = ()) -> None:
+        self.lasting = set(lasting)
         self.feeds, self.step, self.after = list(feeds), step_ms, step_ms + delay_ms - grace_ms
-        self.fields = ["key", "sample_second_ms", "late", *(f"{f}_{x}" for f in feeds for x in ("rows", "last", "age_ms", "before", "total"))]
+        self.fields = ["key", "sample_second_ms", "late", "gap_ms", *(f"{f}_{x}" for f in feeds for x in ("rows", "last", "age_ms", "before", "total"))]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -79,12 +80,14 @@ class CausalBars(StatefulProcessor):
         self.kept = handle.getValueState("kept", T.StructType([T.StructField("json", T.StringType())]))
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        kept = json.loads(self.kept.get()[0]) if self.kept.exists() else {"done": None, "late": 0, "last": {}, "total": {}}
+        kept = json.loads(self.kept.get()[0]) if self.kept.exists() else {"done": None, "late": 0, "gap": None, "last": {}, "total": {}}
         fresh: dict[int, list] = {}
         for row in _rows(rows):
             second = row[0] - row[0] % self.step
             if kept["done"] is not None and second < kept["done"]:
                 kept["late"] += 1  # its second is closed: the next bar tells
+                if row[2] in self.lasting:
+                    self.take(row, kept)
             else:
                 fresh.setdefault(second, []).append(row)
         for second, more in fresh.items():
@@ -110,14 +113,22 @@ class CausalBars(StatefulProcessor):
         self.held.removeKey((second,))
         self.kept.update((_text(kept),))
 
+    def take(self, row: Sequence, kept: dict) -> None:
+        """Make ``row`` its feed's last one, unless that is newer."""
+        ms, _, feed, body = row
+        if ms >= kept["last"].get(feed, (ms,))[0]:
+            kept["last"][feed] = [ms, body]
+        kept["total"][feed] = kept["total"].get(feed, 0) + 1
+
     def bar(self, key: str, second: int, rows: list, kept: dict) -> tuple:
         bodies: dict[str, list[str]] = {f: [] for f in self.feeds}
         before = {f: body for f, (_, body) in kept["last"].items()}
-        for ms, _, feed, body in rows:
-            bodies[feed].append(body)
-            kept["last"][feed] = [ms, body]
-            kept["total"][feed] = kept["total"].get(feed, 0) + 1
-        out: list = [key, second, kept["late"]]
+        for row in rows:
+            bodies[row[2]].append(row[3])
+            self.take(row, kept)
+        if kept["late"]:
+            kept["gap"] = second + self.step
+        out: list = [key, second, kept["late"], kept["gap"]]
         kept["late"] = 0
         for f in self.feeds:
             ms, body = kept["last"].get(f, (None, None))
@@ -128,21 +139,23 @@ class CausalBars(StatefulProcessor):
         pass
 
 
-def causal_bars(feeds: Mapping[str, DataFrame], key: str = "symbol", time: str = "received_ms", delay_ms: int = DELAY_MS, grace_ms: int = 60_000, names: Sequence[str] | None = None, named: Mapping[str, Column] | None = None) -> DataFrame:
+def causal_bars(feeds: Mapping[str, DataFrame], key: str = "symbol", time: str = "received_ms", delay_ms: int = DELAY_MS, grace_ms: int = 60_000, names: Sequence[str] | None = None, named: Mapping[str, Column] | None = None, lasting: Sequence[str] = ()) -> DataFrame:
     """A bar for every second of every key from its first row on: each once, in order, silent ones too.
 
     For each feed: the second's rows (bodies as JSON, in order of time and sequence), the last
     body so far and its age at the second's end, the last body before the second, and how many
     rows there were so far. ``names`` and ``named`` (see ``tagged``): a feed under several names,
     each with columns of its own. ``late``: rows that came since the bar before
-    for a second that was closed already; they are in no bar. Rows more than ``grace_ms``
+    for a second that was closed already; they are in no bar, but under a name in
+    ``lasting`` count for what is last and how many there were. ``gap_ms``: the end of the newest
+    second whose bar told of late rows. Rows more than ``grace_ms``
     behind the newest are dropped by Spark, which counts them in the query's progress.
     """
     names = list(names or feeds)
     parts = ", ".join(f"{f}_rows array<string>, {f}_last string, {f}_age_ms long, {f}_before string, {f}_total long" for f in names)
     stream = tagged(feeds, key, time, lateness=f"{grace_ms} milliseconds", named=named).groupBy("key")
     return stream.transformWithStateInPandas(
-        statefulProcessor=CausalBars(names, delay_ms, grace_ms), outputStructType=f"key string, sample_second_ms long, late long, {parts}", outputMode="Append", timeMode="EventTime"
+        statefulProcessor=CausalBars(names, delay_ms, grace_ms, lasting=lasting), outputStructType=f"key string, sample_second_ms long, late long, gap_ms long, {parts}", outputMode="Append", timeMode="EventTime"
     )
 
 

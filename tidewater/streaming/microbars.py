@@ -54,16 +54,20 @@ def _names() -> dict[str, Column]:
 
 
 def second_stream(feeds: Mapping[str, DataFrame], delay_ms: int = DELAY_MS, grace_ms: int = 60_000) -> DataFrame:
-    """Closed seconds of each symbol over the feeds of ``FEEDS`` (the arguments of ``micro.micro_bars``)."""
+    """Closed seconds of each symbol over the feeds of ``FEEDS`` (the arguments of ``micro.micro_bars``).
+
+    A connection marker that comes late still tells the connection's state; any other late row is left out.
+    """
     names = {**{f: (f,) for f in FEEDS}, **NAMES}
-    return causal_bars(_prepared(feeds), "symbol", "received_ms", delay_ms, grace_ms, names=[n for f in FEEDS for n in names[f]], named=_names())
+    return causal_bars(_prepared(feeds), "symbol", "received_ms", delay_ms, grace_ms, names=[n for f in FEEDS for n in names[f]], named=_names(), lasting=NAMES["marker"])
 
 
 def bars_of_seconds(seconds: DataFrame, types: Mapping[str, T.StructType], jitter_ms: int = 0) -> DataFrame:
     """The bars of ``micro.micro_bars`` for closed seconds; ``types`` are those of ``schemas``.
 
     A snapshot's order flow is against the last one received before it, if that is of the
-    same epoch. ``seconds`` is read several times: persist a micro-batch first.
+    same epoch. Late rows start a cool-down at the end of the second that tells of them.
+    ``seconds`` is read several times: persist a micro-batch first.
     """
     of = {n: types[f] for f in FEEDS for n in NAMES.get(f, (f,))}
     last = lambda n: F.from_json(f"{n}_last", of[n])
@@ -83,7 +87,7 @@ def bars_of_seconds(seconds: DataFrame, types: Mapping[str, T.StructType], jitte
     for c in CONNECTIONS:
         held[f"open_{c}"] = last(f"open_{c}")["event"] == "open"
     markers = [last(n)["received_ms"] + COOL_DOWN for n in NAMES["marker"]]
-    held["unhealthy_until_ms"] = F.coalesce(F.greatest(*markers), F.lit(0))
+    held["unhealthy_until_ms"] = F.coalesce(F.greatest(*markers, F.col("gap_ms") + COOL_DOWN), F.lit(0))
     held["connection_errors"] = F.col("closes_total")
     earlier = sum((F.col(f"{n}_total") - F.size(f"{n}_rows") for n in of), F.lit(0))
     held["sample_span_ms"] = F.when(earlier > 0, F.lit(SECOND_MS).cast("long"))
