@@ -47,6 +47,22 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_levels_round_as_their_sql_does(spark, tmp_path):
+    """Parts whose thousandfold is a tie in single precision only, and shares that are a tie in six places as text only."""
+    np, pa, pq = pytest.importorskip("numpy"), pytest.importorskip("pyarrow"), pytest.importorskip("pyarrow.parquet")
+    x = (np.arange(1, 4000) / 2000).astype(np.float32)
+    tied = x[(x * np.float32(1000) % 1 == 0.5) & (x.astype(np.float64) * 1000 % 1 != 0.5)]
+    rows = [[v, 0.5, -v, 1.0] * 3 for v in tied.tolist()]
+    rows += [[(d - k) / 2000] + [0.0] * 4 + [(d + k) / 2000] + [0.0] * 4 for d in (1920, 3200) for k in range(1, 1200, 2)]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "embeddings.parquet")
+    con = pytest.importorskip("duckdb").connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    found = con.execute(entry.oracle_sql()["nearest_level_imbalance"])
+    columns = [c[0] for c in found.description]
+    got = entry.queries()["nearest_level_imbalance"](spark, str(tmp_path)).select(columns).collect()
+    assert len(tied) > 100 and sorted(map(tuple, got)) == sorted(found.fetchall())
+
+
 def test_whole_series_hold_every_event(spark):
     """The one-day queries end after a day; these reach from the first event to the last."""
     get = lambda name: entry.queries()[name](spark, DATA)

@@ -20,8 +20,12 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def ratio_double(a: Column, b: Column, places: int = 6) -> Column:
-    """As ``ratio`` in doubles, rounded: comparable with engines that divide in doubles."""
-    return F.when(b > 0, F.round(a.cast("double") / b.cast("double"), places))
+    """As ``ratio`` in doubles, rounded: comparable with engines that divide in doubles.
+
+    They round the scaled double, while ``round`` to places goes by its shortest decimal text.
+    """
+    scale = 10.0**places
+    return F.when(b > 0, F.round(a.cast("double") / b.cast("double") * scale) / scale)
 
 
 def mid(bid: Column, ask: Column) -> Column:

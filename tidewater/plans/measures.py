@@ -68,8 +68,11 @@ SELECT vec_id, len(v) AS size, CAST(list_sum(b5) AS BIGINT) AS bid_5, CAST(list_
 CASE WHEN list_sum(b5) + list_sum(a5) > 0 THEN round(CAST(list_sum(b5) - list_sum(a5) AS DOUBLE) / CAST(list_sum(b5) + list_sum(a5) AS DOUBLE), 6) END AS imbalance_5 FROM s""")
 def nearest_level_imbalance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums over the first levels of two sides, taken from the parts of a vector."""
-    v = F.transform("embedding", lambda x: F.round(F.abs(x.cast("double")) * 1000).cast("long"))
-    rows = load(spark, sf_dir, "embeddings").select("vec_id", v.alias("v")).select("vec_id", "v", F.slice("v", 1, 5).alias("b"), F.slice("v", 6, 5).alias("a"))
+    rows = load(spark, sf_dir, "embeddings")
+    # in the vector's own type: of single-precision parts the product is rounded to single precision, as in the SQL
+    part = dict(rows.dtypes)["embedding"].removeprefix("array<").removesuffix(">")
+    v = F.transform("embedding", lambda x: F.round((F.abs(x) * F.lit(1000).cast(part)).cast("double")).cast("long"))
+    rows = rows.select("vec_id", v.alias("v")).select("vec_id", "v", F.slice("v", 1, 5).alias("b"), F.slice("v", 6, 5).alias("a"))
     total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
     share = n.ratio_double(total("b") - total("a"), total("b") + total("a"))
     return rows.select(
