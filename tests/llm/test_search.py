@@ -136,6 +136,20 @@ def test_near_vectors(spark):
     assert vec.near_vectors(table.limit(0)).count() == 0
 
 
+def test_no_link_is_left_out(spark):
+    """Pairs just over the threshold, far from all others: beams miss some of them, and too few for an audit to see."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2_500, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = rng.normal(size=x.shape)
+    y -= np.einsum("nd,nd->n", x, y)[:, None] * x
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, 0.9005 * x + math.sqrt(1 - 0.9005**2) * y]))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r[0]: (r[1], r[2]) for r in vec.near_vectors(table, shards=2).collect()}
+    assert len(got) == 5_000 and all(got[i] == (1, i % 2_500) for i in range(5_000))
+
+
 def test_graph_finds_neighbours():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3_000, 24)).astype(np.float32)

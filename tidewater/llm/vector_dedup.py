@@ -1,23 +1,24 @@
-"""Embedding near-dedup: small-world graphs by shard, queried whole, verified in doubles.
+"""Embedding near-dedup: small-world graphs by shard, queried whole, then checked in full, verified in doubles.
 
 Vectors of one direction (equal bits after scaling) are one class and are looked at once.
 The classes are dealt into shards by a hash. Of every shard one task builds a hierarchical
 navigable small-world graph: the vectors are put in by batches of growing size; every one
 is led down the upper levels, finds its neighbours by a beam in the graph so far and among
-its own batch, keeps the diverse ones of them, and is linked both ways. Every class then
-queries every shard, many queries of a task in step. A task first takes an audit of its own
-queries, spread over all of them, and widens the beam until the links that it finds in the
-shard reach ``RECALL`` of those that comparing the audit with the whole shard finds; at a
-width of the whole shard nothing can be missed.
+its own batch, keeps the diverse ones of them, and is linked both ways.
 
-A shard also keeps its own components: the linked vectors of one shard, found in the same
-way. A query that meets a vector of a component is compared with all its members, so a beam
-need not hold a large group. All links are verified by cosine in doubles. What leaves a task
-for a query is a count of its links and one link for each component that it meets, never
-the pairs of a group; the components of all shards are united over these.
+Every two shards meet in one task: the vectors of the first query the graph of the second,
+many in step. The task first takes an audit of its own queries, spread over all of them, and
+widens the beam until ``RECALL`` of those that have a link there find one. A beam may still
+miss links, so an exact check follows: the step's queries are compared with the whole shard
+in single precision, and what the graph hasn't found and can't be ruled out is settled in
+doubles. No link is left out, whatever the graph finds.
 
-Shards hold ``SHARD_ROWS`` classes at most, and there are ``SHARDS`` of them at least, which
-keeps the number of graphs that a query visits level until a shard is full.
+What leaves a task is, for each class with a link, the count of its links and one class
+that it is joined to there, never the pairs of a group; the components are united over these.
+
+A shard holds ``SHARD_BYTES`` of doubles at most, so a task's memory is bounded for vectors of
+any length. Vectors move as they were given, in single precision if that holds them exactly,
+one row each, and each goes once to every shard.
 
 Defined results:
 * null vectors, empty ones, ones of zeros and ones with null or non-finite components link
@@ -29,11 +30,13 @@ Defined results:
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,9 +47,9 @@ LEAST_COSINE = 0.9
 #: Neighbours on the upper levels, and on the ground level; width of the beam while building and at first while searching.
 LINKS, GROUND, BUILD_WIDTH, WIDTH = 12, 24, 48, 16
 RECALL, AUDIT = 0.99, 256
-SHARDS, SHARD_ROWS = 8, 65_536
-#: Queries that walk a graph in step, and queries of one task.
-STEP, TASK_QUERIES = 256, 8_192
+SHARDS, SHARD_BYTES = 8, 32 << 20
+#: Queries that walk a graph in step, and links that are looked at together.
+STEP, TOGETHER = 256, 1 << 20
 #: Single-precision cosines are trusted to this distance; nearer ones are settled in doubles.
 SLACK = 1e-4
 
@@ -184,8 +187,9 @@ def nearest(graph: Graph, queries: np.ndarray, width: int) -> tuple[np.ndarray,
 def _pairs(graph: Graph, exact: np.ndarray, queries: np.ndarray, width: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) with a cosine of at least ``least`` in doubles: of what a beam of ``width`` finds, or all if it is as wide as the shard."""
     if width >= len(exact):
-        found = [np.nonzero(queries[k : k + STEP] @ exact.T >= least) for k in range(0, len(queries), STEP)]
-        return np.concatenate([q + k * STEP for k, (q, _) in enumerate(found)]), np.concatenate([node for _, node in found])
+        few = STEP // 4
+        found = [np.nonzero(queries[k : k + few] @ exact.T >= least) for k in range(0, len(queries), few)]
+        return np.concatenate([q + k * few for k, (q, _) in enumerate(found)]), np.concatenate([node for _, node in found])
     node, near = nearest(graph, queries.astype(np.float32), width)
     q, k = np.nonzero((near >= least - SLACK) & (node >= 0))
     return _verified(exact, queries, q, node[q, k], least)
@@ -215,9 +219,11 @@ def audited_width(graph: Graph, exact: np.ndarray, queries: np.ndarray, least: f
     return width
 
 
-def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least node of the component of each of ``n`` nodes under links a - b."""
-    root = np.arange(n)
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray | None = None) -> np.ndarray:
+    """The least node of the component of each of ``n`` nodes under links a - b and those that gave ``root``."""
+    root = np.arange(n) if root is None else root
+    apart = root[a] != root[b]
+    a, b = a[apart], b[apart]
     while len(a):
         low = np.minimum(root[a], root[b])
         np.minimum.at(root, root[a], low)
@@ -229,107 +235,140 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-CLASSES = "class long, size long, dim int, shard int, unit binary"
-SHARD = "shard int, dim int, part int, class binary, size binary, unit binary, root binary, start int, links array<binary>"
+def pair_links(graph: Graph, own: np.ndarray, there: np.ndarray, size: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes of ``own`` and then of ``there`` (unit vectors, those of the graph): rows that each links with in the other, and the least node that it is joined to.
+
+    If ``there`` is ``own``, the nodes are counted once. ``size`` holds the rows of each node.
+    """
+    same, at = there is own, 0 if there is own else len(own)
+    slack = SLACK + 1.2e-7 * own.shape[1]
+    n, root = np.zeros(at + len(there)), np.arange(at + len(there))
+    asked, against = own.astype(np.float32), graph.vectors
+    width = audited_width(graph, there, own, least, None if same else np.zeros(len(there), np.int64))
+    for k in range(0, len(own), STEP):
+        step = slice(k, k + STEP)
+        q, node = _pairs(graph, there, own[step], width, least) if width < len(there) else (np.zeros(0, np.int64),) * 2
+        cosine = asked[step] @ against.T
+        near = cosine >= least - slack
+        if same:  # every pair once
+            near &= np.arange(len(there)) > np.arange(k, k + len(near))[:, None]
+            q, node = q[node > q + k], node[node > q + k]
+        near[q, node] = False
+        n, root = _joined(n, root, q + k, node + at, size)
+        ends = np.cumsum(near.sum(1))
+        row = 0
+        while row < len(near) and ends[-1] > (ends[row - 1] if row else 0):
+            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + TOGETHER, side="right")))
+            q, node = np.nonzero(near[row:to])
+            sure = cosine[q + row, node] >= least + slack
+            more = _verified(there, own, q[~sure] + row + k, node[~sure], least)
+            n, root = _joined(n, root, np.concatenate([q[sure] + row + k, more[0]]), np.concatenate([node[sure], more[1]]) + at, size)
+            row = to
+    return n.astype(np.int64), root
+
+
+def _joined(n: np.ndarray, root: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(a):
+        n = n + np.bincount(a, size[b], len(n)) + np.bincount(b, size[a], len(n))
+        root = local_roots(len(n), a, b, root)
+    return n, root
+
+
+GRAPH = "dim int, shard int, start int, links array<binary>"
+MET = "class long, n long, met long"
 
 
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (row, vec_id, key), key null where a vector links with nothing; and their classes (class, size, dim, unit)."""
+    """Rows (row, vec_id, key), key null where a vector links with nothing; and their classes (key, class, size, dim, raw)."""
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            units = []
+            dims, raws, keys = [], [], []
             for x in batch.column("embedding"):
                 v = x.as_py()
                 v = np.array([np.nan if c is None else c for c in v], np.float64) if v else None
                 if v is None or not np.isfinite(v).all() or not v.any():
-                    units.append(None)
+                    dims.append(None), raws.append(None), keys.append(None)
                     continue
-                v = v / np.abs(v).max()
-                units.append((v / np.sqrt(v @ v) + 0.0).astype("<f8").tobytes())
-            yield pa.record_batch([batch.column("row"), batch.column("vec_id"), pa.array(units, pa.binary())], names=["row", "vec_id", "unit"])
+                with np.errstate(over="ignore"):
+                    short = v.astype("<f4")
+                dims.append(len(v))
+                raws.append(short.tobytes() if (short == v).all() else v.astype("<f8").tobytes())
+                keys.append(hashlib.sha256(_scaled(v[None])[0].tobytes()).hexdigest())
+            columns = [batch.column("row"), batch.column("vec_id"), pa.array(dims, pa.int32()), pa.array(raws, pa.binary()), pa.array(keys, pa.string())]
+            yield pa.record_batch(columns, names=["row", "vec_id", "dim", "raw", "key"])
 
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = staged(rows.mapInArrow(unit, "row long, vec_id long, unit binary").withColumn("key", F.sha2("unit", 256)), "vectors")
-    classes = rows.filter("unit IS NOT NULL").groupBy("key").agg(F.min("row").alias("class"), F.count("*").alias("size"), F.first("unit").alias("unit"))
-    classes = classes.withColumn("dim", (F.octet_length("unit") / 8).cast("int"))
-    return rows.drop("unit"), staged(classes, "vector-classes")
-
-
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(-1, dim)
+    rows = staged(rows.mapInArrow(unit, "row long, vec_id long, dim int, raw binary, key string"), "vectors")
+    classes = rows.filter("key IS NOT NULL").groupBy("key", "dim").agg(F.min("row").alias("class"), F.count("*").alias("size"), F.first("raw").alias("raw"))
+    return rows.drop("raw", "dim"), staged(classes, "vector-classes")
 
 
-def shard_graphs(classes: DataFrame, shards: int, parts: int, least: float) -> DataFrame:
-    """One row a shard, given out for each of ``parts`` (``SHARD``): its vectors, graph and components."""
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows, whose length may be beyond what doubles can square."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None] + 0.0
 
-    def index(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("class")
-        dim = rows.column("dim")[0].as_py()
-        exact = _matrix(rows.column("unit"), dim)
-        graph = build(exact.astype(np.float32))
-        q, node = _pairs(graph, exact, exact, audited_width(graph, exact, exact, least), least)
-        root = local_roots(len(exact), q, node)
-        links = [x.astype("<i4").tobytes() for x in graph.links]
-        numbers = [rows.column(c).to_numpy().astype("<i8").tobytes() for c in ("class", "size")]
-        values = [rows.column("shard")[0].as_py(), dim, 0, *numbers, exact.astype("<f8").tobytes(), root.astype("<i4").tobytes(), graph.start, links]
-        return pa.table({n: pa.array([v], t) for n, v, t in zip(SHARD_NAMES, values, SHARD_KINDS)})
-
-    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
-    graphs = staged(dealt.select("class", "size", "dim", "shard", "unit").groupBy("dim", "shard").applyInArrow(index, SHARD), "graphs")
-    return graphs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
+def _units(raw: pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Unit vectors in doubles of vectors that are given in either precision."""
+    out, short = np.empty((len(raw), dim)), pc.equal(pc.binary_length(raw), 4 * dim)
+    for mask, kind in ((short, "<f4"), (pc.invert(short), "<f8")):
+        out[mask.to_numpy()] = np.frombuffer(b"".join(raw.filter(mask).to_pylist()), kind).reshape(-1, dim)
+    return _scaled(out)
 
-SHARD_NAMES = [x.split()[0] for x in SHARD.split(", ")]
-SHARD_KINDS = [pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int32(), pa.list_(pa.binary())]
-MET = "class long, n long, met long"
 
+def shard_graphs(dealt: DataFrame) -> DataFrame:
+    """One row a shard (``GRAPH``): the graph of its classes, numbered in their order."""
 
-def meet(graphs: DataFrame, classes: DataFrame, shards: int, parts: int, least: float) -> DataFrame:
-    """(class, n, met): by shard, the rows that a class links with there, and a class of each component that it meets."""
-
-    def search(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if shard.num_rows and queries.num_rows:
-            s = shard.slice(0, 1).to_pylist()[0]
-            exact = np.frombuffer(s["unit"], "<f8").reshape(-1, s["dim"])
-            ids, size, root = np.frombuffer(s["class"], "<i8"), np.frombuffer(s["size"], "<i8"), np.frombuffer(s["root"], "<i4").astype(np.int64)
-            graph = Graph(exact.astype(np.float32), [np.frombuffer(x, "<i4").astype(np.int64).reshape(len(exact), -1) for x in s["links"]], s["start"])
-            queries = queries.sort_by("class")
-            asked, own = _matrix(queries.column("unit"), s["dim"]), queries.column("class").to_numpy()
-            q, node = _pairs(graph, exact, asked, audited_width(graph, exact, asked, least, root), least)
-            met = np.unique(root[node] * len(asked) + q)  # by component, the queries that meet it
-            members = np.argsort(root, kind="stable")
-            edge = np.flatnonzero(np.diff(met // len(asked), prepend=-1, append=-1))
-            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                low, high = np.searchsorted(root[members], [met[a] // len(asked), met[a] // len(asked) + 1])
-                for k in range(a, b, 512):
-                    who = met[k : min(k + 512, b)] % len(asked)
-                    n, first = np.zeros(len(who), np.int64), np.full(len(who), -1)
-                    for m in range(low, high, 4_096):
-                        member = members[m : min(m + 4_096, high)]
-                        near = (asked[who] @ exact[member].T >= least) & (own[who][:, None] != ids[member])
-                        n += near @ size[member]
-                        first = np.where((first < 0) & near.any(1), ids[member][near.argmax(1)], first)
-                    hit = first >= 0
-                    out[0] += own[who[hit]].tolist()
-                    out[1] += n[hit].tolist()
-                    out[2] += first[hit].tolist()
-        return pa.table({n: pa.array(x, t) for n, x, t in zip(("class", "n", "met"), out, [pa.int64()] * 3)})
-
-    asked = classes.select("class", "dim", "unit", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("class", F.lit(1)), F.lit(parts)).cast("int"))
-    by = ("dim", "shard", "part")
-    return graphs.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, MET)
+    def index(rows: pa.Table) -> pa.Table:
+        rows, dim = rows.sort_by("class"), rows.column("dim")[0].as_py()
+        graph = build(_units(rows.column("raw"), dim).astype(np.float32))
+        links = [pa.compress(x.astype("<i4").tobytes(), "zstd", asbytes=True) for x in graph.links]
+        kinds = (("dim", dim, pa.int32()), ("shard", rows.column("shard")[0].as_py(), pa.int32()), ("start", graph.start, pa.int32()), ("links", links, pa.list_(pa.binary())))
+        return pa.table({name: pa.array([x], kind) for name, x, kind in kinds})
+
+    return staged(dealt.groupBy("dim", "shard").applyInArrow(index, GRAPH), "graphs")
+
+
+def meet(graphs: DataFrame, dealt: DataFrame, shards: int, least: float) -> DataFrame:
+    """(class, n, met): by two shards, the rows that a class links with in the other, and one class for all that are joined in these."""
+
+    def search(there: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        if there.num_rows and rows.num_rows:
+            low = rows.column("low")[0].as_py()
+            g = there.slice(0, 1).to_pylist()[0]
+            rows = rows.sort_by([("shard", "ascending"), ("class", "ascending")])
+            exact, shard = _units(rows.column("raw"), g["dim"]), rows.column("shard").to_numpy()
+            ids, size = rows.column("class").to_numpy(), rows.column("size").to_numpy()
+            other = exact[shard == g["shard"]]
+            wide = [GROUND] + [LINKS] * (len(g["links"]) - 1)
+            links = [np.frombuffer(pa.decompress(x, len(other) * w * 4, "zstd"), "<i4").astype(np.int64).reshape(-1, w) for x, w in zip(g["links"], wide)]
+            graph = Graph(other.astype(np.float32), links, g["start"])
+            own = other if low == g["shard"] else exact[shard == low]
+            if len(own):
+                n, root = pair_links(graph, own, other, size, least)
+                some = np.flatnonzero(n)
+                out = [ids[some], n[some], ids[root[some]]]
+        return pa.table({name: pa.array(x, pa.int64()) for name, x in zip(("class", "n", "met"), out)})
+
+    low, high = (f(F.col("shard"), F.col("other")).alias(name) for f, name in ((F.least, "low"), (F.greatest, "high")))
+    each = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("other")
+    graphs = graphs.select("dim", "shard", "start", "links", each).filter("other <= shard").select("dim", low, high, "shard", "start", "links")
+    rows = dealt.select("dim", "shard", "class", "size", "raw", each).select("dim", low, high, "shard", "class", "size", "raw")
+    by, tasks = ("dim", "low", "high"), 2 * shards * (shards + 1)
+    dealt_out = (x.repartition(tasks, *by).groupBy(*by) for x in (graphs, rows))
+    return next(dealt_out).cogroup(next(dealt_out)).applyInArrow(search, MET)
 
 
 def near_vectors(vectors: DataFrame, least: float = LEAST_COSINE, shards: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     rows, classes = classes_of(vectors)
-    n = classes.count()
-    shards = shards or max(SHARDS, -(-n // SHARD_ROWS))
-    parts = max(1, -(-n // TASK_QUERIES))
-    met = staged(meet(shard_graphs(classes, shards, parts, least), classes, shards, parts, least), "met")
+    n_bytes = classes.agg(F.sum("dim")).first()[0] or 0
+    shards = shards or max(SHARDS, -(-8 * n_bytes // SHARD_BYTES))
+    dealt = classes.withColumn("shard", F.pmod(F.xxhash64("class"), F.lit(shards)).cast("int"))
+    met = staged(meet(shard_graphs(dealt), dealt, shards, least), "met")
     links = met.select(F.col("class").alias("a"), F.col("met").alias("b"))
     roots = components(links).select(F.col("node").alias("class"), "root")
     counted = classes.select("key", "class", "size").join(met.groupBy("class").agg(F.sum("n").alias("n")), "class", "left")
