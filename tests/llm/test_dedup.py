@@ -149,6 +149,15 @@ def test_simhash(docs, awkward):
     assert Counter(got) == Counter(want)
 
 
+def test_points_of_large_buckets_are_never_broadcast(spark):
+    """Members are few bytes for the planner, but each has 2,081 points, whose rows a driver can't hold."""
+    nodes = spark.range(40).selectExpr("id % 8 AS fp").distinct()
+    linked = sim.links(nodes, 4, 1)
+    assert len(linked.collect()) >= 7  # the plan is final only then
+    plan = linked._jdf.queryExecution().executedPlan().toString()
+    assert "point#" in plan and not re.search(r"BroadcastHashJoin \[point#", plan)
+
+
 @pytest.mark.parametrize("bucket_limit", [2000, 3])
 def test_links_join_what_all_pairs_join(spark, bucket_limit):
     """Random fingerprints with dense balls around a few, with and without hot buckets."""

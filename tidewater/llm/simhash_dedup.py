@@ -232,7 +232,8 @@ def links(nodes: DataFrame, distance: int = DISTANCE, bucket_limit: int = BUCKET
     points = members.select("fp", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
     points = points.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
     least = points.groupBy("point").agg(F.min("fp").alias("b"))
-    linked = points.join(least, "point").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+    # Spark's size estimate doesn't know of the thousands of points of a member: by it, it would broadcast them all
+    linked = points.hint("merge").join(least.hint("merge"), "point").filter("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
     return found.unionByName(linked)
 
 
