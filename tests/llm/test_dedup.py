@@ -13,12 +13,13 @@ import pytest
 import xxhash
 
 from tidewater.llm import exact_dedup as exact
+from tidewater.llm import quality as qual
 from tidewater.llm import simhash_dedup as sim
 from tidewater.llm import substring_dedup as sub
 from tidewater.llm import suffix_dedup as suf
 from tidewater.llm.components import components
 from tidewater.llm.exact_dedup import exact_dedup, survivors
-from tidewater.llm.shared import ASCII_LOWER
+from tidewater.llm.shared import ASCII_LOWER, TEXT_ROWS
 
 
 def low(text):
@@ -82,6 +83,30 @@ def test_runs_merge_without_sorting():
         assert got == want and list(out["key"]) == sorted(out["key"])
 
 
+def test_a_task_of_the_merge_has_one_python_worker(spark, docs):
+    plan = exact.merged_runs(exact.staged(exact.digests(docs), "digests"))._jdf.queryExecution().sparkPlan().toString()
+    nodes = [line.strip(" +-:*") for line in plan.splitlines() if not re.match(r"\W*(Project|Sort)\b", line)]
+    assert sum(x.startswith("MapInArrow") for x in nodes) > 2
+    assert not any(x.startswith("MapInArrow") and y.startswith("MapInArrow") for x, y in zip(nodes, nodes[1:]))
+
+
+def test_whole_texts_go_to_workers_by_few_rows(spark, docs, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(name)
+    for module in (exact, sim, qual):
+
+        def noted(df, what, staged=module.staged):
+            seen[what] = int(spark.conf.get(name))
+            return staged(df, what)
+
+        monkeypatch.setattr(module, "staged", noted)
+    exact.survivors(docs)
+    sim.near_duplicate_rows(docs)
+    qual.quality_rows(docs, spark.createDataFrame([(1, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert all(seen[x] == TEXT_ROWS < int(before) for x in ("digests", "fingerprints", "keys"))
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("piece", [1, 3])
 def test_long_runs_come_in_pieces(spark, monkeypatch, piece):
     """Many pieces a run, in this process: keys, best ids and counts stay whole."""

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import ASCII_LOWER, BROADCAST_IDS, row_key, staged, text_chunks, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, BROADCAST_IDS, row_key, small_batches, staged, text_chunks, utf8_view
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DIGESTS = "doc_id long, digest binary, n_bytes long, second binary, row_key long"
@@ -191,7 +191,7 @@ def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 2, ranges
         yield from _merge(batches, largest)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in merge(batches):
             for raw in batch.column("entries").to_pylist():
                 x = np.frombuffer(raw, _ENTRY)
                 key = np.frombuffer(x["key"].tobytes(), np.uint8).reshape(len(x), 56)
@@ -205,10 +205,11 @@ def merged_runs(found: DataFrame, keep: str = "largest", fan_in: int = 2, ranges
     while blocks > 1 or not done:
         blocks, done = -(-blocks // fan_in), done + 1
         runs = runs.withColumn("block", F.floor(F.col("block") / fan_in).cast("int")).repartition(tasks, "bucket", "block")
-        runs = runs.sortWithinPartitions("bucket", "block", "first").mapInArrow(merge, _RUN)
+        runs = runs.sortWithinPartitions("bucket", "block", "first")
+        runs = runs.mapInArrow(merge, _RUN) if blocks > 1 else runs.mapInArrow(texts, _TEXTS)  # one worker a task: merge and read out at once
         if done % ROUNDS == 0 and blocks > 1:
             runs = staged(runs, "runs")
-    return runs.mapInArrow(texts, _TEXTS)
+    return runs
 
 
 def _checked(keep: str) -> str:
@@ -222,7 +223,8 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", fan_in: int = 2) -> Data
 
     ``fan_in`` runs meet in a merge: 2 is the binomial tree, 4 two of its levels at once.
     """
-    found = staged(digests(docs), "digests")
+    with small_batches(docs.sparkSession):
+        found = staged(digests(docs), "digests")
     runs = staged(merged_runs(found, _checked(keep), fan_in).drop("row_key"), "texts")
     return found.join(runs, ["digest", "n_bytes", "second"]).select(
         "doc_id",
@@ -240,7 +242,8 @@ def survivors(docs: DataFrame, keep: str = "largest", most: int = BROADCAST_IDS)
     Up to ``most`` texts with copies are broadcast, so that no text moves; more meet the
     rows by a shuffle.
     """
-    found = staged(digests(docs), "digests")
+    with small_batches(docs.sparkSession):
+        found = staged(digests(docs), "digests")
     runs = merged_runs(found, _checked(keep)).filter("group_size > 1")
     names = ["_digest", "_n_bytes", "_keep_id", "_keep_row", "_n_keeper_rows"]
     groups = staged(runs.select("digest", "n_bytes", "keep_id", "row_key", "n_keeper_rows").toDF(*names), "groups")

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, row_key, staged, sum_blocks, text_chunks, utf8_view
+from tidewater.llm.shared import BLOCK_SCHEMA, block_batch, row_key, small_batches, staged, sum_blocks, text_chunks, utf8_view
 from tidewater.llm.tokens import Tokens, mixed, per_text, tokens_of
 
 #: Bits of the hash, and pseudo-counts that hold the target near the raw model, of unigrams and bigrams.
@@ -201,9 +201,10 @@ def quality_rows(
 ) -> DataFrame:
     """``quality_verdicts`` with ``row_key``, the hash of a row's columns."""
     sample = staged(labelled_sample(labels, max_labelled), "labelled")
-    scored = log_weights(docs, gram_weights(docs, sample, priors, doubt))
     place = F.monotonically_increasing_id().alias("place")
-    keyed = staged(scored.select("*", (F.col("log_weight") + _gumbel(seed)).alias("gumbel_key"), place), "keys")
+    with small_batches(docs.sparkSession):
+        scored = log_weights(docs, gram_weights(docs, sample, priors, doubt))
+        keyed = staged(scored.select("*", (F.col("log_weight") + _gumbel(seed)).alias("gumbel_key"), place), "keys")
     if k is None:
         known = keyed.join(F.broadcast(sample.filter("held")), F.col("doc_id") == F.col("label_id"))
         seen = known.groupBy("label_id").agg(F.min("log_weight").alias("w"), F.min("good").alias("good")).toPandas()

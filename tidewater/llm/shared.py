@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -116,17 +116,29 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int, sort: str | None
 
 
 @contextmanager
-def co_located(spark: SparkSession) -> Iterator[None]:
-    """While a plan is made and run in here, a join by several columns may use a bucketing by one of them."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "false")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def co_located(spark: SparkSession) -> AbstractContextManager[None]:
+    """While a plan is made and run in here, a join by several columns may use a bucketing by one of them."""
+    return _setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
+#: Rows with whole texts that go to a Python worker at once: Spark holds a batch several times over, in its own memory and in the worker's.
+TEXT_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """While a plan is run in here, Python workers get ``TEXT_ROWS`` rows at once."""
+    return _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+
+
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column, null counted as empty."""
     if column.null_count:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.llm.components import components
-from tidewater.llm.shared import ASCII_LOWER, row_key, staged, text_chunks, utf8_view
+from tidewater.llm.shared import ASCII_LOWER, row_key, small_batches, staged, text_chunks, utf8_view
 
 BITS = 64
 SHINGLE = 4
@@ -243,7 +243,8 @@ def near_duplicate_rows(
     """``near_duplicates`` with ``row_key``, the hash of a row's columns, and ``root``, a number of the component."""
     if bucket_limit < 1 or distance % 2:
         raise ValueError("distance is even and bucket_limit at least 1")
-    rows = staged(fingerprints(docs, shingle), "fingerprints")
+    with small_batches(docs.sparkSession):
+        rows = staged(fingerprints(docs, shingle), "fingerprints")
     nodes = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
     roots = components(links(nodes, distance, bucket_limit))
     named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
