@@ -228,3 +228,19 @@ def test_shares_of_very_large_counts(spark):
     n, total = 9_000_000_000_000, 40_000_000_000_000
     row = spark.createDataFrame([(n, total, 7)], "n long, total long, kinds long").select(_share("n", "total")).first()
     assert row[0] == 1 + 10**9 * (n + 1) // (total + 7)
+
+
+def test_exact_check_in_small_pieces(monkeypatch):
+    monkeypatch.setattr(vec, "HELD", 300)
+    monkeypatch.setattr(vec, "PAIRED", 2_000)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(30, 8)).repeat(10, 0) + rng.normal(size=(300, 8)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for own, there in ((x, x), (x[:130], x[130:])):
+        n, root = vec.pair_links(vec.build(there.astype(np.float32)), own, there, np.ones(300, np.int64), 0.9)
+        near = x @ x.T >= 0.9
+        np.fill_diagonal(near, False)
+        if own is not there:
+            near[:130, :130] = near[130:, 130:] = False
+        a, b = np.nonzero(near)
+        assert (n == near.sum(1)).all() and (root == vec.local_roots(300, a, b)).all()

@@ -50,6 +50,10 @@ RECALL, AUDIT = 0.99, 256
 SHARDS, SHARD_BYTES = 8, 32 << 20
 #: Queries that walk a graph in step, and links that are looked at together.
 STEP, TOGETHER = 256, 1 << 20
+#: Cosines that are held at once: in the exact check, and between neighbours of nodes.
+HELD, PAIRED = 1 << 22, 1 << 20
+#: Vectors that are scaled together.
+SCALED = 4096
 #: Single-precision cosines are trusted to this distance; nearer ones are settled in doubles.
 SLACK = 1e-4
 
@@ -106,16 +110,50 @@ def descend(graph: Graph, queries: np.ndarray, to: int) -> np.ndarray:
 
 
 def _diverse(vectors: np.ndarray, near: np.ndarray, cosine: np.ndarray, most: int) -> np.ndarray:
-    """Of ``near`` (best first) those that are nearer to the node (``cosine``) than to any taken before, filled up with the best of the rest."""
-    if len(near) <= most:
-        return near
-    among = vectors[near] @ vectors[near].T
-    taken, left = [], []
-    for k in range(len(near)):
-        (left if taken and among[k, taken].max() >= cosine[k] else taken).append(k)
-        if len(taken) == most:
-            break
-    return near[(taken + left)[:most]]
+    """For each node (row) ``most`` of ``near`` (best first, -1: none), -1 where there are fewer: first those that are nearer to it (``cosine``) than to any taken before, then the best of the rest."""
+    out = np.full((len(near), most), -1, np.int64)
+    few = max(1, PAIRED // near.shape[1] ** 2)
+    for at in range(0, len(near), few):
+        own, close = near[at : at + few], cosine[at : at + few]
+        node = vectors[own]
+        among = node @ node.transpose(0, 2, 1)
+        taken, nearest_taken = np.zeros(own.shape, bool), np.full(own.shape, -np.inf, np.float32)
+        for k in range(own.shape[1]):
+            taken[:, k] = (own[:, k] >= 0) & (nearest_taken[:, k] < close[:, k]) & (taken.sum(1) < most)
+            np.maximum(nearest_taken, among[:, k], out=nearest_taken, where=taken[:, k, None])
+        order = np.argsort(np.where(own < 0, 2, ~taken), 1, kind="stable")[:, :most]
+        out[at : at + few, : order.shape[1]] = np.take_along_axis(own, order, 1)
+    return out
+
+
+def _padded(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """``n`` rows, filled up with -1, of values with the number of their row; both in the order of rows."""
+    count = np.bincount(rows, minlength=n)
+    out = np.full((n, max(1, int(count.max(initial=0)))), -1, np.int64)
+    out[rows, np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)] = values
+    return out
+
+
+def _linked_back(vectors: np.ndarray, links: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Put links b - a into the table of ``links``; nodes that come to have too many keep the diverse ones."""
+    node, row = np.unique(b, return_inverse=True)
+    old = links[node]
+    q, k = np.nonzero(old >= 0)
+    both = np.unique(np.stack([np.concatenate([q, row]), np.concatenate([old[q, k], a])]), axis=1)
+    count = np.bincount(both[0], minlength=len(node))
+    for size in np.unique(np.maximum(links.shape[1], 1 << np.ceil(np.log2(count)).astype(int))).tolist():  # rows of like length together
+        some = np.flatnonzero(np.maximum(links.shape[1], 1 << np.ceil(np.log2(count)).astype(int)) == size)
+        part = np.isin(both[0], some)
+        near = _padded(np.searchsorted(some, both[0, part]), both[1, part], len(some))
+        if near.shape[1] > links.shape[1]:
+            close = np.empty(near.shape, np.float32)
+            for at in range(0, len(near), STEP):
+                close[at : at + STEP] = np.einsum("nkd,nd->nk", vectors[near[at : at + STEP]], vectors[node[some[at : at + STEP]]])
+            close[near < 0] = -np.inf
+            by = np.argsort(-close, 1, kind="stable")
+            near = _diverse(vectors, np.take_along_axis(near, by, 1), np.take_along_axis(close, by, 1), links.shape[1])
+        links[node[some]] = -1
+        links[node[some], : near.shape[1]] = near
 
 
 def build(vectors: np.ndarray, seed: int = 7) -> Graph:
@@ -148,26 +186,14 @@ def build(vectors: np.ndarray, seed: int = 7) -> Graph:
             np.fill_diagonal(among, -np.inf)
             few = min(LINKS, len(member))
             mates = np.argsort(-among, 1, kind="stable")[:, :few]
-            back: dict[int, list[int]] = {}
-            for k, i in enumerate(batch[member].tolist()):
-                there = node[k] >= 0
-                near = np.concatenate([node[k][there], batch[member][mates[k]]])
-                close = np.concatenate([cosine[k][there], among[k][mates[k]]])
-                close, near = close[close > -np.inf], near[close > -np.inf]
-                by = np.argsort(-close, kind="stable")
-                chosen = _diverse(vectors, near[by], close[by], LINKS)
-                links[level][i, : len(chosen)] = chosen
-                for j in chosen.tolist():
-                    back.setdefault(j, []).append(i)
-            for j, more in back.items():
-                old = links[level][j]
-                near = np.unique(np.concatenate([old[old >= 0], more]))
-                if len(near) > width[level]:
-                    close = vectors[near] @ vectors[j]
-                    by = np.argsort(-close, kind="stable")
-                    near = _diverse(vectors, near[by], close[by], width[level])
-                links[level][j] = -1
-                links[level][j, : len(near)] = near
+            near = np.concatenate([node, batch[member][mates]], 1)
+            close = np.concatenate([np.where(node >= 0, cosine, -np.inf), np.take_along_axis(among, mates, 1)], 1)
+            near[close == -np.inf] = -1
+            by = np.argsort(-close, 1, kind="stable")
+            chosen = _diverse(vectors, np.take_along_axis(near, by, 1), np.take_along_axis(close, by, 1), LINKS)
+            links[level][batch[member], :LINKS] = chosen
+            q, k = np.nonzero(chosen >= 0)
+            _linked_back(vectors, links[level], batch[member][q], chosen[q, k])
     lost = np.setdiff1d(np.arange(n), links[0])  # nodes that no other leads to
     for i in lost[links[0][lost, 0] >= 0].tolist():
         j = links[0][i, 0]
@@ -248,22 +274,24 @@ def pair_links(graph: Graph, own: np.ndarray, there: np.ndarray, size: np.ndarra
     for k in range(0, len(own), STEP):
         step = slice(k, k + STEP)
         q, node = _pairs(graph, there, own[step], width, least) if width < len(there) else (np.zeros(0, np.int64),) * 2
-        cosine = asked[step] @ against.T
-        near = cosine >= least - slack
-        if same:  # every pair once
-            near &= np.arange(len(there)) > np.arange(k, k + len(near))[:, None]
-            q, node = q[node > q + k], node[node > q + k]
-        near[q, node] = False
-        n, root = _joined(n, root, q + k, node + at, size)
-        ends = np.cumsum(near.sum(1))
-        row = 0
-        while row < len(near) and ends[-1] > (ends[row - 1] if row else 0):
-            to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + TOGETHER, side="right")))
-            q, node = np.nonzero(near[row:to])
-            sure = cosine[q + row, node] >= least + slack
-            more = _verified(there, own, q[~sure] + row + k, node[~sure], least)
-            n, root = _joined(n, root, np.concatenate([q[sure] + row + k, more[0]]), np.concatenate([node[sure], more[1]]) + at, size)
-            row = to
+        n, root = _joined(n, root, q + k, node + at, size) if not same else _joined(n, root, *(x[node > q + k] for x in (q + k, node)), size)
+        few = max(1, HELD // len(there))
+        for first in range(k, min(k + STEP, len(own)), few):
+            cosine = asked[first : min(first + few, k + STEP)] @ against.T
+            near = cosine >= least - slack
+            if same:  # every pair once
+                near &= np.arange(len(there)) > np.arange(first, first + len(near))[:, None]
+            met = (q + k >= first) & (q + k < first + len(near))
+            near[q[met] + k - first, node[met]] = False
+            ends = np.cumsum(near.sum(1))
+            row = 0
+            while row < len(near) and ends[-1] > (ends[row - 1] if row else 0):
+                to = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + TOGETHER, side="right")))
+                a, b = np.nonzero(near[row:to])
+                sure = cosine[a + row, b] >= least + slack
+                more = _verified(there, own, a[~sure] + row + first, b[~sure], least)
+                n, root = _joined(n, root, np.concatenate([a[sure] + row + first, more[0]]), np.concatenate([b[sure], more[1]]) + at, size)
+                row = to
     return n.astype(np.int64), root
 
 
@@ -310,20 +338,24 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(np.einsum("nd,nd->n", x, x))[:, None] + 0.0
 
 
-def _units(raw: pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Unit vectors in doubles of vectors that are given in either precision."""
-    out, short = np.empty((len(raw), dim)), pc.equal(pc.binary_length(raw), 4 * dim)
-    for mask, kind in ((short, "<f4"), (pc.invert(short), "<f8")):
-        out[mask.to_numpy()] = np.frombuffer(b"".join(raw.filter(mask).to_pylist()), kind).reshape(-1, dim)
-    return _scaled(out)
+def _units(raw: pa.ChunkedArray, dim: int, order: np.ndarray) -> np.ndarray:
+    """Unit vectors in doubles of vectors that are given in either precision, in the ``order`` of their places."""
+    out = np.empty((len(order), dim))
+    for at in range(0, len(order), SCALED):
+        part = raw.take(pa.array(order[at : at + SCALED]))
+        to, short = out[at : at + SCALED], pc.equal(pc.binary_length(part), 4 * dim)
+        for mask, kind in ((short, "<f4"), (pc.invert(short), "<f8")):
+            to[mask.to_numpy()] = np.frombuffer(b"".join(part.filter(mask).to_pylist()), kind).reshape(-1, dim)
+        to[:] = _scaled(to)
+    return out
 
 
 def shard_graphs(dealt: DataFrame) -> DataFrame:
     """One row a shard (``GRAPH``): the graph of its classes, numbered in their order."""
 
     def index(rows: pa.Table) -> pa.Table:
-        rows, dim = rows.sort_by("class"), rows.column("dim")[0].as_py()
-        graph = build(_units(rows.column("raw"), dim).astype(np.float32))
+        dim = rows.column("dim")[0].as_py()
+        graph = build(_units(rows.column("raw"), dim, np.argsort(rows.column("class").to_numpy())).astype(np.float32))
         links = [pa.compress(x.astype("<i4").tobytes(), "zstd", asbytes=True) for x in graph.links]
         kinds = (("dim", dim, pa.int32()), ("shard", rows.column("shard")[0].as_py(), pa.int32()), ("start", graph.start, pa.int32()), ("links", links, pa.list_(pa.binary())))
         return pa.table({name: pa.array([x], kind) for name, x, kind in kinds})
@@ -339,14 +371,14 @@ def meet(graphs: DataFrame, dealt: DataFrame, shards: int, least: float) -> Data
         if there.num_rows and rows.num_rows:
             low = rows.column("low")[0].as_py()
             g = there.slice(0, 1).to_pylist()[0]
-            rows = rows.sort_by([("shard", "ascending"), ("class", "ascending")])
-            exact, shard = _units(rows.column("raw"), g["dim"]), rows.column("shard").to_numpy()
-            ids, size = rows.column("class").to_numpy(), rows.column("size").to_numpy()
-            other = exact[shard == g["shard"]]
+            ids, size, shard = (rows.column(c).to_numpy() for c in ("class", "size", "shard"))
+            order = np.lexsort((ids, shard))
+            ids, size, shard = ids[order], size[order], shard[order]
+            other = _units(rows.column("raw"), g["dim"], order[shard == g["shard"]])
             wide = [GROUND] + [LINKS] * (len(g["links"]) - 1)
             links = [np.frombuffer(pa.decompress(x, len(other) * w * 4, "zstd"), "<i4").astype(np.int64).reshape(-1, w) for x, w in zip(g["links"], wide)]
             graph = Graph(other.astype(np.float32), links, g["start"])
-            own = other if low == g["shard"] else exact[shard == low]
+            own = other if low == g["shard"] else _units(rows.column("raw"), g["dim"], order[shard == low])
             if len(own):
                 n, root = pair_links(graph, own, other, size, least)
                 some = np.flatnonzero(n)
